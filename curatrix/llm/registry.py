@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, simhash, tokens
+from curatrix.llm import decontaminate, fingerprint, mixing, simhash, tokens
 
 QUERIES = {
+    "op4_source_mixing": mixing.query,
     "op5_benchmark_decontamination": decontaminate.query,
+    "op6_document_fingerprints": fingerprint.query,
     "op7_simhash_near_dedup": simhash.query,
     "op10_token_id_output": tokens.query,
 }
 
 SQL = {
+    "op4_source_mixing": mixing.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
 }
