@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, fingerprint, mixing, simhash, tokens
+from curatrix.llm import decontaminate, fingerprint, mixing, simhash, tokens, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op4_source_mixing": mixing.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_document_fingerprints": fingerprint.query,
