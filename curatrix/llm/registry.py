@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, fingerprint, mixing, simhash, tokens, toxicity
+from curatrix.llm import decontaminate, fingerprint, mixing, simhash, substrings, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_document_fingerprints": fingerprint.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_substring_dedup": substrings.query,
+    "op9_suffix_array_dedup": suffixes.query,
     "op10_token_id_output": tokens.query,
 }
 
