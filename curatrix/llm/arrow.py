@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from curatrix.llm.kernels import pieces
 
@@ -29,8 +30,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
     if not keep:
         return df.mapInArrow(run, schema)
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
-    return df.mapInArrow(run, f"{fields}, {schema}")
+    return df.mapInArrow(run, StructType([*(df.schema[k] for k in keep), *StructType.fromDDL(schema)]))
 
 
 def batch_of(names: Sequence[str], columns: Sequence, types: Sequence[pa.DataType]) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.rows import row_key
+from curatrix.llm.rows import packed, unpacked
 from curatrix.sources.shared import materialize, table
 
 WEIGHTS, COPIES = (5, 2, 1), 3
@@ -50,7 +50,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     """
     spark = docs.sparkSession
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = materialize(docs.select("doc_id", row_key().alias("k"), "source", word_count().alias("size"), h.alias("h")), "sizes")
+    rows = materialize(docs.select("doc_id", _key().alias("k"), "source", word_count().alias("size"), h.alias("h")), "sizes")
     named = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, copies), "targets")
     rows = rows.join(named, rows["source"].eqNullSafe(named["source"])).drop("source").withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
     sums = rows.groupBy("sid", "b").agg(F.sum("size").alias("n"))
@@ -75,13 +75,19 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     return queued.withColumn("copies_taken", taken).select("doc_id", "k", "size", "source_size", "target", "copies_taken", (F.col("copies_taken") * F.col("size")).cast("long").alias("taken"))
 
 
+def _key() -> Column:
+    """Rows that share it agree in id, text and source, so they stand for each other."""
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs in the mix, each as often as it is taken, in docs' own columns."""
     plan = schedule(docs).filter("copies_taken > 0")
-    # rows that agree in id and text stand for each other: one of them is taken as often as all are
-    once = plan.groupBy("k").agg(F.sum("copies_taken").cast("int").alias("_copies")).withColumnRenamed("k", "_k")
-    rows = docs.withColumn("_k", row_key()).dropDuplicates(["_k"]).join(once, "_k")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # of rows with one key, one is taken as often as all are
+    once = plan.groupBy("k").agg(F.sum("copies_taken").cast("int").alias("copies_taken"))
+    rows = packed(docs).withColumn("source", F.col("row.source")).withColumn("k", _key()).drop("source")
+    taken = rows.dropDuplicates(["k"]).join(once, "k").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_taken"))))
+    return unpacked(taken, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, fingerprint, mixing, simhash, substrings, suffixes, tokens, toxicity
+from curatrix.llm import decontaminate, extraction, fingerprint, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_line_dedup": lines.query,
+    "op3_html_extraction": extraction.query,
     "op4_source_mixing": mixing.query,
     "op5_benchmark_decontamination": decontaminate.query,
     "op6_document_fingerprints": fingerprint.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where documents are ordered: after every other.
@@ -15,3 +15,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     Rows that agree in both columns share it; they are interchangeable for every operator here.
     """
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, as one struct "row", all other columns of docs, whose names then clash with nothing."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_")).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents again, in their order."""
+    return df.select(*(F.col(c) if c in ("doc_id", "text") else F.col("row").getField(c).alias(c) for c in columns))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
 from curatrix.llm.kernels import text_arrays
+from curatrix.llm.rows import packed, unpacked
 from curatrix.operators.graph import connected_components
 from curatrix.sources.shared import materialize, table
 
@@ -79,12 +80,12 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
 
 
 def components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """fp, component_id (the least doc_id reachable over links) of each distinct fingerprint in marked (doc_id, fp)."""
+    """fp, component (the least fp) and component_id (the least doc_id reachable over links) of each distinct fingerprint in marked (doc_id, fp)."""
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     found = connected_components(links(distinct, distance))
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.select("fp", "component").join(least, "component").select("fp", "component_id")
+    return named.select("fp", "component").join(least, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -98,5 +99,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One row of docs, in its columns, for each component: that of the least doc_id.
+
+    Of repeated rows with that id any one stays; so does one row of a component that has no id.
+    """
+    marked = materialize(fingerprints(packed(docs), keep=["doc_id", "text", "row"]), "simhash")
+    # a row for each component, which rows of equal ids share: what is settled below has only those that tie
+    least = marked.join(components(marked.select("doc_id", "fp"), distance), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return unpacked(least.dropDuplicates(["component"]), docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
