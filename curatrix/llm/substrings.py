@@ -50,7 +50,7 @@ class FingerprintIndex:
         """Merges all runs into one when there are `fan_in`. Old runs go only after the new one is whole."""
         if len(self.runs) < fan_in:
             return
-        old, first = self.runs, Window.partitionBy("anchor", "digest")
+        old, first = [*self.runs], Window.partitionBy("anchor", "digest")
         merged = self.entries().repartition("anchor").withColumn("least", F.min("doc").over(first)).filter("doc = least")
         self.append(merged)
         self.runs = self.runs[-1:]
