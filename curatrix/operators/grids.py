@@ -57,7 +57,7 @@ def blocking(df: DataFrame, block: int = 8) -> DataFrame:
     each = steps.select("id", F.explode(F.array(F.struct((F.col("x") % block == 0).alias("edge"), F.col("h").alias("d")), F.struct((F.col("y") % block == 0).alias("edge"), F.col("w").alias("d")))).alias("s")).filter("s.d IS NOT NULL")
     mean = lambda e: F.avg(F.when(F.col("s.edge") == e, F.col("s.d")))
     out = each.groupBy("id").agg(mean(True).alias("at"), mean(False).alias("off"))
-    return out.select("id", F.when(F.col("off") > 0, F.col("at") / F.col("off")).alias("ratio"), (F.col("at") - F.col("off")).alias("score"))
+    return out.select("id", (F.col("at") / F.greatest(F.col("off"), F.lit(0.25))).alias("ratio"), (F.col("at") - F.col("off")).alias("score"))
 
 
 def local_contrast(df: DataFrame, block: int) -> DataFrame:
@@ -66,12 +66,18 @@ def local_contrast(df: DataFrame, block: int) -> DataFrame:
     return blocks.groupBy("id").agg(F.avg("s").alias("contrast"), (100 * F.exp(-F.stddev_pop("s") / F.greatest(F.avg("s"), F.lit(1e-6)))).alias("consistency"))
 
 
+def _steps(df: DataFrame) -> DataFrame:
+    """Absolute steps to the left and upper neighbours, one row each; null at the border."""
+    d = df.select("id", "v", F.abs(F.col("v") - F.lag("v").over(row())).alias("h"), F.abs(F.col("v") - F.lag("v").over(column())).alias("w"))
+    return d.select("id", "v", F.explode(F.array("h", "w")).alias("d"))
+
+
 def banding(df: DataFrame) -> DataFrame:
-    """id, tones, tone_range, flat, banding: few tones over a wide range with flat steps between; 0 among strong edges."""
-    steps = df.withColumn("d", F.abs(F.col("v") - F.lag("v").over(row())))
-    sums = steps.groupBy("id").agg(F.countDistinct("v").alias("tones"), (F.max("v") - F.min("v")).alias("tone_range"), F.avg(F.when(F.col("d").isNotNull(), (F.col("d") == 0).cast("double"))).alias("flat"), F.avg(F.when(F.col("d").isNotNull(), (F.col("d") >= 45).cast("double"))).alias("strong"))
-    pressure = 1 - F.col("tones") / F.greatest(F.col("tone_range") + 1, F.lit(1))
-    return sums.select("id", "tones", "tone_range", "flat", F.when(F.col("strong") > 0.03, 0.0).otherwise(0.55 * F.col("flat") + 0.45 * F.greatest(F.lit(0.0), pressure)).alias("banding"))
+    """id, tones, tone_range, banding: few tones over a wide range with flat steps between; 0 among strong edges."""
+    sums = _steps(df).groupBy("id").agg(F.countDistinct("v").alias("tones"), (F.max("v") - F.min("v")).alias("tone_range"), F.avg((F.col("d") <= 0.75).cast("double")).alias("flat"), F.avg((F.col("d") >= 20).cast("double")).alias("strong"))
+    pressure = 1 - F.col("tones") / F.greatest(F.lit(1), F.least(F.lit(256), F.col("tone_range").cast("int")))
+    value = F.when((F.col("strong") > 0.03) | (F.col("tone_range") <= 0), 0.0).otherwise(0.55 * F.col("flat") + 0.45 * F.greatest(F.lit(0.0), pressure))
+    return sums.select("id", "tones", "tone_range", "flat", value.alias("banding"))
 
 
 def difference_hash(df: DataFrame) -> DataFrame:
@@ -83,12 +89,14 @@ def difference_hash(df: DataFrame) -> DataFrame:
 
 
 def ringing(df: DataFrame, strong: int = 45, near: int = 2, far: int = 5) -> DataFrame:
-    """id, ringing: mean step between near and far cells from a strong edge, less that beyond."""
-    steps = df.withColumn("d", F.greatest(F.coalesce(F.abs(F.col("v") - F.lag("v").over(row())), F.lit(0)), F.coalesce(F.abs(F.col("v") - F.lag("v").over(column())), F.lit(0))))
-    edge = steps.withColumn("e", (F.col("d") >= strong).cast("int"))
+    """id, ringing, mosquito: residuals beside strong edges, less those far from any; and how many beside them are large."""
+    steps = box_blur(df).withColumn("r", F.abs(F.col("v") - F.col("blur")))
+    edge = steps.withColumn("e", (F.coalesce(F.abs(F.col("v") - F.lag("v").over(row())), F.lit(0)) + F.coalesce(F.abs(F.col("v") - F.lag("v").over(column())), F.lit(0)) >= strong).cast("int"))
     for name, r in (("n", near), ("f", far)):
         edge = edge.withColumn("_h", F.max("e").over(row().rowsBetween(-r, r))).withColumn(name, F.max("_h").over(column().rowsBetween(-r, r)))
-    return edge.groupBy("id").agg((F.coalesce(F.avg(F.when((F.col("f") == 1) & (F.col("n") == 0), F.col("d"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(F.col("f") == 0, F.col("d"))), F.lit(0.0))).alias("ringing"))
+    beside = F.when((F.col("n") == 1) & (F.col("e") == 0), F.col("r"))
+    sums = edge.groupBy("id").agg(F.avg(beside).alias("a"), F.coalesce(F.avg(F.when(F.col("f") == 0, F.col("r"))), F.avg("r")).alias("b"), F.avg((beside >= 8).cast("double")).alias("m"))
+    return sums.select("id", F.coalesce(F.greatest(F.lit(0.0), F.col("a") - F.col("b")), F.lit(0.0)).alias("ringing"), F.coalesce("m", F.lit(0.0)).alias("mosquito"))
 
 
 def robust_outliers(df: DataFrame, least: float = 26.0, k: float = 6.0) -> DataFrame:

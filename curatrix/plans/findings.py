@@ -10,6 +10,7 @@ from curatrix.operators.numbering import numbered
 from curatrix.plans.base import FIND, M, SEVERITY, T1, RANK, L, Z, decisions, findings, items, query, triaged
 from curatrix.operators.decisions import image_level
 from curatrix.sources.shared import table
+from curatrix.streaming import events as streams
 
 TERMS = ["the", "de la", "und"]
 
@@ -216,3 +217,18 @@ def metric_outliers_by_segment(spark, d):
 def json_evidence_extract(spark, d):
     k = F.get_json_object("props", "$.k")
     return table(spark, d, "events").select("event_id", k.cast("long").alias("k"), F.concat("event_type", F.lit(":"), F.coalesce(k, F.lit(""))).alias("label"))
+
+
+@query("SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    """The batch form of streaming.events.windowed."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.windowed(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM s)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, g""")
+def event_sessions(spark, d):
+    """The batch form of streaming.events.sessions."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(e).withColumn("start", F.col("start").cast("timestamp_ntz"))

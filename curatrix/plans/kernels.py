@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import grids
+from curatrix.functions import pixels
+from curatrix.operators import grids, rules
 from curatrix.plans.base import query
+from curatrix.sources.shared import table
 
 IMAGES, SIDE = 6, 32
 VALUE = "((x * 7 + y * 13 + id * 29) % 61) * 3 + CASE WHEN (x + id) % 11 = 0 THEN 60 ELSE 0 END"
@@ -32,7 +34,7 @@ def grid_laplacian(spark, d):
     return grids.laplacian(grid(spark)).select("id", "y", "x", "laplacian")
 
 
-@query(f"""WITH {_G}, s AS (SELECT id, x % 8 = 0 AS e, abs(v - lag(v) OVER {_R}) AS d FROM g UNION ALL SELECT id, y % 8 = 0, abs(v - lag(v) OVER {_C}) FROM g), m AS (SELECT id, avg(d) FILTER (e) AS a, avg(d) FILTER (NOT e) AS b FROM s GROUP BY id) SELECT id, round(a / b, 6) AS ratio, round(a - b, 6) AS score FROM m""")
+@query(f"""WITH {_G}, s AS (SELECT id, x % 8 = 0 AS e, abs(v - lag(v) OVER {_R}) AS d FROM g UNION ALL SELECT id, y % 8 = 0, abs(v - lag(v) OVER {_C}) FROM g), m AS (SELECT id, avg(d) FILTER (e) AS a, avg(d) FILTER (NOT e) AS b FROM s GROUP BY id) SELECT id, round(a / greatest(b, 0.25), 6) AS ratio, round(a - b, 6) AS score FROM m""")
 def grid_blocking(spark, d):
     return grids.blocking(grid(spark)).select("id", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
 
@@ -42,10 +44,11 @@ def grid_local_contrast(spark, d):
     return grids.local_contrast(grid(spark), 8).select("id", F.round("contrast", 6).alias("contrast"), F.round("consistency", 6).alias("consistency"))
 
 
-@query(f"""WITH {_G}, s AS (SELECT id, v, abs(v - lag(v) OVER {_R}) AS d FROM g), m AS (SELECT id, count(DISTINCT v) AS tones, max(v) - min(v) AS tone_range, avg((d = 0)::INT) AS flat, avg((d >= 45)::INT) AS strong FROM s GROUP BY id)
-SELECT id, tones, tone_range, round(flat, 6) AS flat, round(CASE WHEN strong > 0.03 THEN 0 ELSE 0.55 * flat + 0.45 * greatest(0, 1 - tones / greatest(tone_range + 1, 1)) END, 6) AS banding FROM m""")
+@query(f"""WITH {_G}, s AS (SELECT id, v, abs(v - lag(v) OVER {_R}) AS d FROM g UNION ALL SELECT id, v, abs(v - lag(v) OVER {_C}) FROM g), m AS (SELECT id, count(DISTINCT v) AS tones, max(v) - min(v) AS tone_range, avg((d <= 0.75)::INT) AS flat, avg((d >= 20)::INT) AS strong FROM s GROUP BY id)
+SELECT id, tones, tone_range, round(flat, 6) AS flat, round(CASE WHEN strong > 0.03 OR tone_range <= 0 THEN 0 ELSE 0.55 * flat + 0.45 * greatest(0, 1 - tones / greatest(1, least(256, tone_range))) END, 6) AS banding FROM m""".replace("((x * 7 + y * 13 + id * 29) % 61) * 3 + CASE WHEN (x + id) % 11 = 0 THEN 60 ELSE 0 END", "((x + y * 2) // (4 + id)) * 7"))
 def grid_banding(spark, d):
-    return grids.banding(grid(spark)).select("id", "tones", "tone_range", F.round("flat", 6).alias("flat"), F.round("banding", 6).alias("banding"))
+    soft = grids.grid(spark, IMAGES, SIDE, SIDE, "((x + y * 2) DIV (4 + id)) * 7")
+    return grids.banding(soft).select("id", "tones", "tone_range", F.round("flat", 6).alias("flat"), F.round("banding", 6).alias("banding"))
 
 
 @query(f"WITH {_G}, b AS (SELECT id, y, x, v > lead(v) OVER {_R} AS b FROM g WHERE y < 8 AND x < 9) SELECT id, string_agg(CASE WHEN b THEN '1' ELSE '0' END, '' ORDER BY y, x) AS bits FROM b WHERE b IS NOT NULL GROUP BY id")
@@ -53,10 +56,11 @@ def grid_dhash(spark, d):
     return grids.difference_hash(grid(spark).filter("y < 8 AND x < 9"))
 
 
-@query(f"""WITH {_G}, s AS (SELECT id, y, x, greatest(coalesce(abs(v - lag(v) OVER {_R}), 0), coalesce(abs(v - lag(v) OVER {_C}), 0)) AS d FROM g), e AS (SELECT a.id, a.y, a.x, a.d, coalesce(bool_or(b.d >= 45 AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), false) AS n, coalesce(bool_or(b.d >= 45), false) AS f
-  FROM s a JOIN s b ON a.id = b.id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL) SELECT id, round(coalesce(avg(d) FILTER (f AND NOT n), 0) - coalesce(avg(d) FILTER (NOT f), 0), 6) AS ringing FROM e GROUP BY id""")
+@query(f"""WITH {_G}, h AS (SELECT *, (coalesce(lag(v) OVER {_R}, v) + v + coalesce(lead(v) OVER {_R}, v)) / 3 AS h FROM g), s AS (SELECT id, y, x, abs(v - (coalesce(lag(h) OVER {_C}, h) + h + coalesce(lead(h) OVER {_C}, h)) / 3) AS r, coalesce(abs(v - lag(v) OVER {_R}), 0) + coalesce(abs(v - lag(v) OVER {_C}), 0) >= 100 AS e FROM h),
+e AS (SELECT a.id, a.y, a.x, a.r, a.e, coalesce(bool_or(b.e AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1), false) AS n, coalesce(bool_or(b.e), false) AS f FROM s a JOIN s b ON a.id = b.id AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 GROUP BY ALL)
+SELECT id, round(coalesce(greatest(0, avg(r) FILTER (n AND NOT e) - coalesce(avg(r) FILTER (NOT f), avg(r))), 0), 6) AS ringing, round(coalesce(avg((r >= 8)::INT) FILTER (n AND NOT e), 0), 6) AS mosquito FROM e GROUP BY id""")
 def grid_ringing(spark, d):
-    return grids.ringing(grid(spark), 45, 1, 2).select("id", F.round("ringing", 6).alias("ringing"))
+    return grids.ringing(grid(spark), 100, 1, 2).select("id", F.round("ringing", 6).alias("ringing"), F.round("mosquito", 6).alias("mosquito"))
 
 
 @query(f"""WITH {_G}, m AS (SELECT id, median(v) AS m FROM g GROUP BY id), a AS (SELECT g.id, m, median(abs(v - m)) AS a FROM g JOIN m USING (id) GROUP BY g.id, m), t AS (SELECT id, greatest(26.0, m + 1.5 * a) AS threshold FROM a)
@@ -69,3 +73,46 @@ def grid_robust_outliers(spark, d):
 def grid_gray(spark, d):
     v = F.col("v")
     return grid(spark).select("id", "y", "x", F.round(grids.gray(v, (v * 3) % 256, (v * 5) % 256), 6).alias("gray"))
+
+
+def _gray(spark):
+    cells = grid(spark).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", "x", F.col("v").cast("double").alias("v")))).alias("c"))
+    return cells.select("id", F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.transform("c", lambda s: s["v"]).alias("gray"))
+
+
+@query()
+def texture_udf(spark, d):
+    return pixels.measure(_gray(spark), "texture")
+
+
+@query()
+def usm_udf(spark, d):
+    return pixels.measure(_gray(spark), "usm")
+
+
+@query()
+def components_udf(spark, d):
+    return pixels.measure(_gray(spark), "isolated")
+
+
+#: Encoding measurements derived from pages: bytes stand for pixels.
+_ENC = """SELECT page_id AS item_id, page_id % 2 = 0 AS is_jpeg, CASE WHEN n % 5 > 0 THEN CAST(n % 100 AS INT) END AS jpeg_quality, n / 100000.0 AS bits_per_pixel, 1 + n % 9 / 10.0 AS block_ratio, CAST(n % 11 AS DOUBLE) AS block_score, CAST(n % 17 AS DOUBLE) AS ringing, n % 60 / 1000.0 AS mosquito,
+  CAST(n % 15 AS DOUBLE) AS chroma, n % 100 / 100.0 AS banding, CAST(n % 70 AS INT) AS tones, CAST(n % 200 AS INT) AS tone_range, n * 10 AS pixels, CAST(n % 400 AS INT) AS least_side FROM (SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages)"""
+
+
+@query(f"WITH e AS ({_ENC}) " + " UNION ALL ".join(f"SELECT item_id, '{c}' AS category, CASE WHEN coalesce({m}, false) THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM e WHERE coalesce({w}, false)" for c, w, m in rules.ENCODING))
+def encoding_rules(spark, d):
+    table(spark, d, "pages").createOrReplaceTempView("pages")
+    return rules.encoding_findings(spark.sql(_ENC))
+
+
+_TEX = "SELECT page_id AS item_id, CAST(n % 41 AS DOUBLE) AS microtexture, CAST(n % 97 AS DOUBLE) AS smoothness, CAST(n % 83 AS DOUBLE) AS grain, n % 200 / 1000.0 AS edge_density, CAST(n % 53 AS DOUBLE) AS residual_mean, CAST(n % 109 AS DOUBLE) AS residual_p95, CAST(n % 13 AS DOUBLE) AS residual_ratio FROM (SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages)"
+
+
+@query(f"""WITH e AS ({_TEX}) SELECT item_id, 'artifact.crystalline_faceting' AS category, CASE WHEN grain >= 65 THEN 'HIGH' WHEN grain >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM e WHERE microtexture >= 20 AND smoothness < 52 AND grain >= 45
+UNION ALL SELECT item_id, 'artifact.oversharpening_halo', CASE WHEN residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8 THEN 'MEDIUM' ELSE 'LOW' END FROM e WHERE edge_density BETWEEN 0.004 AND 0.18 AND residual_mean >= 35 AND residual_p95 >= 70 AND residual_ratio >= 6""")
+def texture_rules(spark, d):
+    table(spark, d, "pages").createOrReplaceTempView("pages")
+    e = spark.sql(_TEX)
+    keep = ["item_id", "category", "severity"]
+    return rules.crystalline(e).select(keep).unionByName(rules.oversharpening(e).select(keep))
