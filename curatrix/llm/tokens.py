@@ -26,7 +26,7 @@ from curatrix.sources.shared import drop_path, new_path, table
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-_CACHE = 150_000  # words, and parts of words, whose ids a worker keeps
+_CACHE = 400_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
 
 _WHOLE = re.compile("<\\||[\x1c-\x1f\x85]")
 
@@ -57,10 +57,7 @@ class WordEncoder:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.whole) + len(new) > _CACHE:
-            self.whole.clear()
-        if len(self.known) > _CACHE:
-            self.known.clear()
+        """Adds new words to what is known."""
         simple = {w: self.parts.findall(w.lower()) for w in new if w.isascii()}
         missing = [*dict.fromkeys(p for parts in simple.values() for p in parts if p not in self.known)]
         self.known.update(zip(missing, self._ask(missing), strict=True))
@@ -68,6 +65,9 @@ class WordEncoder:
             self.whole[w] = b"".join([self.known[p] for p in parts])
         rest = [w for w in new if w not in simple]
         self.whole.update(zip(rest, self._ask(rest), strict=True))
+        if len(self.known) > _CACHE:
+            for p in missing:
+                del self.known[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, END_ID last, as bytes."""
@@ -76,17 +76,11 @@ class WordEncoder:
         new = {w for words in split if words for w in words}.difference(self.whole)
         if new:
             self._learn(new)
-        out, whole = [], self.whole
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = self._ask([text])[0]
-            else:
-                try:
-                    ids = b"".join([whole[w] for w in words])
-                except KeyError:  # dropped when the cache was emptied
-                    self._learn({w for w in words if w not in whole})
-                    ids = b"".join([whole[w] if w in whole else self._ask([w])[0] for w in words])
-            out.append(ids + self.end)
+        whole = self.whole
+        out = [(self._ask([text])[0] if words is None else b"".join([whole[w] for w in words])) + self.end for text, words in zip(texts, split, strict=True)]
+        if len(whole) > _CACHE:
+            for w in new:
+                del whole[w]
         return out
 
 
