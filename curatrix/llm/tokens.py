@@ -28,6 +28,9 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 18
 _CACHE = 400_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
 
+_TOGETHER = 1024  # new parts that the tokenizer is given as one text
+
+_LATIN = re.compile("[\0-\u012f\u0131-\u024f]+")  # but for the one letter here that lower case makes two of
 _WHOLE = re.compile("<\\||[\x1c-\x1f\x85]")
 
 _encoders: dict[str, WordEncoder] = {}
@@ -37,7 +40,8 @@ class WordEncoder:
     """Encodes texts word by word with a tokenizer whose pre-tokenizer never joins over white space.
 
     The tokenizer is asked only for parts of words that are new to this worker; how words fall into parts is its own
-    pattern, applied to lower-cased ASCII words, where normalization is just that. All other words are given to it whole.
+    pattern, applied to lower-cased Latin words, where normalization is just that. All other words are given to it whole.
+    New parts are given to it many at a time, as one text: where a part ends, its vocabulary tells.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +53,8 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.end = self.type.type(END_ID).tobytes()
+        self.last = np.zeros(self.size, bool)  # ids that only stand at the end of a part
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.whole: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -56,11 +62,23 @@ class WordEncoder:
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ask_parts(self, parts: list[str]) -> list[bytes]:
+        """The same for parts of words."""
+        ids = [np.zeros(0, self.type)]
+        for i in range(0, len(parts), _TOGETHER):
+            ids.append(np.array(self.tokenizer.encode_batch_fast([" ".join(parts[i : i + _TOGETHER])], add_special_tokens=False)[0].ids, self.type))
+        together = np.concatenate(ids)
+        end = np.flatnonzero(self.last[together]) + 1
+        if len(end) != len(parts):  # a vocabulary that doesn't tell
+            return self._ask(parts)
+        end, data = end * self.type.itemsize, together.tobytes()
+        return [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)] if parts else []
+
     def _learn(self, new: set[str]) -> None:
         """Adds new words to what is known."""
-        simple = {w: self.parts.findall(w.lower()) for w in new if w.isascii()}
+        simple = {w: self.parts.findall(w.lower()) for w in new if _LATIN.fullmatch(w)}
         missing = [*dict.fromkeys(p for parts in simple.values() for p in parts if p not in self.known)]
-        self.known.update(zip(missing, self._ask(missing), strict=True))
+        self.known.update(zip(missing, self._ask_parts(missing), strict=True))
         for w, parts in simple.items():
             self.whole[w] = b"".join([self.known[p] for p in parts])
         rest = [w for w in new if w not in simple]

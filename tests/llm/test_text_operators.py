@@ -340,3 +340,16 @@ def test_toxicity_edge_rows(spark, docs, corpus, empty):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 5 == 0)
     assert toxicity.score(empty, labels).count() == 0
     assert toxicity.score(docs, labels.limit(0)).count() == len(corpus)
+
+
+def test_word_encoder_agrees_with_the_tokenizer_on_latin_letters():
+    path = tokens.word_bpe()
+    patterns = ("a{0}b", "{0}", "x{0}'s {0}{0}9", "A {0}", "{0}Z")
+    texts = [p.format(chr(i)) for i in range(0x300) for p in patterns]
+    texts += ["a<b|c <|endoftext|> x", "İstanbul İ", "</w> a</w>b", " ", "", "é x́y"]
+    own = tokens.WordEncoder(path)
+    plain = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wanted = [np.array([*e.ids, tokens.END_ID], own.type).tobytes() for e in plain]
+    assert own.encode(texts) == wanted
+    assert [own.encode([t])[0] for t in texts] == wanted  # now from what is known
+    assert own.encode(texts[::-1]) == wanted[::-1]
