@@ -9,7 +9,9 @@ maximal; each occurrence's repeat reaches as far left as it agrees with any othe
 right as the interval's prefix.
 
 Exact copies of a whole span don't come to a bucket more than once, however many there are, so a bucket holds only
-different contexts that share over half a window.
+different contexts that share over half a window. A bucket is gathered in one task, so those of an anchor with more than
+HOT different contexts (a passage that very many documents hold between different neighbours) aren't made: the windows of
+such occurrences are counted instead, which no task has to gather.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from curatrix.llm.kernels import runs, union
 from curatrix.sources.shared import materialize, table
 
 WIDTH, GRAM = 200, 32
+#: The most contexts of an anchor that are gathered in one task, and the parts that the equal windows of all others are dealt to.
+HOT, PARTS = 2048, 64
+_HOW = Cut(False, WIDTH, GRAM)
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -95,6 +100,26 @@ def _contexts(u: Units, at: int, x: dict) -> Iterator[tuple]:
         yield xxhash.xxh3_64_intdigest(right[:GRAM] + left[: half + 1], seed=1) - (1 << 63), x["k"], place, left, right
 
 
+def _windows(u: Units, at: int, x: dict) -> Iterator[tuple]:
+    """The occurrence's windows. Equal windows choose equal anchors, so each is compared under its anchor alone."""
+    for i in range(x["first"], x["first"] + x["n"]):
+        yield x["anchor"], xxhash.xxh3_64_intdigest(u.data[at + i : at + i + WIDTH]) - (1 << 63), x["k"], i
+
+
+def _counted(windows: DataFrame) -> DataFrame:
+    """k, s, e: those windows (anchor, digest, k, s) that there are two of or more.
+
+    Equal windows are dealt to PARTS parts, counted in each, and their parts' counts added up; the one shuffle of windows
+    serves the counts and the join with them.
+    """
+    n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["anchor", "digest", "part"]
+    dealt = windows.withColumn("part", F.expr(f"pmod(xxhash64(k, s), {PARTS})")).repartition(n, *keys)
+    parts = dealt.groupBy(*keys).agg(F.count("*").alias("n"))
+    twice = parts.groupBy("anchor", "digest").agg(F.sum("n").alias("n"), F.collect_list("part").alias("part")).filter("n > 1").select("anchor", "digest", F.explode("part").alias("part"))
+    return dealt.join(twice, keys).select("k", "s", F.expr(f"s + {WIDTH} AS e"))
+
+
 def _repeats(contexts: DataFrame) -> DataFrame:
     """k, s, e: the bytes of each context that are in a repeated window."""
 
@@ -124,28 +149,41 @@ def _flags(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return batch_of(["k", "s", "e"], list(zip(*rows, strict=True)), [pa.int64(), pa.int32(), pa.int32()])
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs' texts by key, and flags k, s, e: the bytes s to e of the row with key k are in windows that stand elsewhere too."""
-    how = Cut(False, WIDTH, GRAM)
-    rows = materialize(find(docs, how, False), "anchors")
+def compared(texts: DataFrame, seen: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """What stands for the spans in seen that differ from others of their anchor: contexts by bucket, at most `hot` in each, and windows."""
+    stands = seen.filter("other AND r = 1")
+    few, many = stands.filter(F.col("contexts") <= hot), stands.filter(F.col("contexts") > hot)
+    contexts = spans_of(texts, few.select("k", "first", "n", "off"), _HOW, _contexts, "bucket long, k long, place int, left binary, right binary", [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+    windows = spans_of(texts, many.select("k", "anchor", "first", "n"), _HOW, _windows, "anchor long, digest long, k long, s int", [pa.int64()] * 3 + [pa.int32()])
+    return contexts, windows
+
+
+def shared_anchors(rows: DataFrame) -> DataFrame:
+    """Of find's rows, those that stand for equal spans and whose anchor occurs again. contexts: its number of different spans."""
     # alike: the same span; an occurrence that stands for others of its batch is sure already
     alike, near = Window.partitionBy("anchor", "digest"), Window.partitionBy("anchor")
     stands = rows.filter("rep").select("anchor", "digest", "k", "first", "n", "off", "sure").repartition("anchor")
     seen = stands.select("*", F.count("*").over(alike).alias("same"), F.max("sure").over(alike).alias("any"), F.count("*").over(near).alias("all"), F.row_number().over(alike.orderBy("k", "first")).alias("r"))
-    seen = seen.filter("all > 1 OR any").select("anchor", "k", "first", "n", "off", "r", F.expr("same > 1 OR any").alias("flag"), F.expr("all > same").alias("other"))
-    seen = materialize(seen, "shared-anchors")
+    seen = seen.withColumn("contexts", F.sum(F.expr("int(r = 1)")).over(near))
+    return seen.filter("all > 1 OR any").select("anchor", "k", "first", "n", "off", "r", "contexts", F.expr("same > 1 OR any").alias("flag"), F.expr("all > same").alias("other"))
+
+
+def repeated(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """docs' texts by key, and flags k, s, e: the bytes s to e of the row with key k are in windows that stand elsewhere too."""
+    rows = materialize(find(docs, _HOW, False), "anchors")
+    seen = materialize(shared_anchors(rows), "shared-anchors")
     texts = texts_by_key(docs)
-    contexts = spans_of(texts, seen.filter("other AND r = 1").select("k", "first", "n", "off"), how, _contexts, "bucket long, k long, place int, left binary, right binary", [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()])
+    contexts, windows = compared(texts, seen, hot)
     whole = rows.filter("sure").select("k", "first", "n").union(seen.filter("flag").select("k", "first", "n")).select("k", F.col("first").alias("s"), F.expr(f"first + n - 1 + {WIDTH}").alias("e"))
-    return texts, whole.union(_repeats(contexts))
+    return texts, whole.union(_repeats(contexts)).union(_counted(windows))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each of docs: without the bytes of any 200-byte string that stands elsewhere too.
 
     A null text is empty; matches don't cross rows; rows with the same text, and repeated rows, remove each other.
     """
-    texts, flags = repeated(docs)
+    texts, flags = repeated(docs, hot)
 
     def finish(found) -> pa.RecordBatch:
         rows = []

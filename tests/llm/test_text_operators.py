@@ -260,6 +260,20 @@ def test_suffix_dedup_matches_a_plain_version(docs, corpus, empty):
     assert suffixes.deduplicate(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_between_many_neighbours(spark, docs, corpus):
+    rng = np.random.default_rng(3)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    short, long = some(150), some(230)
+    texts = [some(40) + (long if i % 3 else short) + some(40) for i in range(300)]
+    table = [(i, t) for i, t in enumerate(texts)]
+    many = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    seen = suffixes.shared_anchors(suffixes.find(many, suffixes._HOW, False)).cache()
+    contexts, windows = suffixes.compared(suffixes.texts_by_key(many), seen, 50)
+    assert max([r["count"] for r in contexts.groupBy("bucket").count().collect()], default=0) <= 50 and windows.count() > 0
+    for data, plain, hot in ((many, table, 50), (many, table, suffixes.HOT), (docs, corpus, 1), (docs, corpus, 5)):
+        assert rows(suffixes.deduplicate(data, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(plain)
+
+
 def test_maximal_repeats_give_all_occurrences():
     left, right = [b"ba", b"bx", b"zz"], [b"hello world", b"hello worm", b"help"]
     got = suffixes.maximal_repeats(left, right, 4)
