@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -16,6 +17,12 @@ CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
     "tbody": ("thead tbody tfoot tr td th", ("table",)), "thead": ("tbody tr", ("table",)), "tfoot": ("thead tbody tr td th", ("table",)), "body": ("head", ()),
 }
+#: What may stand in a head; what ends a table's cell; roots of drawings and formulas, what holds HTML in them, and the tags that end them.
+IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
+CELLS = frozenset("caption col colgroup tbody td tfoot th thead tr".split())
+FOREIGN = frozenset(("svg", "math"))
+_HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+_BREAKS_OUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _STAYS = frozenset(("button", "table", "td", "th", "object"))  # a paragraph outside of these isn't closed from inside
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
@@ -48,6 +55,51 @@ class Dom:
         return i
 
 
+def _foreign(open_: list[str]) -> int:
+    """Where the drawing or formula begins whose content comes next; -1 if HTML comes next."""
+    at = -1
+    for i, tag in enumerate(open_):
+        if tag in FOREIGN:
+            at = i if at < 0 else at
+        elif at >= 0 and tag in _HOLDS_HTML:
+            at = -1
+    return at
+
+
+def _skip(skipping: list[str], tag: str, closing: bool, closed: bool, outside: Callable[[str], bool]) -> bool:
+    """Follows a tag within a dropped element: the elements open in it, itself first. False: it has ended before this tag.
+
+    closed: the tag ends in "/>". outside: whether an element of that name is open around the dropped one.
+    """
+    if closing:
+        if tag in skipping:
+            del skipping[len(skipping) - 1 - skipping[::-1].index(tag) :]
+            return True
+        if tag not in VOID and outside(tag):
+            skipping.clear()
+            return False
+        return True
+    if tag == "body" or (skipping == ["head"] and tag not in IN_HEAD) or (tag in CELLS and "table" not in skipping and (outside("td") or outside("th"))):
+        skipping.clear()
+        return False
+    at = _foreign(skipping)
+    if at >= 0 and tag in _BREAKS_OUT:
+        del skipping[at:]
+        if not skipping:
+            return False
+        at = -1
+    if tag in ("button", "option", "select") and tag in skipping and "template" not in skipping:
+        # a second one ends the first
+        del skipping[skipping.index(tag) :]
+        if tag == "select":
+            return True
+        if not skipping:
+            return False
+    if tag not in VOID and tag not in RAW and not (closed and (at >= 0 or tag in FOREIGN)):
+        skipping.append(tag)
+    return True
+
+
 def parse(html: str) -> Dom:
     """A page's blocks. A run of text and inline elements between blocks is a node "#text", or its element's own text if that has no other.
 
@@ -56,8 +108,8 @@ def parse(html: str) -> Dom:
     dom = Dom()
     stack = [dom.open(-1, "#page", "")]
     names = ["#page"]
-    dropped = 0  # open elements that are dropped: their tags' names
-    skipping: list[str] = []
+    skipping: list[str] = []  # the dropped element that is open, and the elements open in it
+    inlines: list[str] = []  # the inline elements open since the last block began or ended
     run: list[str] = []
     links = linked = inner = 0
 
@@ -81,6 +133,8 @@ def parse(html: str) -> Dom:
     while at < size:
         m = _TOKEN.search(html, at)
         begin = m.start() if m else size
+        if begin > at and skipping == ["head"] and not html[at:begin].isspace():
+            skipping.clear()
         if begin > at and not skipping:
             part = unescape(html[at:begin])
             run.append(part)
@@ -92,19 +146,12 @@ def parse(html: str) -> Dom:
         tag = m[2] or m[5]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[1] or m[4])
+        tag, closing, closed = tag.lower(), bool(m[1] or m[4]), (m[3] or m[6] or "").endswith("/")
         if skipping:
-            if closing and tag in skipping:
-                while skipping.pop() != tag:
-                    pass
-            elif not closing and tag in DROPPED and tag not in VOID:
-                skipping.append(tag)
-                if tag in RAW:
+            foreign = _foreign(skipping) >= 0
+            if _skip(skipping, tag, closing, closed, lambda t: t in names or t in inlines):
+                if tag in RAW and not closing and not (closed and foreign):
                     at = _ENDS[tag].search(html, at).end()
-                    skipping.pop()
-            elif not closing and tag == "body":
-                skipping.clear()
-            if skipping or tag != "body":
                 continue
         if tag in INLINE:
             inner += 1
@@ -112,24 +159,30 @@ def parse(html: str) -> Dom:
                 links = max(0, links + (-1 if closing else 1))
             elif tag == "br":
                 run.append(" ")
+            if closing and tag in inlines:
+                del inlines[len(inlines) - 1 - inlines[::-1].index(tag)]
+            elif not closing and tag not in VOID:
+                inlines.append(tag)
             continue
         if tag in DROPPED:
             if not closing:
                 run.append(" ")
                 if tag in RAW:
                     at = _ENDS[tag].search(html, at).end()
-                else:
+                elif not (closed and tag in FOREIGN):
                     skipping.append(tag)
             continue
         if closing:
             if tag in names:
                 close(len(names) - 1 - names[::-1].index(tag))
                 links = 0
+                inlines.clear()
             else:
                 flush()
             continue
         flush()
         links = 0
+        inlines.clear()
         which, until = CLOSES.get(tag, ("", ()))
         for k in range(len(names) - 1, 0, -1):
             if names[k] in until:

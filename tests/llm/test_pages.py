@@ -50,6 +50,40 @@ def test_parser_never_fails():
     assert parse("<p>a&amp;b  c<p>d<script>x</script>e").text == ["", "a&b c", "d e"]
 
 
+ARTICLE = "<article><h1>A story</h1><p>It goes like this.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        '<svg class="i" viewBox="0 0 1 1"/>',
+        "<p>x<math/></p>",
+        "<svg><style/><title/><path d='M0'/></svg>",
+        "<div><button>Menu</div>",
+        "<div><object data=x><param name=y></div>",
+        "<form><select><option>A<option>B</form>",
+        "<div><noscript><div>no</div><img src=x></div>",
+        "<p><a href=x><svg><path d='M0'></a></p>",
+        "<svg><path d='M0'><p>",
+        "<button>One<button>Two</button>",
+        "<select><option>A<select>",
+        "<table><tr><td><button>B<td>c</table>",
+        "<head><title>T</title><meta charset=x><noscript><link href=y></noscript>",
+        "<html><head><script>a</script>",
+    ],
+)
+def test_what_is_dropped_ends_before_the_article(before):
+    text = " ".join(t for t in parse(before + ARTICLE).text if t)
+    assert text.endswith("A story It goes like this.") and "no" not in text and "Menu" not in text and "One" not in text
+
+
+def test_what_is_dropped_stays_dropped():
+    for html in ("<div><noscript><div>no</div> no</noscript></div>", "<div><button><div><span>no</span></div>no</button></div>", "<div><svg><g/><text>no</text><foreignObject><p>no</p></foreignObject>no</svg></div>", "<a href=x><button><a>no</a>no</button></a>"):
+        assert [t for t in parse(f"<p>a</p>{html}<p>b</p>").text if t] == ["a", "b"]
+    assert [t for t in parse("<head><title>no</title><body><p>b").text if t] == ["b"]
+    assert [t for t in parse("<head><title>no</title> words <p>b").text if t] == ["words", "b"]
+
+
 def test_decoding_is_hierarchical(model):
     rng = np.random.default_rng(0)
     for html in page_samples.sample(20, seed=5):
