@@ -4,9 +4,13 @@ The index holds, for every batch of documents that it has taken, an immutable ru
 sorted by anchor (see anchors.py; an entry stands for the some 22 consecutive windows of WIDTH words that chose its
 anchor). A new batch becomes a run of its own and is merge-joined with all runs by anchor. Entries whose spans are equal
 are settled by the digest of the span's bytes. Where spans share an anchor but differ, the windows are read from the texts
-again and verified one by one, by a digest of their own bytes beside the anchor's. A window is a repeat if it also stands in a document
+again, once for all batches of a load, and verified one by one, by a digest of their own bytes beside the anchor's. A window is a repeat if it also stands in a document
 with a smaller id. When FAN_IN runs have gathered they are compacted into one, which keeps, of equal spans, those of the
 document with the least id.
+
+An index that is given a path outlives its load: opened again there, it knows its runs and, beside them, the texts that
+they came from, so the windows of earlier loads are verified like those of the batch. What an earlier load kept stays
+kept; so loads, like batches, come by ascending ids.
 """
 
 from __future__ import annotations
@@ -24,18 +28,29 @@ from pyspark.sql import functions as F
 from curatrix.llm.anchors import Cut, Units, find, joined, remove, spans_of, texts_by_key
 from curatrix.llm.arrow import batch_of
 from curatrix.llm.kernels import union
-from curatrix.sources.shared import drop_path, materialize, new_path, table
+from curatrix.sources.shared import drop_path, materialize, new_path, table, whole_tables
 
-WIDTH, GRAM, FAN_IN, BATCHES = 50, 8, 4, 2
+WIDTH, GRAM, FAN_IN, BATCHES = 50, 8, 4, 5  # one batch more than FAN_IN: the last one meets a compacted run
 _HOW = Cut(True, WIDTH, GRAM)
 _ENTRY = "anchor long, digest long, k long, doc long, first int, n int"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in a folder that all of the cluster sees."""
+    """Sorted immutable runs in a folder that all of the cluster sees, and the texts they came from if the folder is to be opened again."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.runs = spark, path or new_path(spark, "window-index"), []
+        self.spark, self.path, self.kept = spark, path or new_path(spark, "window-index"), path is not None
+        self.runs, self.loads = whole_tables(spark, self.path, "run-"), whole_tables(spark, self.path, "texts-")
+
+    def texts(self) -> DataFrame | None:
+        """k, doc_id, text of all loads that are kept."""
+        return self.spark.read.schema("k long, doc_id long, text string").parquet(*self.loads) if self.loads else None
+
+    def keep(self, texts: DataFrame) -> None:
+        """Must come before the runs of these texts, so that no entry is ever without its text."""
+        path = f"{self.path}/texts-{new_path(self.spark, '')[-32:]}"
+        texts.selectExpr("k", "CAST(doc_id AS long) AS doc_id", "text").write.option("compression", "zstd").parquet(path)
+        self.loads.append(path)
 
     def append(self, entries: DataFrame) -> None:
         path = f"{self.path}/run-{len(self.runs)}-{new_path(self.spark, '')[-8:]}"
@@ -67,25 +82,30 @@ def _windows(u: Units, at: int, x: dict) -> Iterator[tuple]:
         yield x["anchor"], xxhash.xxh3_64_intdigest(parts[begins[i] : ends[i + WIDTH - 1] - 1]) - (1 << 63), x["k"], x["doc"], x["first"] + i, x["old"]
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, texts: DataFrame) -> DataFrame:
-    """Takes a batch (doc_id, text) into the index and returns its flags k, s, e: words s to e of the row with key k are repeats.
-
-    texts: texts_by_key of all that the index holds and the batch, from which differing spans are verified.
-    """
+def add_batch(index: FingerprintIndex, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takes a batch (doc_id, text) into the index. Returns its flags k, s, e, words s to e of the row with key k are repeats, and the
+    occurrences, its own and old ones, whose windows are yet to be verified."""
     rows = materialize(find(batch, _HOW, True), "anchors")
     fresh = rows.filter("rep").selectExpr("anchor", "digest", "k", "doc", "first", "n", "false AS old")
     both = fresh.union(index.entries().selectExpr("anchor", "digest", "k", "doc", "first", "n", "true AS old"))
     alike, near = Window.partitionBy("anchor", "digest"), Window.partitionBy("anchor")
-    seen = both.repartition("anchor").select("*", F.min("doc").over(alike).alias("least"), F.min("doc").over(near).alias("near"), F.max("doc").over(near).alias("far"), F.min("digest").over(near).alias("d0"), F.max("digest").over(near).alias("d1"))
-    seen = seen.filter("near < far").select("anchor", "k", "doc", "first", "n", "old", F.expr("doc > least").alias("flag"), F.expr("d0 < d1").alias("other"))
+    seen = both.repartition("anchor").select("*", F.min("doc").over(alike).alias("least"), F.min("doc").over(near).alias("near"), F.max("doc").over(near).alias("far"), F.min("digest").over(near).alias("d0"), F.max("digest").over(near).alias("d1"), F.min("old").over(near).alias("settled"))
+    seen = seen.filter("near < far AND NOT settled").select("anchor", "k", "doc", "first", "n", "old", F.expr("doc > least").alias("flag"), F.expr("d0 < d1").alias("other"))
     seen = materialize(seen, "shared-anchors")
-    windows = spans_of(texts, seen.filter("other AND NOT flag").select("k", "anchor", "doc", "first", "n", "old"), _HOW, _windows, "anchor long, digest long, k long, doc long, s int, old boolean", [pa.int64()] * 4 + [pa.int32(), pa.bool_()])
-    least = Window.partitionBy("digest", "anchor")
-    verified = windows.withColumn("least", F.min("doc").over(least)).filter("doc > least AND NOT old").selectExpr("k", "s", f"s + {WIDTH} AS e")
     whole = rows.filter("sure").select("k", "first", "n").union(seen.filter("flag AND NOT old").select("k", "first", "n")).selectExpr("k", "first AS s", f"first + n - 1 + {WIDTH} AS e")
     index.append(fresh)
     index.compact()
-    return whole.union(verified)
+    return whole, seen.filter("other AND NOT flag").select("k", "anchor", "doc", "first", "n", "old")
+
+
+def verified(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Flags k, s, e of the windows of occurrences that aren't old, which also stand in an occurrence of a document with a smaller id."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # an occurrence may be a batch's own and met again by later ones
+    once = wanted.repartition(n, "k").groupBy("k", "anchor", "doc", "first", "n").agg(F.min("old").alias("old"))
+    windows = spans_of(texts, once, _HOW, _windows, "anchor long, digest long, k long, doc long, s int, old boolean", [pa.int64()] * 4 + [pa.int32(), pa.bool_()])
+    least = Window.partitionBy("digest", "anchor")
+    return windows.withColumn("least", F.min("doc").over(least)).filter("doc > least AND NOT old").selectExpr("k", "s", f"s + {WIDTH} AS e")
 
 
 def _finish(found) -> pa.RecordBatch:
@@ -102,20 +122,28 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex
     """doc_id, n_words, n_removed, kept_sha256 of each of docs, taken into an index in batches of ascending doc_id.
 
     A null text has no words. A null doc_id comes after all others, and no two such rows are before each other; neither are
-    repeated rows of one id, so both keep what they share.
+    repeated rows of one id, so both keep what they share. What an index with a path holds of earlier loads comes before too
+    if its ids are smaller; this load is then kept in it.
     """
     index = index or FingerprintIndex(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     texts = texts_by_key(docs)
+    before = index.texts()
+    if index.kept:
+        index.keep(texts)
     bounds = docs.select("doc_id").na.drop().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    flags = []
+    flags, wanted = [], []
     for i in range(len(bounds) + 1):
         batch = docs
         if i > 0:
             batch = batch.filter((F.col("doc_id") > bounds[i - 1]) | F.col("doc_id").isNull() if i == len(bounds) else F.col("doc_id") > bounds[i - 1])
         if i < len(bounds):
             batch = batch.filter(F.col("doc_id") <= bounds[i])
-        flags.append(materialize(add_batch(index, batch, texts), "repeats") if i < len(bounds) else add_batch(index, batch, texts))
+        whole, more = add_batch(index, batch)
+        flags.append(whole)
+        wanted.append(more)
+    known = texts if before is None else texts.union(before)
+    flags.append(verified(known, reduce(DataFrame.union, wanted)))
     return remove(texts, reduce(DataFrame.union, flags), _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -35,5 +35,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def whole_tables(spark: SparkSession, path: str, name: str) -> list[str]:
+    """The tables in a folder whose names begin with `name` and that were written to the end."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(new(path))] if files.exists(new(path)) else []
+    return sorted(f"{path}/{p.getName()}" for p in found if p.getName().startswith(name) and files.exists(new(p, "_SUCCESS")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

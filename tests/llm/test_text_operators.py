@@ -236,6 +236,30 @@ def test_substring_dedup_matches_a_plain_version(docs, corpus, empty):
     assert substrings.deduplicate(docs).count() == len(corpus)
 
 
+def test_substring_dedup_in_loads_equals_one(spark, docs, corpus, tmp_path):
+    have = [r for r in corpus if r[0] is not None]
+    path, loads = f"file://{tmp_path}/index", [(0, 60), (60, 210), (210, 220), (220, 10_000)]
+    assert len([r for r in have if r[0] >= 220]) > 10
+    got, runs = [], []
+    for low, high in loads:
+        index = substrings.FingerprintIndex(spark, path)
+        assert index.runs == runs
+        part = docs.filter(f"doc_id >= {low} AND doc_id < {high}")
+        got += rows(substrings.deduplicate(part, 1, index), "doc_id", "n_words", "n_removed", "kept_sha256")
+        runs = sorted(index.runs)
+    assert len(runs) == 1 and sorted(got, key=str) == plain_windows(have)
+
+
+def test_substring_dedup_verifies_windows_of_an_earlier_load(spark, tmp_path):
+    word = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    one, two = f"{word('a', 30)} {word('s', 60)} {word('b', 30)}", f"{word('c', 30)} {word('s', 60)} {word('d', 30)}"
+    removed = []
+    for i, t in enumerate((one, two)):
+        load = spark.createDataFrame([(i, t)], "doc_id long, text string")
+        removed.append(substrings.deduplicate(load, 1, substrings.FingerprintIndex(spark, f"file://{tmp_path}/index")).first().n_removed)
+    assert removed == [0, 60]
+
+
 def plain_bytes(corpus, width=200):
     count = Counter()
     texts = [(r[0], (r[1] or "").encode()) for r in corpus]
