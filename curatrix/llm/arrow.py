@@ -8,18 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from curatrix.llm.kernels import pieces
+from curatrix.llm.kernels import PIECE, pieces
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """df.mapInArrow with fn applied to pieces of bounded size. fn's columns are those of schema.
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", keep: Sequence[str] = (), most: int = PIECE) -> DataFrame:
+    """df.mapInArrow with fn applied to pieces of about `most` bytes of text. fn's columns are those of schema.
 
     keep: columns of df that stand before fn's; fn must then return one row for each that it gets, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, most):
                 out = fn(piece)
                 if out is None or not out.num_rows:
                     continue

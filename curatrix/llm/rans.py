@@ -20,7 +20,7 @@ MAGIC, VERSION = b"RANB", 1
 #: Frequencies sum to 2**PRECISION; states stay in [2**31, 2**63).
 PRECISION = 20
 LOW = np.uint64(1 << 31)
-LANES, ROWS_BETWEEN = 512, 512
+LANES, ROWS_BETWEEN = 1024, 256
 
 
 @dataclass

@@ -8,99 +8,202 @@ The container is Parquet, which any of the cluster's file systems takes: a row i
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
-from curatrix.llm.kernels import text_arrays
 from curatrix.llm.rans import Table, decode_block, encode_block, quantise
 from curatrix.llm.rows import row_key
 from curatrix.sources.shared import drop_path, new_path, table
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-_CACHE = 400_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
-
+_CACHE = 500_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
+_PIECE = 4 << 20  # bytes of text whose words are told apart together
 _TOGETHER = 1024  # new parts that the tokenizer is given as one text
 
-_LATIN = re.compile("[\0-\u012f\u0131-\u024f]+")  # but for the one letter here that lower case makes two of
-_WHOLE = re.compile("<\\||[\x1c-\x1f\x85]")
+#: The steps of the tokenizer's file before its model for which words can be encoded one by one.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Words of letters up to U+024F but U+0130, which lower case makes two of, without what only some take for white space.
+_LATIN = "^[\\x00-\\x1b!-\\x7f\\x{86}-\\x{9f}\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]+$"
+_CUT = "\x1f"  # which no such word has
 
 _encoders: dict[str, WordEncoder] = {}
 
 
+class _Known:
+    """Words or parts of words with their ids: the ids of number n are flat[start[n]:start[n] + size[n]]."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.size, self.used = np.zeros(1 << 20, kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        """-1 for those that aren't known."""
+        return np.fromiter(map(self.number.get, texts, repeat(-1)), np.int64, len(texts))
+
+    def add(self, texts: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of texts, which are new; their ids stand one after another."""
+        n = len(self.number)
+        while n + len(texts) > len(self.start):
+            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(texts)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(texts)] = size
+        self.used += len(ids)
+        self.number.update(zip(texts, range(n, n + len(texts)), strict=True))
+        return np.arange(n, n + len(texts))
+
+    def forget(self, keep: int) -> None:
+        """All but the first `keep`, once there are more."""
+        if len(self.number) > keep:
+            while len(self.number) > keep:
+                self.number.popitem()
+            self.used = int(self.start[keep])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all `numbers`, one after another, and how many each has."""
+        size = self.size[numbers].astype(np.int64)
+        end = np.cumsum(size)
+        return self.flat[np.repeat(self.start[numbers] - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer whose pre-tokenizer never joins over white space.
 
-    The tokenizer is asked only for parts of words that are new to this worker; how words fall into parts is its own
-    pattern, applied to lower-cased Latin words, where normalization is just that. All other words are given to it whole.
-    New parts are given to it many at a time, as one text: where a part ends, its vocabulary tells.
+    The words of a piece of texts are told apart by Arrow; only its distinct ones are looked up, and the ids of all are
+    gathered from one flat table, so no word is a Python object where it occurs. The tokenizer is asked only for parts of
+    words that are new to this worker. How Latin words fall into parts is its file's own pattern, applied to them in lower
+    case, where its normalization is just that; new parts are given to it many at a time, as one text: where a part ends,
+    its vocabulary tells. All other words, and texts with what may be a special token, are given to it whole. So is every
+    text if the file's steps aren't those known to work word by word.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.end = self.type.type(END_ID).tobytes()
-        self.last = np.zeros(self.size, bool)  # ids that only stand at the end of a part
-        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.whole: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _ask_parts(self, parts: list[str]) -> list[bytes]:
+        model = file.get("model", {})
+        mark = model.get("end_of_word_suffix")
+        special = [t["content"] for t in file.get("added_tokens", [])]
+        self.wordwise = bool(mark) and model.get("type") == "BPE" and {k: file.get(k) for k in _STEPS} == _STEPS and all(t.startswith("<|") and not t.split()[1:] for t in special)
+        if self.wordwise:
+            self.last = np.zeros(self.size, bool)  # ids that only stand at the end of a part
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
+            self.pattern = file['pre_tokenizer']['pretokenizers'][0]['pattern']['Regex']
+            # the same without normalization, for what is normalized already
+            self.bare = Tokenizer.from_str(json.dumps(file | {"normalizer": None}))
+            self.words, self.parts = _Known(self.type), _Known(self.type)
+        self.end = np.array([END_ID], self.type)
+
+    def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has."""
+        found = [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.type), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _ask_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for parts of words."""
         ids = [np.zeros(0, self.type)]
         for i in range(0, len(parts), _TOGETHER):
-            ids.append(np.array(self.tokenizer.encode_batch_fast([" ".join(parts[i : i + _TOGETHER])], add_special_tokens=False)[0].ids, self.type))
+            ids.append(np.array(self.bare.encode_batch_fast([" ".join(parts[i : i + _TOGETHER])], add_special_tokens=False)[0].ids, self.type))
         together = np.concatenate(ids)
         end = np.flatnonzero(self.last[together]) + 1
         if len(end) != len(parts):  # a vocabulary that doesn't tell
             return self._ask(parts)
-        end, data = end * self.type.itemsize, together.tobytes()
-        return [data[a:b] for a, b in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)] if parts else []
-
-    def _learn(self, new: set[str]) -> None:
-        """Adds new words to what is known."""
-        simple = {w: self.parts.findall(w.lower()) for w in new if _LATIN.fullmatch(w)}
-        missing = [*dict.fromkeys(p for parts in simple.values() for p in parts if p not in self.known)]
-        self.known.update(zip(missing, self._ask_parts(missing), strict=True))
-        for w, parts in simple.items():
-            self.whole[w] = b"".join([self.known[p] for p in parts])
-        rest = [w for w in new if w not in simple]
-        self.whole.update(zip(rest, self._ask(rest), strict=True))
-        if len(self.known) > _CACHE:
-            for p in missing:
-                del self.known[p]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, END_ID last, as bytes."""
-        # left whole: what may hold a special token, and what Python and the pattern don't both take for white space
-        split = [None if _WHOLE.search(t) else t.split() for t in texts]
-        new = {w for words in split if words for w in words}.difference(self.whole)
-        if new:
-            self._learn(new)
-        whole = self.whole
-        out = [(self._ask([text])[0] if words is None else b"".join([whole[w] for w in words])) + self.end for text, words in zip(texts, split, strict=True)]
-        if len(whole) > _CACHE:
-            for w in new:
-                del whole[w]
+        return together, np.diff(end, prepend=0)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds new words, each once, to what is known, and returns their numbers."""
+        out, latin = np.empty(len(words), np.int64), pc.match_substring_regex(words, _LATIN)
+        is_latin = latin.to_numpy(zero_copy_only=False)
+        simple, rest = words.filter(latin), words.filter(pc.invert(latin))
+        if len(simple):
+            lists = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(simple), self.pattern, f"{_CUT}\\0"), _CUT)
+            # before the first cut stands nothing
+            n = pc.list_value_length(lists).to_numpy() - 1
+            flat = lists.flatten()
+            flat = flat.filter(pc.not_equal(flat, ""))
+            if len(flat) != n.sum():
+                raise ValueError("the pattern leaves part of a word out")
+            coded = flat.dictionary_encode()
+            distinct = _strings(coded.dictionary)
+            number = self.parts.numbers(distinct)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                fresh = [distinct[i] for i in new.tolist()]
+                number[new] = self.parts.add(fresh, *self._ask_parts(fresh))
+            ids, size = self.parts.gather(number[coded.indices.to_numpy()])
+            sums = np.concatenate(([0], np.cumsum(size)))
+            ends = np.cumsum(n)
+            out[is_latin] = self.words.add(_strings(simple), ids, sums[ends] - sums[ends - n])
+            self.parts.forget(_CACHE)
+        if len(rest):
+            other = _strings(rest)
+            out[~is_latin] = self.words.add(other, *self._ask(other))
         return out
 
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (null: none), END_ID last, as binary."""
+        texts = texts.fill_null("")
+        n = len(texts)
+        whole = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False).astype(bool) if self.wordwise else np.ones(n, bool)
+        ids, size = np.zeros(0, self.type), np.zeros(n, np.int64)
+        if not whole.all():
+            lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+            coded = lists.flatten().dictionary_encode()
+            known = self.words.numbers(_strings(coded.dictionary))
+            new = np.flatnonzero(known < 0)
+            if len(new):
+                known[new] = self._learn(coded.dictionary.take(pa.array(new)))
+            ids, each = self.words.gather(known[coded.indices.to_numpy()])
+            self.words.forget(_CACHE)
+            sums, ends = np.concatenate(([0], np.cumsum(each))), np.cumsum(pc.list_value_length(lists).to_numpy())
+            at = sums[np.concatenate(([0], ends))]
+            size = np.diff(at)
+        if whole.any():
+            some = np.flatnonzero(whole)
+            more, size[some] = self._ask(texts.filter(pa.array(whole)).to_pylist())
+            where = np.repeat(whole, size)
+            both = np.zeros(len(where), self.type)
+            both[where], both[~where] = more, ids
+            ids = both
+        stop = np.cumsum(size + 1)
+        out = np.full(int(stop[-1]) if n else 0, END_ID, self.type)
+        inside = np.ones(len(out), bool)
+        inside[stop - 1] = False
+        out[inside] = ids
+        at = np.concatenate(([0], stop)) * self.type.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out)])
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
@@ -113,11 +216,11 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, k (tells equal ids apart), ids (binary) of each row of docs; null texts are empty."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        texts = piece.column(piece.schema.get_field_index("text")).fill_null("").to_pylist()
-        return batch_of(["ids"], [encoder(path).encode(texts)], [pa.binary()])
+        found = encoder(path).encode(piece.column(piece.schema.get_field_index("text")))
+        return batch_of(["ids"], [found.cast(pa.binary())], [pa.binary()])
 
     rows = docs.select("doc_id", row_key().alias("k"), "text")
-    return map_texts(rows, run, "ids binary", keep=["doc_id", "k"])
+    return map_texts(rows, run, "ids binary", keep=["doc_id", "k"], most=_PIECE)
 
 
 def count_ids(ids: DataFrame, size: int, kind: str) -> np.ndarray:

@@ -380,14 +380,30 @@ def test_toxicity_edge_rows(spark, docs, corpus, empty):
     assert toxicity.score(docs, labels.limit(0)).count() == len(corpus)
 
 
-def test_word_encoder_agrees_with_the_tokenizer_on_latin_letters():
+def test_word_encoder_agrees_with_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+
     path = tokens.word_bpe()
     patterns = ("a{0}b", "{0}", "x{0}'s {0}{0}9", "A {0}", "{0}Z")
-    texts = [p.format(chr(i)) for i in range(0x300) for p in patterns]
-    texts += ["a<b|c <|endoftext|> x", "İstanbul İ", "</w> a</w>b", " ", "", "é x́y"]
+    texts = [p.format(chr(i)) for i in range(0x3000) for p in patterns]
+    texts += ["a<b|c <|endoftext|> x", "İstanbul İ", "</w> a</w>b", " ", "", "é x́y", "q ́ a", "<|startoftext|>"]
     own = tokens.WordEncoder(path)
-    plain = own.tokenizer.encode_batch(texts, add_special_tokens=False)
-    wanted = [np.array([*e.ids, tokens.END_ID], own.type).tobytes() for e in plain]
-    assert own.encode(texts) == wanted
-    assert [own.encode([t])[0] for t in texts] == wanted  # now from what is known
-    assert own.encode(texts[::-1]) == wanted[::-1]
+    assert own.wordwise
+    wanted = [np.array([*e.ids, tokens.END_ID], own.type).tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(pa.array(texts)).to_pylist() == wanted
+    assert own.encode(pa.array(texts)).to_pylist() == wanted  # now from what is known
+    monkeypatch.setattr(tokens, "_CACHE", 100)
+    assert own.encode(pa.array(texts[::-1])).to_pylist() == wanted[::-1]
+    assert own.encode(pa.array(texts)).to_pylist() == wanted and len(own.words.number) == 100
+    assert own.encode(pa.array([None, ""], pa.string())).to_pylist() == [own.end.tobytes()] * 2
+    assert own.encode(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    own = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["two  words", " lead", "", "x\n\ny"]
+    assert not own.wordwise
+    assert own.encode(pa.array(texts)).to_pylist() == [np.array([*e.ids, tokens.END_ID], own.type).tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
