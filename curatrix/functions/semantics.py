@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = "[ \\t\\n\\x0B\\f\\r]"
+_SPACE = " \t\n\x0b\f\r"
 _TOKEN = "[A-Za-z0-9_']+"
 
 
@@ -21,8 +21,8 @@ def let(value: Column, f) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """Without white space of any kind at both ends; null is empty. (trim only takes spaces.)"""
-    return F.regexp_replace(F.coalesce(_c(x), F.lit("")), f"^{_SPACE}+|{_SPACE}+$", "")
+    """Without white space of any kind at both ends; null is empty. (trim alone only takes spaces.)"""
+    return F.btrim(F.coalesce(_c(x), F.lit("")), F.lit(_SPACE))
 
 
 def tokens(x: Column | str) -> Column:

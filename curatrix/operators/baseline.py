@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curatrix.sources.shared import materialize
+
 
 def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, stddev (of the population), least and most of value, in all or by group; one pass with partial sums."""
@@ -13,15 +15,32 @@ def statistics(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def index_percentiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """The value at place floor(n * p) of the sorted values, for each name and p in shares.
+    """The value at place floor(n * p) of the sorted values, for each name and p in shares."""
+    at = {name: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for name, p in shares.items()}
+    return at_places(df, value, at, *by)
+
+
+def medians(df: DataFrame, value: str, *by: str, name: str = "median") -> DataFrame:
+    """The exact median, the mean of the middle two of an even number of values."""
+    two = at_places(df, value, {"_low": F.floor((F.col("n") - 1) / 2), "_high": F.floor(F.col("n") / 2)}, *by)
+    return two.select(*by, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+
+
+def at_places(df: DataFrame, value: str, places: dict[str, Column], *by: str) -> DataFrame:
+    """The values at places (from 0, by `n`, the number of values) of the sorted values that aren't null, in all or by group.
 
-    Values are counted first, so what is sorted and summed has one row for each different value.
+    Values are counted first, and the counts range-partitioned, so neither a frequent value nor a group with very many
+    values comes to one task: only the ranges that hold a place are summed value by value. No values: nulls (no rows by group).
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy(value)
-    upto = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.floor(F.col("n") * p), F.col("n") - 1)
-    return upto.groupBy(*by).agg(*(F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()))
+    rows = materialize(counts.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()), "counts")
+    sizes = rows.groupBy(*by, "_part").agg(F.sum("c").alias("c"))  # a row for each range, and for each group in it
+    upto = Window.partitionBy(*by).orderBy("_part")
+    ranges = sizes.withColumn("base", F.sum("c").over(upto) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
+    wanted = ranges.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("long").alias("at")) for k, v in places.items()))).alias("w"))
+    hit = wanted.filter("base <= w.at AND w.at < base + c").select(*by, "_part", "base", "w.name", "w.at")
+    inside = rows.join(hit, [*by, "_part"]).withColumn("_upto", F.col("base") + F.sum("c").over(Window.partitionBy(*by, "_part", "name").orderBy(value)))
+    return inside.filter("_upto > at").groupBy(*by).agg(*(F.min(F.when(F.col("name") == k, F.col(value))).alias(k) for k in places))
 
 
 def z_score(value: Column | str, mean: Column | str = "mean", stddev: Column | str = "stddev") -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from curatrix.operators import decisions as D
 from curatrix.operators.items import measured
 from curatrix.operators.rules import all_findings
 from curatrix.operators.triage import buckets, per_item
-from curatrix.sources.shared import table
+from curatrix.sources.shared import materialize, table
 
 V1, V2 = (2, 75), (5, 200)
 #: What each kind of event decides.
@@ -19,11 +22,20 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: What the running query has written already, by name and folder.
+_written: dict[tuple[str, str], DataFrame] = {}
+
+
 def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its name, with SQL for the same rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _written.clear()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -31,10 +43,23 @@ def query(sql: str | None = None):
     return add
 
 
-def items(spark: SparkSession, d: str) -> DataFrame:
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """Measured documents with their texts, from a scan of its own."""
     return measured(table(spark, d, "documents"))
 
 
+def once(name: str, d: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, written on its first use in a query and read by all later ones."""
+    if (name, d) not in _written:
+        _written[name, d] = materialize(make(), name)
+    return _written[name, d]
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """What is measured on documents, without their texts: one scan of them for a query, however often it uses this."""
+    return once("items", d, lambda: texts(spark, d).drop("text"))
+
+
 def findings(spark: SparkSession, d: str, version: tuple[int, int] = V1) -> DataFrame:
     return all_findings(items(spark, d), *version)
 

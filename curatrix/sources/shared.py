@@ -12,6 +12,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,18 +32,44 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are no longer needed once a result that was made from them is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.option("compression", codec).parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table, by whatever file system its path names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """What stands directly in a folder; nothing if it isn't there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f"{path}/{f.getPath().getName()}" for f in files.listStatus(p)) if files.exists(p) else []
+
+
 def whole_tables(spark: SparkSession, path: str, name: str) -> list[str]:
     """The tables in a folder whose names begin with `name` and that were written to the end."""
-    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [f.getPath() for f in files.listStatus(new(path))] if files.exists(new(path)) else []
-    return sorted(f"{path}/{p.getName()}" for p in found if p.getName().startswith(name) and files.exists(new(p, "_SUCCESS")))
+    return [p for p in listed(spark, path) if p.rsplit("/", 1)[1].startswith(name) and exists(spark, f"{p}/_SUCCESS")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from curatrix.operators.decisions import SCOPE, latest
+from curatrix.sources.shared import drop_path, exists
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -32,12 +33,41 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-def keep_latest(log: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the last decision of each scope at `table`, one version folder for each batch, and processes what is there."""
+BUCKETS = 64
+
+
+def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """What keep_latest holds: of each bucket its newest version (older than batch `before`)."""
+    rows = spark.read.parquet(table)
+    if before is not None:
+        rows = rows.filter(F.col("v") < before)
+    newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # of partition columns alone
+    return rows.join(F.broadcast(newest), ["bucket", "v"])
+
+
+def keep_latest(log: DataFrame, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the last decision of each scope at `table` (read it with `current`), and processes what is there.
+
+    Items are dealt to buckets by their hash, and a batch rewrites those that it touches, as a version of its own; versions
+    that it replaces are deleted once it is whole, but for the last, which a batch that is run again starts from.
+    """
+    names = [*SCOPE, "decision", "ts", "event_id"]
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{table}/v{number - 1}"))
-        latest(rows.select(*SCOPE, "decision", "ts", "event_id")).select(*SCOPE, "decision", "ts", "event_id").write.mode("overwrite").parquet(f"{table}/v{number}")
+        rows = batch.select(*names, F.pmod(F.hash("item_id"), F.lit(buckets)).alias("bucket")).persist()
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+        if touched:
+            both = rows
+            if exists(spark, table):
+                both = rows.unionByName(current(spark, table, number).filter(F.col("bucket").isin(touched)).select(*names, "bucket"))
+            last = latest(both.select(*names)).select(*names).withColumn("bucket", F.pmod(F.hash("item_id"), F.lit(buckets)))
+            last.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={number}")
+            old = spark.read.parquet(table).filter(F.col("bucket").isin(touched) & (F.col("v") < number)).select("bucket", "v").distinct().collect()
+            newest = {b: max(r.v for r in old if r.bucket == b) for b in {r.bucket for r in old}}
+            for r in old:
+                if r.v < newest[r.bucket]:
+                    drop_path(spark, f"{table}/v={r.v}/bucket={r.bucket}")
+        rows.unpersist()
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

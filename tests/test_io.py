@@ -34,6 +34,16 @@ def test_images_and_sidecars(spark, tmp_path):
     assert set(both) == {"b.png", "A.PNG", "c.png"} and len({r.sha for r in both.values()}) == 1
     assert both["b.png"].caption.startswith(" a caption") and both["A.PNG"].caption is None
     assert [r.path.rpartition("/")[2] for r in files.images(spark, str(tmp_path), limit=1).collect()] == ["A.PNG"]
+    (tmp_path / "run/deep").mkdir(parents=True)
+    (tmp_path / "run/deep/e.png").write_bytes(png(grid))
+    names = lambda **k: {r.path.rpartition("/")[2] for r in files.images(spark, str(tmp_path), **k).select("path").collect()}
+    for here in (tmp_path, tmp_path / "run"):
+        (here / "inspection_report.json").write_text("{}")
+    assert "e.png" in names()
+    for here in (tmp_path, tmp_path / "run"):
+        (here / "recommendation_summary.json").write_text("{}")
+    assert names() == {"b.png", "A.PNG", "c.png"}  # the root's own markers don't count
+    assert names(excluded=str(tmp_path / "sub")) == {"b.png", "A.PNG"}
     one = files.pixels(spark, str(tmp_path / "b.png")).first()
     assert (one.height, one.width) == (8, 8) and one.gray == pytest.approx(grid.ravel().tolist())
 
@@ -109,7 +119,7 @@ def test_pixel_kernels():
     assert pixels.usm(box)[0] > 0 and pixels.usm(np.zeros((20, 20))) == (0.0,) * 4
     spots = np.zeros((40, 40))
     spots[5, 5] = spots[20, 20] = spots[30:38, 30:38] = 255
-    threshold, alone, _ = pixels.isolated(spots)
+    threshold, alone, *_ = pixels.isolated(spots)
     assert threshold == 26.0 and alone == 2
     assert pixels.jpeg_header(b"\xff\xd8\xff\xdb\x00\x43\x00" + bytes([10] * 64) + b"\xff\xc0\x00\x11\x08\x00\x10\x00\x10\x03\x01\x22\x00\x02\x11\x01\x03\x11\x01\xff\xda\x00\x02") == (84, "4:2:0")
     assert pixels.jpeg_header(b"no") == (None, None)
@@ -133,5 +143,26 @@ def test_last_decision_of_a_stream(spark, tmp_path):
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/log")
     q = events.keep_latest(log, f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(120)
-    got = spark.read.parquet(f"{tmp_path}/out/v{q.lastProgress['batchId']}")
+    got = events.current(spark, f"{tmp_path}/out")
     assert {(r.item_id, r.category): r.decision for r in got.collect()} == {(1, None): "UNDECIDED", (2, "c"): "KEEP"}
+
+
+def test_pointers_settings_and_presets(spark, tmp_path):
+    d = str(tmp_path)
+    assert files.latest_manifest(spark, d) is None
+    for n in ("manifest-1", "manifest-2"):
+        (tmp_path / n).mkdir()
+    assert files.latest_manifest(spark, d) == f"{d}/manifest-2"
+    files.point_to(spark, d, f"{d}/manifest-1")
+    assert files.latest_manifest(spark, d) == f"{d}/manifest-1"
+    files.point_to(spark, d, f"{d}/manifest-9")
+    assert files.latest_manifest(spark, d) == f"{d}/manifest-2"
+    (tmp_path / "a.json").write_text('{"name": "a", "description": "first", "x": [1]}')
+    (tmp_path / "b.toml").write_text("[t]\nx = 2\n")
+    assert files.settings(spark, f"{d}/a.json")["x"] == [1] and files.settings(spark, f"{d}/b.toml") == {"t": {"x": 2}}
+    assert [(r.name, r.description) for r in files.presets(spark, d).collect()] == [("a", "first")]
+    (tmp_path / "c.json").write_text("[1]")
+    with pytest.raises(ValueError, match="table of settings"):
+        files.settings(spark, f"{d}/c.json")
+    with pytest.raises(Exception, match="without a name"):
+        files.presets(spark, d).collect()
