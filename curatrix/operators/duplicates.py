@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,6 @@ def first_occurrence(items: DataFrame, key: str = "sha") -> DataFrame:
     return items.select("item_id", key).join(exact_groups(items, key).drop("n"), key).filter("item_id <> first").select("item_id", F.col("first").alias("exact_duplicate_of"))
 
 
-# --- Fingerprints of low-resolution grids kept as arrays -------------------------------------------------------------
-
-
 def _bits(values: Column) -> Column:
     """A long whose bit i is set where values[i]; the sum of distinct powers, the last as the sign."""
     return F.aggregate(F.transform(values, lambda b, i: F.when(b, F.expr("1L")).otherwise(F.expr("0L"))), F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("i")), lambda a, b: F.struct((a["v"].bitwiseOR(F.call_function("shiftleft", b, a["i"]))).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"])
@@ -84,51 +83,94 @@ def rms(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x) / F.size(a))
 
 
+def vector_classes(vectors: DataFrame, vector: str = "embedding", item: str = "vec_id") -> DataFrame:
+    """v and id, the least item, of each different vector; copies cost a row for each task, however many there are."""
+    return vectors.groupBy(F.col(vector).alias("v")).agg(F.min(item).alias("id"))
+
+
+def class_members(vectors: DataFrame, vector: str = "embedding", item: str = "vec_id") -> DataFrame:
+    """item_id and id, the least item with the same vector, of every item."""
+    return vectors.select(F.col(item).alias("item_id"), F.col(vector).alias("v")).join(vector_classes(vectors, vector, item), "v").select("item_id", "id")
+
+
+def _bands(code: str, n: int) -> list[Column]:
+    """The code's 64 bits cut into n runs, as longs."""
+    edges = [64 * i // n for i in range(n + 1)]
+    return [F.expr(f"shiftrightunsigned(shiftleft({code}, {64 - hi}), {64 - hi + lo})") for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def _keys(columns: list[Column]) -> Column:
+    """A row for each of the keys, with its number."""
+    return F.explode(F.array(*(F.struct(F.lit(i).alias("b"), k.alias("bits")) for i, k in enumerate(columns))))
+
+
 def near_pairs(vectors: DataFrame, ahash: int = 3, dhash: int = 4, corr: float = 0.965, mad: float = 0.05, rms_most: float = 0.075, std_least: float = 0.025, vector: str = "embedding", item: str = "vec_id") -> DataFrame:
-    """first, second and their distances, for all pairs within every bound.
+    """first, second and their distances, for all pairs of different vectors within every bound.
 
-    Hashes at most `ahash` bits apart agree in one of ahash + 1 bands (pigeonhole), so pairs are found by an equi-join on
-    bands that loses none; flat vectors, which would crowd a band, can't pair with each other and are set apart by their
-    std. Bits are compared before arrays are.
+    Equal vectors are no near pair (they are exact copies); each is stood for by its least item (class_members has the
+    others). Hashes at most `ahash` bits apart agree in one of ahash + 1 bands, and likewise `dhash` (pigeonhole), so pairs
+    are found by an equi-join on a band of both, which loses none. Flat vectors only meet those that aren't, as two of them
+    are never a pair. Bits are compared before arrays are.
     """
-    rows = materialize(hashed(vectors, vector).select(F.col(item).alias("id"), F.col(vector).alias("v"), "mean", "ahash", "dhash", "std"), "hashes")
-    n = ahash + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("b"), F.expr(f"shiftrightunsigned(shiftleft(ahash, {64 - hi}), {64 - hi + lo})").alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    keyed = rows.select("id", "ahash", "dhash", "std", F.explode(bands).alias("k")).select("id", "ahash", "dhash", "std", "k.b", "k.bits")
-    x, y = (keyed.select(*(F.col(c).alias(f"{c}{s}") for c in ("id", "ahash", "dhash", "std")), "b", "bits") for s in "12")
-    near = x.join(y, ["b", "bits"]).filter((F.col("id1") < F.col("id2")) & (hamming("ahash1", "ahash2") <= ahash) & (hamming("dhash1", "dhash2") <= dhash) & (F.greatest("std1", "std2") >= std_least))
-    pairs = near.select("id1", "id2", hamming("ahash1", "ahash2").cast("long").alias("ahash_distance"), hamming("dhash1", "dhash2").cast("long").alias("dhash_distance")).distinct()
+    rows = materialize(hashed(vector_classes(vectors, vector, item), "v").select("id", "v", "mean", "ahash", "dhash", "std"), "hashes")
+    keys = [F.xxhash64(F.lit(i), a, d) for i, (a, d) in enumerate(product(_bands("ahash", ahash + 1), _bands("dhash", dhash + 1)))]
+    keyed = rows.select("id", "ahash", "dhash", (F.col("std") < std_least).alias("flat"), _keys(keys).alias("k")).select("id", "ahash", "dhash", "flat", "k.*")
+    x, y = (keyed.select(*(F.col(c).alias(f"{c}{s}") for c in ("id", "ahash", "dhash", "flat")), "b", "bits") for s in "12")
+    near = x.join(y.filter("NOT flat2"), ["b", "bits"]).filter((F.col("flat1") | (F.col("id1") < F.col("id2"))) & (hamming("ahash1", "ahash2") <= ahash) & (hamming("dhash1", "dhash2") <= dhash))
+    pairs = near.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), hamming("ahash1", "ahash2").cast("long").alias("ahash_distance"), hamming("dhash1", "dhash2").cast("long").alias("dhash_distance")).distinct()
     one, two = (rows.select(F.col("id").alias(f"id{s}"), F.col("v").alias(f"v{s}"), F.col("mean").alias(f"m{s}")) for s in "12")
     both = pairs.join(one, "id1").join(two, "id2").withColumn("mad", mean_abs(F.col("v1"), F.col("v2"))).withColumn("rms", rms(F.col("v1"), F.col("v2")))
     both = both.withColumn("corr", correlation(F.col("v1"), F.col("v2"), F.col("m1"), F.col("m2"), F.col("mad")))
     return both.filter((F.col("corr") >= corr) & (F.col("mad") <= mad) & (F.col("rms") <= rms_most)).select(F.col("id1").alias("first"), F.col("id2").alias("second"), "ahash_distance", "dhash_distance", "corr", "mad", "rms")
 
 
-def near_groups(pairs: DataFrame) -> DataFrame:
-    """item_id, component, n, confidence of each item of a pair; the confidence is that of the component's weakest pair."""
-    nodes = connected_components(pairs, "first", "second").select(F.col("node").alias("item_id"), "component")
-    weakest = pairs.join(nodes, pairs["first"] == nodes["item_id"]).groupBy("component").agg(F.min("corr").alias("corr"))
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"))
+def crop_agrees(pairs: DataFrame, crops: DataFrame, corr: float = 0.975, mad: float = 0.040) -> DataFrame:
+    """Those pairs (first, second) whose center crops (id, v) agree too: the second check of near duplicates."""
+    mean = crops.select("id", "v", mean_of(F.col("v")).alias("m"))
+    one, two = (mean.select(F.col("id").alias(k), F.col("v").alias(f"v{s}"), F.col("m").alias(f"m{s}")) for s, k in (("1", "first"), ("2", "second")))
+    both = pairs.join(one, "first").join(two, "second").withColumn("crop_mad", mean_abs(F.col("v1"), F.col("v2")))
+    both = both.withColumn("crop_corr", correlation(F.col("v1"), F.col("v2"), F.col("m1"), F.col("m2"), F.col("crop_mad")))
+    return both.filter((F.col("crop_corr") >= corr) & (F.col("crop_mad") <= mad)).select(*pairs.columns, "crop_corr", "crop_mad")
+
+
+def center_crop(vector: Column, width: int = 8, border: int = 1) -> Column:
+    """A grid's cells but `border` of them at each side."""
+    inside = F.filter(F.sequence(F.lit(0), F.size(vector) - 1), lambda i: (i % width >= border) & (i % width < width - border) & (i >= border * width) & (i < F.size(vector) - border * width))
+    return F.transform(inside, lambda i: F.get(vector, i))
+
+
+def near_groups(pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """item_id, component, n, confidence of each item of a pair, and of its copies by members (item_id, id).
+
+    The confidence is that of the component's weakest pair.
+    """
+    nodes = connected_components(pairs, "first", "second")
+    weakest = pairs.join(nodes, pairs["first"] == nodes["node"]).groupBy("component").agg(F.min("corr").alias("corr"))
+    every = nodes.withColumnRenamed("node", "item_id") if members is None else members.join(nodes, members["id"] == nodes["node"]).select("item_id", "component")
+    sizes = every.groupBy("component").agg(F.count("*").alias("n"))
     confidence = F.round(F.greatest(F.lit(0.60), F.least(F.lit(0.82), F.col("corr") - 0.18)), 4)
-    return nodes.join(sizes, "component").join(weakest, "component").select("item_id", "component", "n", confidence.alias("confidence"))
+    return every.join(sizes, "component").join(weakest, "component").select("item_id", "component", "n", confidence.alias("confidence"))
 
 
-def closest_prior(rows: DataFrame, distance: int, seq: str = "seq", code: str = "code", value: str = "value", tolerance: float = 10.0) -> DataFrame:
+def closest_prior(rows: DataFrame, distance: int = 8, seq: str = "seq", code: str = "code", value: str = "value", tolerance: float = 10.0) -> DataFrame:
     """seq, prior_seq, distance: the earlier row with another code of the fewest differing bits (the earliest of equals).
 
-    Codes at most `distance` apart share one of distance + 1 bands, which is the join key; value must agree to tolerance.
-    The pick is a minimum over structs, aggregated partially.
+    Rows of equal code and value are one case. Codes at most `distance` apart agree in two of distance + 2 bands; the join
+    key is such two bands and the value to its tolerance. Of each case's neighbours only the earliest at each distance is
+    kept, `distance` of them at most, which each of its rows looks through.
     """
-    rows = materialize(rows.select(seq, code, value), "codes")
-    n = distance + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("b"), F.expr(f"shiftrightunsigned(shiftleft({code}, {64 - hi}), {64 - hi + lo})").alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    keyed = rows.select(F.col(seq).alias("s"), F.col(code).alias("h"), F.col(value).alias("v"), F.explode(bands).alias("k")).select("s", "h", "v", "k.*")
-    a, b = keyed, keyed.select(F.col("s").alias("ps"), F.col("h").alias("ph"), F.col("v").alias("pv"), "b", "bits")
-    found = a.join(b, ["b", "bits"]).filter((F.col("ps") < F.col("s")) & (F.col("h") != F.col("ph")) & (F.abs(F.col("v") - F.col("pv")) <= tolerance) & (hamming("h", "ph") <= distance))
-    best = found.groupBy("s").agg(F.min(F.struct(hamming("h", "ph").cast("long").alias("d"), F.col("ps").alias("p"))).alias("m"))
-    return best.select(F.col("s").alias("seq"), F.col("m.p").alias("prior_seq"), F.col("m.d").alias("distance"))
+    rows = materialize(rows.select(F.col(seq).alias("s"), F.col(code).alias("h"), F.col(value).alias("v")), "codes")
+    cases = rows.groupBy("h", "v").agg(F.min("s").alias("s"))
+    keys = [F.xxhash64(F.lit(i), a, b) for i, (a, b) in enumerate(combinations(_bands("h", distance + 2), 2))]
+    place = F.floor(F.col("v") / tolerance)
+    own = cases.select("h", "v", _keys(keys).alias("k"), F.explode(F.array(place - 1, place, place + 1)).alias("at")).select("h", "v", "k.*", "at")
+    prior = cases.select(F.col("h").alias("ph"), F.col("v").alias("pv"), F.col("s").alias("ps"), _keys(keys).alias("k"), place.alias("at")).select("ph", "pv", "ps", "k.*", "at")
+    bits = hamming("h", "ph")
+    found = own.join(prior, ["b", "bits", "at"]).filter((F.col("h") != F.col("ph")) & (F.abs(F.col("v") - F.col("pv")) <= tolerance) & (bits <= distance))
+    nearest = found.groupBy("h", "v", bits.cast("long").alias("d")).agg(F.min("ps").alias("ps"))
+    lists = nearest.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("d", "ps"))).alias("near"))
+    best = rows.join(lists, ["h", "v"]).select("s", F.filter("near", lambda x: x["ps"] < F.col("s")).alias("near")).filter("size(near) > 0")
+    return best.select(F.col("s").alias("seq"), F.col("near")[0]["ps"].alias("prior_seq"), F.col("near")[0]["d"].alias("distance"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:

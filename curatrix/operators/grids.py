@@ -15,11 +15,10 @@ def column():
     return Window.partitionBy("id", "x").orderBy("y")
 
 
-def grid(spark, images: int, height: int, width: int, value: str) -> DataFrame:
-    """Generated pixels: value is SQL over id, y and x."""
-    n = height * width
-    cells = spark.range(images * n).selectExpr(f"id DIV {n} AS id", f"(id % {n}) DIV {width} AS y", f"id % {width} AS x")
-    return cells.withColumn("v", F.expr(value))
+def grid(ids: DataFrame, height: int, width: int, value: str) -> DataFrame:
+    """Generated pixels of an image for each of ids (id): value is SQL over id, y and x."""
+    cells = ids.select("id", F.explode(F.sequence(F.lit(0), F.lit(height * width - 1))).alias("_c"))
+    return cells.selectExpr("id", f"cast(_c DIV {width} AS long) AS y", f"cast(_c % {width} AS long) AS x").withColumn("v", F.expr(value))
 
 
 def gray(r: Column | str, g: Column | str, b: Column | str) -> Column:
@@ -52,12 +51,12 @@ def laplacian(df: DataFrame) -> DataFrame:
 
 
 def blocking(df: DataFrame, block: int = 8) -> DataFrame:
-    """id, ratio, score: steps at block edges against all other steps, in both directions."""
+    """id, ratio, score: the mean step at block edges, alone (score) and against all other steps, in both directions."""
     steps = df.select("id", "x", "y", F.abs(F.col("v") - F.lag("v").over(row())).alias("h"), F.abs(F.col("v") - F.lag("v").over(column())).alias("w"))
     each = steps.select("id", F.explode(F.array(F.struct((F.col("x") % block == 0).alias("edge"), F.col("h").alias("d")), F.struct((F.col("y") % block == 0).alias("edge"), F.col("w").alias("d")))).alias("s")).filter("s.d IS NOT NULL")
     mean = lambda e: F.avg(F.when(F.col("s.edge") == e, F.col("s.d")))
     out = each.groupBy("id").agg(mean(True).alias("at"), mean(False).alias("off"))
-    return out.select("id", (F.col("at") / F.greatest(F.col("off"), F.lit(0.25))).alias("ratio"), (F.col("at") - F.col("off")).alias("score"))
+    return out.select("id", (F.col("at") / F.greatest(F.col("off"), F.lit(0.25))).alias("ratio"), F.col("at").alias("score"))
 
 
 def local_contrast(df: DataFrame, block: int) -> DataFrame:
@@ -99,6 +98,45 @@ def ringing(df: DataFrame, strong: int = 45, near: int = 2, far: int = 5) -> Dat
     return sums.select("id", F.coalesce(F.greatest(F.lit(0.0), F.col("a") - F.col("b")), F.lit(0.0)).alias("ringing"), F.coalesce("m", F.lit(0.0)).alias("mosquito"))
 
 
+def chroma(df: DataFrame, r: Column, g: Column, b: Column, strong: int = 45, near: int = 2) -> DataFrame:
+    """id, chroma: the 90th percentile of color residuals beside strong steps of v; 0 without any."""
+    cb, cr = -0.168736 * r - 0.331264 * g + 0.5 * b + 128, 0.5 * r - 0.418688 * g - 0.081312 * b + 128
+    both = df.withColumns({"cb": cb, "cr": cr})
+    for c in ("cb", "cr"):
+        both = both.withColumn("_h", _three(c, row()) / 3).withColumn(f"r{c}", F.abs(F.col(c) - _three("_h", column()) / 3)).drop("_h")
+    step = F.coalesce(F.abs(F.col("v") - F.lag("v").over(row())), F.lit(0)) + F.coalesce(F.abs(F.col("v") - F.lag("v").over(column())), F.lit(0))
+    zone = both.withColumn("e", (step >= strong).cast("int")).withColumn("_h", F.max("e").over(row().rowsBetween(-near, near))).withColumn("n", F.max("_h").over(column().rowsBetween(-near, near)))
+    return zone.groupBy("id").agg(F.coalesce(F.percentile(F.when(F.col("n") == 1, F.col("rcb") + F.col("rcr")), F.lit(0.9)), F.lit(0.0)).alias("chroma"))
+
+
+def color_statistics(df: DataFrame, r: Column, g: Column, b: Column) -> DataFrame:
+    """id, brightness, saturation, contrast as shares of 100, two digits, from 8-bit channels."""
+    gray_ = F.floor((r * 19595 + g * 38470 + b * 7471 + 32768) / 65536)
+    most, least = F.greatest(r, g, b), F.least(r, g, b)
+    saturation = F.when(most > 0, F.floor((most - least) * 255 / most)).otherwise(0)
+    share = lambda x, of: F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x / of * 100)), 2)
+    return df.groupBy("id").agg(share(F.avg(gray_), 255).alias("brightness"), share(F.avg(saturation), 255).alias("saturation"), share(F.stddev_pop(gray_), 127.5).alias("contrast"))
+
+
+def pixel_hash(df: DataFrame, *channels: Column, mode: str = "RGB") -> DataFrame:
+    """id, pixel_hash: SHA-256 over mode, size and bytes of an image, which is of bounded size."""
+    bytes_ = F.concat(*(F.lpad(F.hex(c.cast("long")), 2, "0") for c in channels))
+    cells = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("y", "x", bytes_.alias("p")))).alias("c"), (F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    head = F.concat(F.lit(mode), F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string")).cast("binary")
+    return cells.select("id", F.sha2(F.concat(head, F.lit(b"\0"), F.unhex(F.array_join(F.transform("c", lambda s: s["p"]), ""))), 256).alias("pixel_hash"))
+
+
+def encoding_measures(df: DataFrame, r: Column, g: Column, b: Column, files: DataFrame) -> DataFrame:
+    """Everything that the encoding rules judge, a row for each image: files (id, is_jpeg, jpeg_quality, file_size) and its pixels' measures."""
+    shape = df.groupBy("id").agg(F.count("*").alias("pixels"), F.least(F.max("x") + 1, F.max("y") + 1).alias("least_side"))
+    block = blocking(df).select("id", F.round("ratio", 4).alias("block_ratio"), F.round("score", 4).alias("block_score"))
+    noise = ringing(df).select("id", F.round("ringing", 4).alias("ringing"), F.round("mosquito", 6).alias("mosquito"))
+    tone = banding(df).select("id", F.round("banding", 4).alias("banding"), "tones", "tone_range")
+    color = chroma(df, r, g, b).select("id", F.round("chroma", 4).alias("chroma"))
+    joined = files.join(shape, "id").join(block, "id").join(noise, "id").join(tone, "id").join(color, "id")
+    return joined.withColumn("bytes_per_pixel", F.round(F.col("file_size") / F.greatest(F.lit(1), F.col("pixels")), 6))
+
+
 def robust_outliers(df: DataFrame, least: float = 26.0, k: float = 6.0) -> DataFrame:
     """id, threshold, n: cells above the greater of `least` and the median plus k median deviations."""
     mid = df.groupBy("id").agg(F.median("v").alias("m"))

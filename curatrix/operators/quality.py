@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curatrix.functions.semantics import clamp, ladder
-from curatrix.operators.baseline import total_variation
+from curatrix.operators.baseline import medians, total_variation
 
 #: Weights of the components.
 IMAGE_WEIGHTS = {"artifact_quality": 0.25, "texture_quality": 0.15, "duplicate_quality": 0.20, "resolution": 0.15, "brightness_consistency": 0.10, "contrast": 0.15}
 DATASET_WEIGHTS = {"exact_duplicates": 0.15, "probable_duplicates": 0.10, "artifact_burden": 0.20, "texture_burden": 0.10, "resolution_consistency": 0.15, "brightness_consistency": 0.10, "contrast_consistency": 0.10, "aspect_ratio_consistency": 0.10}
-#: Thresholds of the policy. artifact_medium is what the shipped rules say; without rules it is 55.
+#: The policy's issues, and thresholds of its rules. artifact_medium is what the shipped rules say; without rules it is 55.
 THRESHOLDS = {"artifact_light": 45, "artifact_medium": 60, "artifact_strong": 75, "texture_light": 75, "very_low_resolution_mp": 0.25, "low_resolution_mp": 1.0}
 CLEANING = ("CLEAN_LIGHT", "CLEAN_MEDIUM", "CLEAN_STRONG", "TEXTURE_NORMALIZE_LIGHT", "TEXTURE_NORMALIZE_MEDIUM")
 GAINS = {"CLEAN_LIGHT": 8.0, "CLEAN_MEDIUM": 14.0, "CLEAN_STRONG": 20.0, "TEXTURE_NORMALIZE_LIGHT": 8.0, "TEXTURE_NORMALIZE_MEDIUM": 14.0}
@@ -34,9 +34,9 @@ def resolution_score(mp: Column) -> Column:
 def item_quality(df: DataFrame) -> DataFrame:
     """df (artifact, texture, exact_of, probable_of, megapixels, brightness, contrast) with its components and quality.
 
-    Centers are medians of the whole dataset: one aggregate, joined as one row.
+    Centers are medians of the whole dataset, joined as one row.
     """
-    centers = df.agg(F.median("brightness").alias("b0"), F.median("contrast").alias("c0"))
+    centers = medians(df, "brightness", name="b0").crossJoin(medians(df, "contrast", name="c0"))
     consistent = lambda v, c, penalty: two(100 - F.abs(F.col(v) - F.col(c)) * penalty)
     risk = F.when(F.col("exact_of").isNotNull(), 100.0).when(F.col("probable_of").isNotNull(), 75.0).otherwise(0.0)
     useful = 100 - F.least(F.abs(F.col("contrast") - 35) * 2.2, F.lit(100.0))
@@ -126,6 +126,14 @@ def plugin_rank(requests: DataFrame, plugins: DataFrame) -> DataFrame:
 
 
 def capable(requests: DataFrame, providers: DataFrame) -> DataFrame:
-    """Pairs of requests (required) and providers (supported) whose requirements are all supported."""
-    joined = requests.join(F.broadcast(providers), F.size(F.array_except("required", "supported")) == 0)
-    return joined.drop("required", "supported")
+    """Pairs of requests (required) and providers (supported), by their other columns, whose requirements are all supported.
+
+    An equi-join on each capability, counted: a provider that meets as many as are required meets all. Requests that
+    require nothing suit every provider, of which a registry has few.
+    """
+    who, by = [c for c in requests.columns if c != "required"], [c for c in providers.columns if c != "supported"]
+    asked = requests.select(*who, F.array_distinct("required").alias("required"))
+    needs = asked.select(*who, F.size("required").alias("_n"), F.explode("required").alias("_c"))
+    met = needs.join(providers.select(*by, F.explode(F.array_distinct("supported")).alias("_c")), "_c").groupBy(*who, *by, "_n").agg(F.count("*").alias("_met"))
+    free = asked.filter(F.size("required") == 0).select(*who).crossJoin(providers.select(*by))
+    return met.filter("_met = _n").select(*who, *by).unionByName(free)

@@ -19,9 +19,10 @@ def enumeration(df: DataFrame, name: str, values: tuple[str, ...]) -> DataFrame:
 
 
 def by_category_severity(findings: DataFrame) -> DataFrame:
-    counts = findings.groupBy("category", "severity").agg(F.count("*").alias("n"))
-    seen = findings.select("category").distinct()
-    return zero_filled(counts, seen.crossJoin(F.broadcast(enumeration(findings, "severity", SEVERITIES))), ["category", "severity"])
+    """A row for each severity of each category that has findings, from one aggregate."""
+    counts = findings.groupBy("category").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("n")) for s in SEVERITIES)))
+    return counts.select("category", each.alias("s")).select("category", "s.severity", "s.n")
 
 
 def one_pass(findings: DataFrame) -> DataFrame:

@@ -78,9 +78,6 @@ def all_findings(items: DataFrame, short: int = SHORT, long: int = LONG) -> Data
     return caption_findings(items, short, long).unionByName(z_findings(items, "n_tokens", "length.high").drop("z"))
 
 
-# --- Rules on image measurements; each takes columns of a measured image --------------------------------------------
-
-
 def crystalline(df: DataFrame) -> DataFrame:
     hit = df.filter("microtexture >= 20 AND smoothness < 52 AND grain >= 45")
     return hit.withColumn("category", F.lit("artifact.crystalline_faceting")).withColumn("severity", ladder((F.col("grain") >= 65, "HIGH"), (F.col("grain") >= 55, "MEDIUM"), otherwise="LOW")).withColumn("confidence", F.lit(0.45))
@@ -91,21 +88,44 @@ def oversharpening(df: DataFrame) -> DataFrame:
     return hit.withColumn("category", F.lit("artifact.oversharpening_halo")).withColumn("severity", F.when(F.expr("residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8"), "MEDIUM").otherwise("LOW"))
 
 
-#: Fixed values of the encoding rules: category, condition, condition for MEDIUM.
+def isolated(df: DataFrame) -> DataFrame:
+    """Items with few, strong, lone specks; a dense field of them or specks along edges are something else.
+
+    df: status, components, density (by megapixel), median_residual, p95_residual, field_density, edge_ratio, isolation.
+    What couldn't be measured is a finding of its own.
+    """
+    error = F.col("status") == "error"
+    lone = F.expr("status = 'analyzed' AND components >= 8 AND density >= 60 AND median_residual >= 45 AND p95_residual >= 55 AND field_density <= 0.035 AND edge_ratio <= 0.35 AND isolation >= 0.55")
+    medium = F.col("density") >= 140
+    found = df.filter(error | lone)
+    confidence = F.round(F.least(F.when(medium, 0.34).otherwise(0.26) + F.least(F.lit(0.08), F.col("isolation") * 0.08), F.lit(0.45)), 4)
+    return found.withColumns({
+        "category": F.when(error, "artifact.high_frequency_isolated.error").otherwise("artifact.high_frequency_isolated"),
+        "severity": F.when(~error & medium, "MEDIUM").otherwise("LOW"), "confidence": F.when(error, 1.0).otherwise(confidence),
+    })
+
+
+#: Fixed values of the encoding rules: category, condition, condition for MEDIUM, what adds to the confidence.
 ENCODING = (
-    ("source_encoding.compression", "is_jpeg AND (jpeg_quality <= 45 OR (jpeg_quality IS NULL AND bits_per_pixel <= 0.035))", "jpeg_quality <= 30"),
-    ("source_encoding.blocking", "is_jpeg AND block_ratio >= 1.35 AND block_score >= 4", "block_ratio >= 1.75 AND block_score >= 7"),
-    ("source_encoding.ringing", "is_jpeg AND (ringing >= 9 OR mosquito >= 0.020)", "ringing >= 14 OR mosquito >= 0.045"),
-    ("source_encoding.chroma", "is_jpeg AND chroma >= 7", "chroma >= 12"),
-    ("source_encoding.banding", "banding >= 0.55 AND tones <= 48 AND tone_range >= 64", "banding >= 0.72"),
-    ("source_encoding.low_source", "(pixels <= 32768 OR least_side < 160) AND is_jpeg AND (bits_per_pixel <= 0.85 OR jpeg_quality <= 45)", "false"),
+    ("source_encoding.jpeg_compression", "is_jpeg AND (jpeg_quality <= 45 OR (jpeg_quality IS NULL AND bytes_per_pixel <= 0.035))", "jpeg_quality <= 30", "CASE WHEN jpeg_quality IS NULL THEN 0D ELSE least(0.08D, (45 - jpeg_quality) / 250D) END"),
+    ("source_encoding.jpeg_blocking", "is_jpeg AND block_ratio >= 1.35 AND block_score >= 4", "block_ratio >= 1.75 AND block_score >= 7", "least(0.08D, greatest(0D, block_ratio - 1.35D) * 0.04D)"),
+    ("source_encoding.jpeg_ringing", "is_jpeg AND (ringing >= 9 OR mosquito >= 0.020)", "ringing >= 14 OR mosquito >= 0.045", "least(0.08D, ringing / 250D)"),
+    ("source_encoding.chroma_artifact", "is_jpeg AND chroma >= 7", "chroma >= 12", "0D"),
+    ("source_encoding.banding", "banding >= 0.55 AND tones <= 48 AND tone_range >= 64", "banding >= 0.72", "least(0.08D, banding * 0.08D)"),
+    ("source_encoding.low_source_quality", "(pixels <= 32768 OR least_side < 160) AND is_jpeg AND (bytes_per_pixel <= 0.85 OR jpeg_quality <= 45)", "false", "0D"),
 )
 
 
 def encoding_findings(df: DataFrame, key: str = "item_id") -> DataFrame:
-    """key, category, severity for every encoding rule that holds; nulls in a measurement count as not holding."""
-    each = [F.when(F.expr(f"coalesce({when}, false)"), F.struct(F.lit(name).alias("category"), F.when(F.expr(f"coalesce({medium}, false)"), "MEDIUM").otherwise("LOW").alias("severity"))) for name, when, medium in ENCODING]
-    return df.select(key, F.explode(F.array_compact(F.array(*each))).alias("f")).select(key, "f.category", "f.severity")
+    """key, category, severity, confidence for every encoding rule that holds; nulls in a measurement count as not holding."""
+
+    def one(name: str, when: str, medium: str, more: str) -> Column:
+        strong = F.expr(f"coalesce({medium}, false)")
+        confidence = F.round(F.least(F.lit(0.48), F.when(strong, 0.36).otherwise(0.28) + F.coalesce(F.expr(more), F.lit(0.0))), 4)
+        found = F.struct(F.lit(name).alias("category"), F.when(strong, "MEDIUM").otherwise("LOW").alias("severity"), confidence.alias("confidence"))
+        return F.when(F.expr(f"coalesce({when}, false)"), found)
+
+    return df.select(key, F.explode(F.array_compact(F.array(*(one(*rule) for rule in ENCODING)))).alias("f")).select(key, "f.category", "f.severity", "f.confidence")
 
 
 def resolved_policy(defaults: DataFrame, overrides: DataFrame, key: str = "analyzer") -> DataFrame:

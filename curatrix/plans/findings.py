@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.semantics import base_name, score, suffix
 from curatrix.operators import baseline, duplicates, rollup, rules, triage
 from curatrix.operators.numbering import numbered
-from curatrix.plans.base import FIND, M, SEVERITY, T1, RANK, L, Z, decisions, findings, items, query, triaged
+from curatrix.plans.base import FIND, M, SEVERITY, T1, RANK, L, Z, decisions, findings, items, query, texts, triaged
 from curatrix.operators.decisions import image_level
 from curatrix.sources.shared import table
 from curatrix.streaming import events as streams
@@ -17,7 +17,7 @@ TERMS = ["the", "de la", "und"]
 
 @query(f"WITH {M} SELECT item_id, n_chars, n_tokens, sha FROM m")
 def text_measures(spark, d):
-    return items(spark, d).select("item_id", "n_chars", "n_tokens", "sha")
+    return texts(spark, d).select("item_id", "n_chars", "n_tokens", "sha")
 
 
 @query(f"{FIND} SELECT item_id, category, severity, confidence FROM f WHERE analyzer = 'caption/v1'")
@@ -37,12 +37,12 @@ _TERM = " UNION ALL ".join(f"SELECT '{t}' AS term, count(*) FILTER (contains(tok
 
 @query(f"WITH {M}, k AS (SELECT {_TOK} AS tok FROM m WHERE n_chars > 0) SELECT term, n, total, round(100 * n / total, 1) AS pct FROM ({_TERM})")
 def caption_term_shares(spark, d):
-    return rules.term_shares(items(spark, d), TERMS)
+    return rules.term_shares(texts(spark, d), TERMS)
 
 
 @query(f"WITH {M}, k AS (SELECT item_id, {_TOK} AS tok FROM m WHERE n_chars > 0), s AS ({_TERM}) SELECT item_id, term FROM k, s WHERE n >= 0.5 * total AND total >= 5 AND contains(tok, ' ' || term || ' ')")
 def caption_token_imbalance(spark, d):
-    return rules.token_imbalance(items(spark, d), TERMS, share=0.5).select("item_id", "term")
+    return rules.token_imbalance(texts(spark, d), TERMS, share=0.5).select("item_id", "term")
 
 
 _STATS = "count(*) AS n, round(avg(n_tokens), 6) AS mean, round(stddev_pop(n_tokens), 6) AS stddev, min(n_tokens) AS least, max(n_tokens) AS most"
@@ -127,7 +127,7 @@ def finding_families(spark, d):
 
 @query(f"WITH {M} SELECT item_id, n_tokens FROM m ORDER BY n_tokens DESC, item_id LIMIT 5")
 def top_items(spark, d):
-    return items(spark, d).select("item_id", "n_tokens").orderBy(F.desc("n_tokens"), "item_id").limit(5)
+    return texts(spark, d).select("item_id", "n_tokens").orderBy(F.desc("n_tokens"), "item_id").limit(5)
 
 
 @query(f"WITH {M} SELECT item_id, row_number() OVER (ORDER BY n_tokens DESC, item_id) AS place, round_even(greatest(0, least(100, 100 * (1 - exp(-n_tokens / 900)))), 2) AS score FROM m")

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions.semantics import ladder, score
-from curatrix.operators import duplicates, quality, rules
-from curatrix.plans.base import M, items, query
+from curatrix.operators import duplicates, engine, quality, rules
+from curatrix.plans.base import M, items, once, query
 from curatrix.sources.shared import table
 
 
 def metrics(spark, d):
+    """Metrics of an item's quality, written once: every score is a projection over them or one aggregate."""
+    return once("metrics", d, lambda: _metrics(spark, d))
+
+
+def _metrics(spark, d):
     have = items(spark, d)
     first = duplicates.first_occurrence(have)
     n, c = F.col("n_tokens"), F.col("n_chars")
@@ -94,13 +99,41 @@ def health_report(spark, d):
     return quality.health_report(rows, F.count("exact_of"), F.sum(F.lit(0)))
 
 
-@query("""WITH r AS (SELECT s_suppkey AS request_id, CASE WHEN s_nationkey % 2 = 0 THEN 'transform' ELSE 'captioner' END AS category FROM supplier), p AS (SELECT p_partkey AS plugin_id, CASE WHEN p_size % 2 = 0 THEN 'transform' ELSE 'captioner' END AS category, p_size AS gain, p_retailprice * 1000000 AS memory FROM part WHERE p_size <= 4),
+@query("""WITH r AS (SELECT s_suppkey AS request_id, CASE WHEN s_nationkey % 2 = 0 THEN 'transform' ELSE 'captioner' END AS category FROM supplier), p AS (SELECT p_partkey AS plugin_id, CASE WHEN p_size % 2 = 0 THEN 'transform' ELSE 'captioner' END AS category, p_size AS gain, p_retailprice * 1000000 AS memory FROM part),
 b AS (SELECT category, plugin_id, 50 + least(20, gain) - least(5, memory / 1073741824) AS score FROM p QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, plugin_id DESC) = 1) SELECT request_id, plugin_id, round(score, 4) AS score FROM r JOIN b USING (category)""")
 def plugin_rank(spark, d):
-    """Suppliers ask, small parts are the plugins; the registry is reduced to what each request can meet before they are joined."""
+    """Suppliers ask, parts are the plugins; the registry is reduced to what each request can meet before they are joined."""
     kind = lambda c: F.when(c % 2 == 0, "transform").otherwise("captioner")
-    plugins = table(spark, d, "part").filter("p_size <= 4").select(F.col("p_partkey").alias("id"), kind(F.col("p_size")).alias("category"), F.array(F.lit("cleanup")).alias("capabilities"), F.array().cast("array<string>").alias("presets"), F.col("p_size").cast("double").alias("gain"), F.lit(0.0).alias("gpu"), (F.col("p_retailprice") * 1000000).alias("memory"))
+    plugins = table(spark, d, "part").select(F.col("p_partkey").alias("id"), kind(F.col("p_size")).alias("category"), F.array(F.lit("cleanup")).alias("capabilities"), F.array().cast("array<string>").alias("presets"), F.col("p_size").cast("double").alias("gain"), F.lit(0.0).alias("gpu"), (F.col("p_retailprice") * 1000000).alias("memory"))
     asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("request_id"), kind(F.col("s_nationkey")).alias("category"))
     kinds = asked.select("category").distinct().select(F.col("category").alias("request_id"), "category", F.lit("cleanup").alias("capability"), F.lit("").alias("preset"))
     best = quality.plugin_rank(kinds, plugins).withColumnRenamed("request_id", "category")
     return asked.join(best, "category").select("request_id", "plugin_id", "score")
+
+
+_SIG = """s AS (SELECT item_id, item_id % 50 = 0 AS ref, item_id % 2 = 0 AS ai, artifact AS mt, CAST(n_chars % 101 AS DOUBLE) AS hs, CAST(n_tokens % 97 AS DOUBLE) AS ws, CAST(n_chars % 83 AS DOUBLE) AS tc FROM x),
+g AS (SELECT *, mt - 26.86 AS delta, abs(mt - avg(mt) OVER ()) / greatest(1, stddev_pop(mt) OVER ()) AS far, greatest(0, least(1, (hs - 30) / 70)) AS sp, greatest(0, least(1, (mt - 36.86) / 30)) AS mi, greatest(0, least(1, (70 - ws) / 40)) AS sm, greatest(0, least(1, (50 - tc) / 50)) AS co FROM s),
+n AS (SELECT *, 0.9 * sp - greatest(0, least(1, 15 * sp + 8 * mi)) / 100 AS net, greatest(0, least(1, delta / 40)) * 0.5 - 0.7 / (1 + exp(-greatest(-20, least(20, (delta - 20) / 15)))) AS mnet, mi > 0.4 AND ws > 65 AS clash, far < 0.5 AS near FROM g),
+r AS (SELECT *, CASE WHEN ref THEN 'is_reference_image' WHEN greatest(round(sp, 3), round(mi, 3), round(sm, 3), round(co, 3)) < 0.05 THEN 'all_signals_minimal' WHEN net < 0.10 AND mi < 0.25 THEN 'low_net_benefit' WHEN near AND sp < 0.30 THEN 'near_dataset_centroid'
+  WHEN sp >= 0.30 AND net > 0.15 AND mi < 0.40 THEN 'speck_signal' WHEN mi >= 0.15 AND mi < 0.40 THEN 'mild_microtexture_signal' WHEN mi >= 0.40 AND NOT clash AND ai AND mnet > 0.15 THEN 'microtexture_signal' ELSE 'conflicting_or_uncertain' END AS factor FROM n)"""
+
+
+@query(f"""WITH {M}, {_X}, {_SIG} SELECT item_id, factor, CASE WHEN factor IN ('is_reference_image', 'all_signals_minimal', 'low_net_benefit', 'near_dataset_centroid') THEN 'LEAVE_ALONE' WHEN factor IN ('speck_signal', 'mild_microtexture_signal') THEN 'DETERMINISTIC_ONLY' WHEN factor = 'microtexture_signal' THEN 'AI_CONSERVATION_CANDIDATE' ELSE 'MANUAL_REVIEW' END AS recommendation,
+  CASE factor WHEN 'is_reference_image' THEN 99 WHEN 'conflicting_or_uncertain' THEN least(59, 55 - (CASE WHEN clash THEN 20 ELSE 0 END + CASE WHEN near THEN 15 ELSE 0 END + CASE WHEN mi >= 0.40 AND NOT ai THEN 5 ELSE 0 END))
+    ELSE CASE factor WHEN 'all_signals_minimal' THEN 95 WHEN 'low_net_benefit' THEN 88 WHEN 'near_dataset_centroid' THEN 80 WHEN 'speck_signal' THEN 91 WHEN 'mild_microtexture_signal' THEN 80 ELSE 77 END - (CASE WHEN clash THEN 20 ELSE 0 END + CASE WHEN near THEN 15 ELSE 0 END) END AS confidence,
+  CAST(round(CASE WHEN factor IN ('is_reference_image', 'all_signals_minimal') THEN 0 WHEN factor = 'microtexture_signal' THEN mnet ELSE net END, 3) AS DOUBLE) AS net_score, clash AND factor NOT IN ('is_reference_image', 'all_signals_minimal', 'microtexture_signal') AS conflicting FROM r""")
+def decision_engine(spark, d):
+    """Scores of texts stand for an image's texture measures; every second item may be shown to a model."""
+    number = lambda c, n: (F.col(c) % n).cast("double")
+    s = metrics(spark, d).select("item_id", (F.col("item_id") % 50 == 0).alias("is_reference"), F.col("artifact").alias("microtexture"), number("n_chars", 101).alias("speck"), number("n_tokens", 97).alias("smoothness"), number("n_chars", 83).alias("consistency"))
+    return engine.decided(s, F.col("item_id") % 2 == 0).select("item_id", "factor", "recommendation", "confidence", "net_score", "conflicting")
+
+
+@query(f"""WITH {M}, {_X}, {_Q}, z AS (SELECT *, {_POLICY} AS action FROM y), a AS (SELECT count(*) AS n, count(*) FILTER (action LIKE 'CLEAN%' OR action LIKE 'TEXTURE%') AS cleaning, count(*) FILTER (action = 'EXCLUDE') AS copies, count(*) FILTER (megapixels < 1) AS small,
+  avg(artifact) AS art, avg(texture) AS tex, count(DISTINCT round(aspect_ratio, 1)) AS ratios, max(brightness) - min(brightness) AS bright, stddev_pop(brightness) AS spread FROM z),
+l AS (SELECT [CASE WHEN 55 < 60 THEN 'Prioritize critical and warning items before dataset use.' END, CASE WHEN cleaning > 0 THEN 'Review ' || cleaning || ' image(s) recommended for non-destructive cleanup.' END, CASE WHEN copies > 0 THEN 'Review ' || copies || ' likely duplicate image(s) before selecting data.' END,
+  CASE WHEN small > 0 THEN 'Review ' || small || ' image(s) below 1 megapixel.' END, CASE WHEN art >= 50 THEN 'The dataset has an elevated average artifact burden.' END, CASE WHEN tex >= 65 THEN 'The dataset has an elevated average texture burden.' END,
+  CASE WHEN ratios >= 3 THEN 'Mixed aspect ratios: consider grouping crops for workflows that need consistency.' END, CASE WHEN bright >= 30 OR spread >= 15 THEN 'Strong brightness variation: inspect very dark and very bright images for consistency.' END] AS t FROM a)
+SELECT CAST(unnest(range(1, len(f) + 1)) AS BIGINT) AS place, unnest(f) AS guidance FROM (SELECT [x FOR x IN t IF x IS NOT NULL] AS f FROM l)""")
+def dataset_guidance(spark, d):
+    return engine.dataset_guidance(_policy(spark, d), F.lit(55.0))
