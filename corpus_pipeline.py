@@ -1,4 +1,8 @@
-"""From raw documents to token files: five stages, each over all that the one before it kept."""
+"""From raw documents to token files: five stages, each over all that the one before it kept.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows, no rows at all, and further
+columns whatever their names, which go with their rows; what becomes of such rows is said at each.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +14,29 @@ from curatrix.sources.shared import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted to be toxic."""
+    """Documents that aren't predicted to be toxic. Null and empty texts score as such texts do and stay unless that is toxic."""
     scored = toxicity.score(packed(docs), table(spark, sf_dir, "labels"), keep=["doc_id", "text", "row"])
     return unpacked(scored.filter("predicted = 0"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near copies."""
+    """The document of the least id of each group of near copies. Texts without words are copies of each other; a row without an id stays only if its group has no id."""
     return simhash.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without 5 % of their words in benchmark passages."""
+    """Documents without 5 % of their words in benchmark passages. Texts without words stay; an empty benchmark takes nothing."""
     found = decontaminate.annotate(packed(docs), table(spark, sf_dir, "benchmark"), keep=["doc_id", "text", "row"])
     return unpacked(found.filter("NOT contaminated"), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them. A null source is one of its own; texts without words cost nothing and stay while the budget lasts."""
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and from them the place, number and checksum of each document's ids."""
+    """Token files of the mix, and from them the place, number and checksum of each document's ids. A null text has the end id alone."""
     return tokens.read(spark, tokens.write(docs, tokens.word_bpe())[0])
 
 

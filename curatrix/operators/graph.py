@@ -16,9 +16,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """node, component (the least node reachable) for each node of an edge; edges have no direction.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each node's neighbours are pointed at the least of
-    them until only stars are left, in about log(n) rounds. Only minima are aggregated, with partial sums on the map side,
-    and joined back, so a node with very many neighbours never meets in one task; each round is written to the shared
-    folder. Nulls and loops are dropped. No edges: no rows.
+    them until only stars are left, in about log(n) rounds. Minima are aggregated with partial ones on the map side, so
+    gathering them costs a hot node a row a task; the join that brings a node's minimum back to its edges streams them, and
+    splits a hot node where adaptive execution finds it skewed. Each round is written to the shared folder. Nulls and loops
+    are dropped. No edges: no rows.
     """
     start = edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull())
     now = materialize(start.filter("a <> b").distinct(), "edges")

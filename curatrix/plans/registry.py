@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.plans import decided, findings, kernels, labelled, reported, runs, scores, vectors  # noqa: F401
+from curatrix.plans import decided, findings, kernels, labelled, reported, runs, scores, summarized, vectors  # noqa: F401
 from curatrix.plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

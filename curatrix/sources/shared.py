@@ -32,11 +32,23 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_buckets(dealt: DataFrame, path: str, name: str, buckets: int, by: str, *order: str) -> DataFrame:
+    """Writes rows that are dealt to `buckets` partitions by `by` already as a table of as many sorted files, and reads it back.
+
+    It is registered under `name` in the session's catalog, which is how Spark knows that joins by `by` need no shuffle.
+    """
+    rows = dealt.sortWithinPartitions(by, *order)
+    rows.write.format("parquet").bucketBy(buckets, by).sortBy(by, *order).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return dealt.sparkSession.table(name)
+
+
 class Scratch:
     """Tables in the shared folder that are no longer needed once a result that was made from them is written."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, []
+        self.spark = spark
+        self.paths: list[str] = []
+        self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = new_path(self.spark, name)
@@ -44,7 +56,17 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, by: str, *order: str) -> DataFrame:
+        """The same, dealt to buckets by a column, once."""
+        path, n = new_path(self.spark, name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table_name = f"curatrix_{path[-32:]}"
+        self.paths.append(path)
+        self.names.append(table_name)
+        return write_buckets(df.repartition(n, by), path, table_name, n, by, *order)
+
     def clear(self) -> None:
+        while self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
         while self.paths:
             drop_path(self.spark, self.paths.pop())
 
