@@ -12,7 +12,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
+from curatrix.llm.known import Known, strings
 from curatrix.llm.rans import Table, decode_block, encode_block, quantise
 from curatrix.llm.rows import row_key
 from curatrix.sources.shared import drop_path, new_path, table
@@ -49,49 +49,6 @@ _CUT = "\x1f"  # which no such word has
 _encoders: dict[str, WordEncoder] = {}
 
 
-class _Known:
-    """Words or parts of words with their ids: the ids of number n are flat[start[n]:start[n] + size[n]]."""
-
-    def __init__(self, kind: np.dtype) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.start, self.size, self.used = np.zeros(1 << 20, kind), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-
-    def numbers(self, texts: list[str]) -> np.ndarray:
-        """-1 for those that aren't known."""
-        return np.fromiter(map(self.number.get, texts, repeat(-1)), np.int64, len(texts))
-
-    def add(self, texts: list[str], ids: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """The numbers of texts, which are new; their ids stand one after another."""
-        n = len(self.number)
-        while n + len(texts) > len(self.start):
-            self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.append(self.flat, np.zeros_like(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(texts)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(texts)] = size
-        self.used += len(ids)
-        self.number.update(zip(texts, range(n, n + len(texts)), strict=True))
-        return np.arange(n, n + len(texts))
-
-    def forget(self, keep: int) -> None:
-        """All but the first `keep`, once there are more."""
-        if len(self.number) > keep:
-            while len(self.number) > keep:
-                self.number.popitem()
-            self.used = int(self.start[keep])
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all `numbers`, one after another, and how many each has."""
-        size = self.size[numbers].astype(np.int64)
-        end = np.cumsum(size)
-        return self.flat[np.repeat(self.start[numbers] - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
-
-
-def _strings(column: pa.Array) -> list[str]:
-    return column.to_numpy(zero_copy_only=False).tolist()
-
-
 class WordEncoder:
     """Encodes texts word by word with a tokenizer whose pre-tokenizer never joins over white space.
 
@@ -122,7 +79,7 @@ class WordEncoder:
             self.pattern = file['pre_tokenizer']['pretokenizers'][0]['pattern']['Regex']
             # the same without normalization, for what is normalized already
             self.bare = Tokenizer.from_str(json.dumps(file | {"normalizer": None}))
-            self.words, self.parts = _Known(self.type), _Known(self.type)
+            self.words, self.parts = Known(self.type), Known(self.type)
         self.end = np.array([END_ID], self.type)
 
     def _ask(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +112,7 @@ class WordEncoder:
             if len(flat) != n.sum():
                 raise ValueError("the pattern leaves part of a word out")
             coded = flat.dictionary_encode()
-            distinct = _strings(coded.dictionary)
+            distinct = strings(coded.dictionary)
             number = self.parts.numbers(distinct)
             new = np.flatnonzero(number < 0)
             if len(new):
@@ -164,10 +121,10 @@ class WordEncoder:
             ids, size = self.parts.gather(number[coded.indices.to_numpy()])
             sums = np.concatenate(([0], np.cumsum(size)))
             ends = np.cumsum(n)
-            out[is_latin] = self.words.add(_strings(simple), ids, sums[ends] - sums[ends - n])
+            out[is_latin] = self.words.add(strings(simple), ids, sums[ends] - sums[ends - n])
             self.parts.forget(_CACHE)
         if len(rest):
-            other = _strings(rest)
+            other = strings(rest)
             out[~is_latin] = self.words.add(other, *self._ask(other))
         return out
 
@@ -180,7 +137,7 @@ class WordEncoder:
         if not whole.all():
             lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
             coded = lists.flatten().dictionary_encode()
-            known = self.words.numbers(_strings(coded.dictionary))
+            known = self.words.numbers(strings(coded.dictionary))
             new = np.flatnonzero(known < 0)
             if len(new):
                 known[new] = self._learn(coded.dictionary.take(pa.array(new)))
@@ -244,7 +201,8 @@ def write(docs: DataFrame, tokenizer: str, out: str | None = None, block_tokens:
     """Writes the ids of docs in ascending doc_id (null first; rows of one id by content) and returns the path and table.
 
     Under the path: blocks (pid, block, start, n, doc_ids, payload; start counts ids from the partition's first), and table,
-    the shared frequencies. docs without rows give a path without blocks.
+    the shared frequencies. docs without rows give a path without blocks. A null text has the end id alone; other columns of docs, whatever their names,
+    aren't read. A long text is taken whole, at some 60 bytes of memory for each of its words, and is a block of its own.
     """
     spark = docs.sparkSession
     out = out or new_path(spark, "tokens")
