@@ -16,10 +16,10 @@ from curatrix.sources.shared import table
 
 def _texture(spark, d):
     number = lambda c, n: (F.col(c) % n).cast("double")
-    return metrics(spark, d).select("item_id", F.col("artifact").alias("microtexture"), F.col("texture").alias("local_contrast"), number("n_chars", 101).alias("edge_sharpness"), number("n_tokens", 97).alias("highlight_speck"), number("n_chars", 83).alias("consistency"))
+    return metrics(spark, d).select("item_id", F.col("artifact").alias("microtexture"), F.col("texture").alias("local_contrast"), number("n_chars", 101).alias("edge_sharpness"), (number("n_tokens", 97) + 0.0123457).alias("highlight_speck"), number("n_chars", 83).alias("consistency"))
 
 
-_TX = f"""WITH {M}, {_X}, t AS (SELECT item_id, artifact AS mi, texture AS lc, CAST(n_chars % 101 AS DOUBLE) AS es, CAST(n_tokens % 97 AS DOUBLE) AS hs, CAST(n_chars % 83 AS DOUBLE) AS co FROM x),
+_TX = f"""WITH {M}, {_X}, t AS (SELECT item_id, artifact AS mi, texture AS lc, CAST(n_chars % 101 AS DOUBLE) AS es, CAST(n_tokens % 97 AS DOUBLE) + 0.0123457 AS hs, CAST(n_chars % 83 AS DOUBLE) AS co FROM x),
 s AS (SELECT avg(mi) AS m1, stddev_pop(mi) AS s1, avg(lc) AS m2, greatest(5, stddev_pop(lc)) AS s2, avg(es) AS m3, greatest(5, stddev_pop(es)) AS s3, avg(hs) AS m4, greatest(5, stddev_pop(hs)) AS s4, avg(co) AS m5, greatest(5, stddev_pop(co)) AS s5 FROM t),
 r AS (SELECT item_id, mi, s1, round_even(mi - m1, 2) AS delta, round_even(greatest(0, least(100, 100 * exp(-sqrt((pow((mi - m1) / greatest(5, s1), 2) + pow((lc - m2) / s2, 2) + pow((es - m3) / s3, 2) + pow((hs - m4) / s4, 2) + pow((co - m5) / s5, 2)) / 5)))), 2) AS representative,
   round_even(greatest(0, least(100, 100 - (0.52 * mi + 0.30 * hs + 0.18 * greatest(0, es - lc)))), 2) AS cleanliness, CASE WHEN mi > m1 + greatest(8, s1) THEN 'above' WHEN mi < m1 - greatest(8, s1) THEN 'below' END AS outlier FROM t, s)"""
@@ -75,14 +75,14 @@ def corpus_missing_paths(spark, d):
     return summaries.missing_paths(*_corpus(spark, d))
 
 
-@query(f"""WITH {_G}, h AS (SELECT *, (coalesce(lag(v) OVER {ACROSS}, v) + v + coalesce(lead(v) OVER {ACROSS}, v)) / 3 AS h FROM g), b AS (SELECT id, y, x, v, (coalesce(lag(h) OVER {DOWN}, h) + h + coalesce(lead(h) OVER {DOWN}, h)) / 3 AS w FROM h),
+@query(f"""WITH {_G}, h AS (SELECT *, (coalesce(lag(v) OVER {ACROSS}, v) + v + coalesce(lead(v) OVER {ACROSS}, v)) / 3 AS h FROM g), b AS (SELECT id, y, x, v, floor((coalesce(lag(h) OVER {DOWN}, h) + h + coalesce(lead(h) OVER {DOWN}, h)) / 3 + 1e-6) AS w FROM h),
 p AS (SELECT id, round(avg(abs(v - w)), 6) AS pixel_difference FROM b GROUP BY id), k AS (SELECT id, CAST(floor(v * 64 / 256.0) AS INT) AS bin, 1 AS a, 0 AS c FROM b UNION ALL SELECT id, CAST(floor(w * 64 / 256.0) AS INT), 0, 1 FROM b), n AS (SELECT id, bin, sum(a) AS a, sum(c) AS c FROM k GROUP BY id, bin),
 q AS (SELECT id, round(sqrt(greatest(0, 1 - sum(sqrt(a * c)) / sqrt(sum(a) * sum(c)))), 6) AS histogram_difference FROM n GROUP BY id)
 SELECT id, pixel_difference, histogram_difference, pixel_difference <= 20 AND histogram_difference <= 0.5 AS accepted FROM p JOIN q USING (id)""")
 def grid_preservation(spark, d):
-    """A blur stands for a cleanup."""
+    """A blur, in whole shades, stands for a cleanup."""
     before = grid(spark, d)
-    after = grids.box_blur(before).select("id", "y", "x", F.col("blur").alias("v"))
+    after = grids.box_blur(before).select("id", "y", "x", F.floor(F.col("blur") + 1e-6).alias("v"))
     found = summaries.accepted(summaries.preservation(before, after), {"pixel_difference": 20.0, "histogram_difference": 0.5})
     return found.select("id", "pixel_difference", "histogram_difference", "accepted")
 
