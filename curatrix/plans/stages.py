@@ -12,6 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curatrix.operators.items import measured
+from curatrix.operators.numbering import numbered
+from curatrix.operators.rules import LONG, SHORT, all_findings
+from curatrix.operators.triage import buckets, per_item, urgency
+from curatrix.sources.shared import exists
 
 Make = Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
 
@@ -24,6 +31,7 @@ class Stage:
     produces: str = ""
     config: dict = field(default_factory=dict, hash=False)
     ram_mb: int = 0
+    disk_mb: int = 0
 
 
 def digest(value: object) -> str:
@@ -50,9 +58,17 @@ def fingerprints(stages: list[Stage], source: str) -> dict[str, str]:
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def source_digest(files: DataFrame) -> str:
+    """A digest of what sources hold (path, sha), whatever their order: count, sum and parity of their hashes, partial on each task."""
+    h = F.xxhash64("path", "sha")
+    r = files.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(path, sha))").alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+    return digest([r.n, r.x, str(r.s)])
+
+
+def estimate(stages: list[Stage], todo: list[tuple[str, str, str]]) -> dict[str, int]:
+    """What the stages that would run declare: disk in all, the most memory of one."""
+    due = [s for s, t in zip(stages, todo, strict=True) if t[1] == "run"]
+    return {"stages": len(due), "disk_mb": sum(s.disk_mb for s in due), "ram_mb": max((s.ram_mb for s in due), default=0)}
 
 
 def plan(spark: SparkSession, stages: list[Stage], folder: str, source: str, forced: tuple[str, ...] = ()) -> list[tuple[str, str, str]]:
@@ -60,7 +76,7 @@ def plan(spark: SparkSession, stages: list[Stage], folder: str, source: str, for
     prints, out, running = fingerprints(stages, source), [], set()
     for s in stages:
         path = f"{folder}/{s.id}-{prints[s.id][:24]}"
-        run = s.id in forced or not _exists(spark, path) or any(r in running for r in s.requires)
+        run = s.id in forced or not exists(spark, f"{path}/_SUCCESS") or any(r in running for r in s.requires)
         if run:
             running.add(s.produces)
         out.append((s.id, "run" if run else "skip", path))
@@ -71,7 +87,7 @@ def run(spark: SparkSession, stages: list[Stage], folder: str, source: str, inpu
     """All artifacts, of stages that ran now and of those that were read."""
     validate(stages, tuple(inputs))
     todo = plan(spark, stages, folder, source, forced)
-    need = max((s.ram_mb for s, t in zip(stages, todo, strict=True) if t[1] == "run"), default=0)
+    need = estimate(stages, todo)["ram_mb"]
     if ram_limit_mb and need > ram_limit_mb:
         raise MemoryError(f"a stage declares {need} MB; {ram_limit_mb} are allowed")
     have = dict(inputs)
@@ -82,6 +98,25 @@ def run(spark: SparkSession, stages: list[Stage], folder: str, source: str, inpu
     return have
 
 
+#: Memory that the default stages declare, in MB.
+RAM = {"scan": 64, "analysis": 256, "recommend": 128, "review": 256}
+
+
+def default_stages(short: int = SHORT, long: int = LONG) -> list[Stage]:
+    """From records (doc_id, text, source) to items, their findings, recommendations and the order of review."""
+
+    def review(_: SparkSession, have: dict[str, DataFrame]) -> DataFrame:
+        per = have["recommendations"].withColumn("decided", F.lit(False))
+        return numbered(per.filter("bucket <> 'READY_FOR_TRAINING'"), *urgency(per), name="place").select("item_id", "bucket", "reason", "place")
+
+    return [
+        Stage("scan", lambda _, have: measured(have["records"]).drop("text"), ("records",), "items", ram_mb=RAM["scan"]),
+        Stage("analysis", lambda _, have: all_findings(have["items"], short, long), ("items",), "findings", {"short": short, "long": long}, RAM["analysis"]),
+        Stage("recommend", lambda _, have: buckets(per_item(have["items"], have["findings"])), ("items", "findings"), "recommendations", ram_mb=RAM["recommend"]),
+        Stage("review", review, ("recommendations",), "queue", ram_mb=RAM["review"]),
+    ]
+
+
 #: Session settings by profile of resources.
 PROFILES = {
     "eco": {"spark.sql.shuffle.partitions": "64", "spark.sql.files.maxPartitionBytes": "64m"},

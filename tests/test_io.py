@@ -91,6 +91,21 @@ def test_stages_skip_what_is_done(spark, tmp_path):
         stages.validate([a, a], ("in",))
 
 
+def test_default_stages_end_in_a_review_queue(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    all_ = stages.default_stages()
+    stages.validate(all_, ("records",))
+    first = stages.plan(spark, all_, str(tmp_path), "s")
+    assert stages.estimate(all_, first) == {"stages": 4, "disk_mb": 0, "ram_mb": 256}
+    made = stages.run(spark, all_, str(tmp_path), "s", {"records": docs})
+    queue = made["queue"].orderBy("place").collect()
+    assert [r.place for r in queue] == list(range(1, len(queue) + 1)) and {r.bucket for r in queue} <= {"PRIORITY_REVIEW", "NEEDS_REVIEW"}
+    assert len(queue) == made["recommendations"].filter("bucket <> 'READY_FOR_TRAINING'").count() > 0
+    assert {what for _, what, _ in stages.plan(spark, all_, str(tmp_path), "s")} == {"skip"}
+    files_ = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha string")
+    assert stages.source_digest(files_) == stages.source_digest(files_.orderBy("path", ascending=False)) != stages.source_digest(files_.limit(1))
+
+
 def test_registry(spark):
     r = stages.Registry()
     r.register("add", lambda df, by: df.withColumn("id", F.col("id") + by), {"by": 1})
