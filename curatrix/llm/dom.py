@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from html import unescape
@@ -55,61 +56,93 @@ class Dom:
         return i
 
 
-def _foreign(open_: list[str]) -> int:
-    """Where the drawing or formula begins whose content comes next; -1 if HTML comes next."""
-    at = -1
-    for i, tag in enumerate(open_):
-        if tag in FOREIGN:
-            at = i if at < 0 else at
-        elif at >= 0 and tag in _HOLDS_HTML:
+class Open:
+    """A stack of open elements that knows, in constant time, where each name stands and which drawing or formula is open."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.foreign: list[int] = []  # of each element, where the drawing or formula begins whose content comes next; -1 for HTML
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __contains__(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def push(self, name: str) -> None:
+        at = self.foreign[-1] if self.foreign else -1
+        if name in FOREIGN:
+            at = len(self.names) if at < 0 else at
+        elif at >= 0 and name in _HOLDS_HTML:
             at = -1
-    return at
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.foreign.append(at)
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from that place on."""
+        while len(self.names) > depth:
+            self.places[self.names.pop()].pop()
+            self.foreign.pop()
+
+    def last(self, *names: str) -> int:
+        """The innermost place of any of the names; -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def first(self, name: str) -> int:
+        return self.places[name][0]
+
+    @property
+    def drawing(self) -> int:
+        return self.foreign[-1] if self.foreign else -1
 
 
-def _skip(skipping: list[str], tag: str, closing: bool, closed: bool, outside: Callable[[str], bool]) -> bool:
+def _skip(skipping: Open, tag: str, closing: bool, closed: bool, outside: Callable[[str], bool]) -> bool:
     """Follows a tag within a dropped element: the elements open in it, itself first. False: it has ended before this tag.
 
     closed: the tag ends in "/>". outside: whether an element of that name is open around the dropped one.
     """
     if closing:
         if tag in skipping:
-            del skipping[len(skipping) - 1 - skipping[::-1].index(tag) :]
+            skipping.cut(skipping.last(tag))
             return True
         if tag not in VOID and outside(tag):
-            skipping.clear()
+            skipping.cut(0)
             return False
         return True
-    if tag == "body" or (skipping == ["head"] and tag not in IN_HEAD) or (tag in CELLS and "table" not in skipping and (outside("td") or outside("th"))):
-        skipping.clear()
+    if tag == "body" or (len(skipping) == 1 and "head" in skipping and tag not in IN_HEAD) or (tag in CELLS and "table" not in skipping and (outside("td") or outside("th"))):
+        skipping.cut(0)
         return False
-    at = _foreign(skipping)
+    at = skipping.drawing
     if at >= 0 and tag in _BREAKS_OUT:
-        del skipping[at:]
-        if not skipping:
+        skipping.cut(at)
+        if not len(skipping):
             return False
         at = -1
     if tag in ("button", "option", "select") and tag in skipping and "template" not in skipping:
         # a second one ends the first
-        del skipping[skipping.index(tag) :]
+        skipping.cut(skipping.first(tag))
         if tag == "select":
             return True
-        if not skipping:
+        if not len(skipping):
             return False
     if tag not in VOID and tag not in RAW and not (closed and (at >= 0 or tag in FOREIGN)):
-        skipping.append(tag)
+        skipping.push(tag)
     return True
 
 
 def parse(html: str) -> Dom:
     """A page's blocks. A run of text and inline elements between blocks is a node "#text", or its element's own text if that has no other.
 
-    Never fails: what isn't markup is text, what isn't closed ends with its parent or the page.
+    Never fails: what isn't markup is text, what isn't closed ends with its parent or the page. Each tag takes constant time,
+    however deep it stands.
     """
     dom = Dom()
-    stack = [dom.open(-1, "#page", "")]
-    names = ["#page"]
-    skipping: list[str] = []  # the dropped element that is open, and the elements open in it
-    inlines: list[str] = []  # the inline elements open since the last block began or ended
+    stack, names = [dom.open(-1, "#page", "")], Open()
+    names.push("#page")
+    skipping = Open()  # the dropped element that is open, and the elements open in it
+    inlines: Counter[str] = Counter()  # the inline elements open since the last block began or ended
     run: list[str] = []
     links = linked = inner = 0
 
@@ -127,15 +160,15 @@ def parse(html: str) -> Dom:
         flush()
         while len(stack) > depth:
             dom.end[stack.pop()] = len(dom.parent)
-            names.pop()
+        names.cut(depth)
 
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
         begin = m.start() if m else size
-        if begin > at and skipping == ["head"] and not html[at:begin].isspace():
-            skipping.clear()
-        if begin > at and not skipping:
+        if begin > at and len(skipping) == 1 and "head" in skipping and not html[at:begin].isspace():
+            skipping.cut(0)
+        if begin > at and not len(skipping):
             part = unescape(html[at:begin])
             run.append(part)
             if links:
@@ -147,9 +180,9 @@ def parse(html: str) -> Dom:
         if tag is None:
             continue
         tag, closing, closed = tag.lower(), bool(m[1] or m[4]), (m[3] or m[6] or "").endswith("/")
-        if skipping:
-            foreign = _foreign(skipping) >= 0
-            if _skip(skipping, tag, closing, closed, lambda t: t in names or t in inlines):
+        if len(skipping):
+            foreign = skipping.drawing >= 0
+            if _skip(skipping, tag, closing, closed, lambda t: t in names or inlines[t] > 0):
                 if tag in RAW and not closing and not (closed and foreign):
                     at = _ENDS[tag].search(html, at).end()
                 continue
@@ -159,10 +192,10 @@ def parse(html: str) -> Dom:
                 links = max(0, links + (-1 if closing else 1))
             elif tag == "br":
                 run.append(" ")
-            if closing and tag in inlines:
-                del inlines[len(inlines) - 1 - inlines[::-1].index(tag)]
+            if closing and inlines[tag] > 0:
+                inlines[tag] -= 1
             elif not closing and tag not in VOID:
-                inlines.append(tag)
+                inlines[tag] += 1
             continue
         if tag in DROPPED:
             if not closing:
@@ -170,11 +203,11 @@ def parse(html: str) -> Dom:
                 if tag in RAW:
                     at = _ENDS[tag].search(html, at).end()
                 elif not (closed and tag in FOREIGN):
-                    skipping.append(tag)
+                    skipping.push(tag)
             continue
         if closing:
             if tag in names:
-                close(len(names) - 1 - names[::-1].index(tag))
+                close(names.last(tag))
                 links = 0
                 inlines.clear()
             else:
@@ -184,22 +217,16 @@ def parse(html: str) -> Dom:
         links = 0
         inlines.clear()
         which, until = CLOSES.get(tag, ("", ()))
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in until:
-                break
-            if names[k] in which.split():
-                close(k)
-                break
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in _STAYS:
-                break
-            if names[k] == "p":
-                close(k)
-                break
+        ended = names.last(*which.split())
+        if ended > max(0, names.last(*until)):
+            close(ended)
+        ended = names.last("p")
+        if ended > names.last(*_STAYS):
+            close(ended)
         if tag in VOID:
             continue
         stack.append(dom.open(stack[-1], tag, m[3] or m[6] or ""))
-        names.append(tag)
+        names.push(tag)
     close(0)
     _merge(dom)
     return dom

@@ -26,7 +26,7 @@ from curatrix.llm.dom import Dom, parse
 from curatrix.llm.page_samples import MARK, sample
 from curatrix.sources.shared import table
 
-TRAINING_PAGES = 1200
+TRAINING_PAGES = 2000
 TREES, DEPTH, RATE, BINS, RIDGE = 80, 4, 0.2, 32, 5.0
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")

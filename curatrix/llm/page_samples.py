@@ -26,7 +26,26 @@ NAMES = {
     "article": "article post entry story content main main-content post-content entry-content article-body article-content article-text story-body post-body body-text text body hentry blog-post page-content copy prose news-article single-post",
     "neutral": "container wrapper wrap row col inner outer page site grid section block box layout column span left right center clearfix app root",
 }
-_NAMES = {k: v.split() for k, v in NAMES.items()}
+#: The same in German, French and Spanish.
+FOREIGN_NAMES = {
+    "header": "kopf kopfbereich seitenkopf entete en-tete bandeau cabecera encabezado",
+    "nav": "navigation hauptnavigation menue hauptmenue brotkrumen seitennavigation fil-ariane menu-principal navegacion menu-superior migas",
+    "notice": "hinweis cookie-hinweis datenschutzhinweis meldung avis bandeau-cookies avertissement aviso aviso-cookies mensaje",
+    "ad": "anzeige werbung werbeblock publicite pub encart-pub publicidad anuncio patrocinado",
+    "sidebar": "seitenleiste randspalte mehr-zum-thema verwandte-artikel meistgelesen colonne barre-laterale articles-lies a-lire-aussi barra-lateral relacionados mas-leidos",
+    "share": "teilen partager reseaux-sociaux compartir redes-sociales",
+    "comments": "kommentare kommentar leserkommentare diskussion commentaires commentaire reactions avis-lecteurs comentarios comentario opiniones",
+    "form": "suche suchformular anmeldung formular recherche inscription formulaire connexion buscador formulario registro boletin",
+    "footer": "fuss fusszeile seitenfuss impressum rechtliches pied-de-page pied mentions-legales pie pie-de-pagina aviso-legal creditos",
+    "author": "autor autorenbox ueber-den-autor auteur a-propos-auteur sobre-el-autor",
+    "article": "artikel beitrag inhalt hauptinhalt artikeltext beitragstext contenu texte corps-article contenu-principal articulo contenido noticia cuerpo texto-noticia",
+    "neutral": "rahmen seite zeile spalte bereich kasten conteneur colonne bloc ligne contenedor fila columna bloque",
+}
+_OWN = {k: v.split() for k, v in NAMES.items()}
+_ALL = {k: [*v, *FOREIGN_NAMES[k].split()] for k, v in _OWN.items()}
+#: How the lines at the foot of pages begin, and what stands in menus, in four languages.
+RIGHTS = ["Copyright", "&copy;", "(c)", "&copy; Copyright", "All rights reserved.", "Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados."]
+MENU = "Home News About Contact Imprint Privacy Terms Login Start Nachrichten Kontakt Impressum Datenschutz AGB Accueil Actualités Contact Mentions-légales Connexion Inicio Noticias Contacto Aviso-legal Privacidad".split()
 _PARTS = "a an be co de el en er es est ing in ion is la le ly me ment na ne no o on or pa que ra re ri s se st ta te th ti to tion u un ver y".split()
 
 
@@ -34,6 +53,8 @@ class _Page:
     def __init__(self, rng: random.Random) -> None:
         self.rng = rng
         self.words = ["".join(rng.choices(_PARTS, k=rng.randint(1, 4))) for _ in range(150)]
+        self.names = _OWN if rng.random() < 0.6 else _ALL
+        self.plain = rng.random() < 0.12  # a page that hardly names or marks its parts
 
     def some(self, low: int, high: int) -> str:
         r = self.rng
@@ -55,10 +76,13 @@ class _Page:
     def named(self, part: str, tags: str, inside: str, bare: float = 0.15, marked: bool = False) -> str:
         r = self.rng
         tag = r.choice(tags.split())
+        if self.plain and part != "comments" and tag not in ("td", "ul", "ol", "li"):
+            tag = "div"
         own = tag in ("nav", "header", "footer", "aside", "article", "main", "form")
-        name = "" if r.random() < (0.5 if own else bare) else " ".join(r.sample(_NAMES[part], 1 + (r.random() < 0.25)))
+        hidden = self.plain and part in ("nav", "header", "footer", "article", "neutral") and r.random() < 0.8
+        name = "" if hidden or r.random() < (0.5 if own else bare) else " ".join(r.sample(self.names[part], 1 + (r.random() < 0.25)))
         if name and r.random() < 0.3:
-            name += " " + r.choice(_NAMES["neutral"])
+            name += " " + r.choice(self.names["neutral"])
         if name and r.random() < 0.15:
             name = name.replace("-", "_")
         at = "" if not name else f' {r.choice(["class", "class", "id"])}="{name}"'
@@ -67,7 +91,8 @@ class _Page:
     def links(self, low: int, high: int) -> str:
         r = self.rng
         n, kind = r.randint(low, high), r.random()
-        one = lambda: f'<a href="/{self.few(1, 1)}">{self.few(1, 5)}</a>'
+        menu = r.random() < 0.3
+        one = lambda: f'<a href="/{self.few(1, 1)}">{r.choice(MENU) if menu else self.few(1, 5)}</a>'
         if kind < 0.6:
             return "<ul>" + "".join(f"<li>{one()}</li>" for _ in range(n)) + "</ul>"
         return r.choice([" | ", " ", "<br>"]).join(one() for _ in range(n)) if kind < 0.85 else "".join(f"<div>{one()}</div>" for _ in range(n))
@@ -148,6 +173,20 @@ class _Page:
         inside = "".join(r.choice([self.teaser, lambda: self.links(3, 8), self.advert, self.form, lambda: f"<h3>{self.few()}</h3><p>{self.some(5, 40)}</p>"])() for _ in range(r.randint(1, 3)))
         return self.named("sidebar", "aside aside div div section", inside, 0)
 
+    def table(self, main: str) -> str:
+        """A layout of table rows and cells: a head, a menu beside the article, a foot."""
+        r = self.rng
+        cell = lambda x: f"<td{r.choice(['', '', ' valign=top', ' width=160', ' bgcolor=#eeeeee'])}>{x}</td>"
+        menu = r.choice([" ", "<br>", " | "]).join(f"<a href=x>{r.choice(MENU) if r.random() < 0.5 else self.few(1, 3)}</a>" for _ in range(r.randint(2, 10)))
+        rows = [cell(menu) + cell(main) if r.random() < 0.6 else cell(main) + cell(menu)]
+        if r.random() < 0.5:
+            rows[0] += cell(r.choice([self.teaser, self.advert])())
+        if r.random() < 0.6:
+            rows.insert(0, cell(self.few(1, 4)))
+        if r.random() < 0.7:
+            rows.append(cell(f"{r.choice(RIGHTS)} {r.randint(1998, 2026)} {self.few(0, 4)}"))
+        return "<table>" + "".join(f"<tr>{x}</tr>" for x in rows) + "</table>"
+
     def whole(self) -> str:
         r = self.rng
         main = self.article()
@@ -164,9 +203,12 @@ class _Page:
                 i = parts.index(main)
                 parts.insert(r.randint(0, i) if r.random() < before else r.randint(i + 1, len(parts)), make())
         if r.random() < 0.8:
-            inside = r.choice([f"<p>{self.some(3, 25)}</p>", self.some(3, 25), f"&copy; {self.few(1, 3)} {self.some(2, 15)}", self.links(2, 9), self.links(2, 6) + f"<p>{self.some(2, 30)}</p>"])
+            rights = f"{r.choice(RIGHTS)} {r.choice(['', str(r.randint(1998, 2026))])} {self.few(0, 4)}"
+            inside = r.choice([f"<p>{self.some(3, 25)}</p>", self.some(3, 25), rights, f"<p>{rights}</p>", f"&copy; {self.few(1, 3)} {self.some(2, 15)}", self.links(2, 9), self.links(2, 6) + f"<p>{self.some(2, 30)}</p>"])
             parts.append(self.named("footer", "footer footer footer div", inside, 0))
         body = "".join(parts)
+        if self.plain and r.random() < 0.5:
+            body = self.table(main)
         if r.random() < 0.3:
             body = self.named("neutral", "div", body, 0)
         if r.random() < 0.03:

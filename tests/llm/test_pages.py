@@ -103,3 +103,53 @@ def test_extraction_of_odd_rows(spark, model):
     assert got[1, "u"].text.startswith("A story It goes") and got[1, "u"].n_chars == len(got[1, "u"].text)
     assert got[2, None].text == "" and got[2, None].n_chars == 0 and got[None, "u"].text == ""
     assert extraction.extract(pages.limit(0), model).count() == 0
+
+
+SENTENCES = {
+    "de": "Am Morgen zog der Nebel über die Felder, und niemand im Dorf ahnte, was der Tag noch bringen würde. ",
+    "fr": "Le matin, la brume couvrait les champs, et personne au village ne devinait ce que le jour apporterait. ",
+    "es": "Por la mañana la niebla cubría los campos, y nadie en el pueblo sabía lo que traería el día. ",
+    "en": "In the morning fog lay on the fields, and nobody in the village knew what the day would bring. ",
+}
+
+
+@pytest.mark.parametrize(
+    ("language", "page"),
+    [
+        ("de", '<body><div class="kopfbereich"><a href=/>Zeitung</a></div><ul class="hauptnavigation"><li><a href=a>Politik</a><li><a href=b>Sport</a></ul><div class="artikel"><h1>Nebel</h1><p>{0}</p><p>{0}</p></div><div class="werbung">Jetzt kaufen!</div><div class="kommentare"><p>Schöner Text, danke dafür.</p></div><div class="fusszeile"><a href=i>Impressum</a></div></body>'),
+        ("fr", '<body><div class="bandeau-cookies">Nous utilisons des cookies.</div><div class="menu-principal"><a href=a>Accueil</a> <a href=b>Sport</a></div><main><h1>Brume</h1><p>{0}</p><p>{0}</p></main><div class="commentaires"><p>Merci pour ce beau texte.</p></div><div class="pied-de-page"><a href=m>Mentions légales</a></div></body>'),
+        ("es", '<body><div class="cabecera"><a href=/>Diario</a></div><div class="contenido"><h1>Niebla</h1><p>{0}</p><p>{0}</p></div><div class="publicidad">Compre ahora.</div><div class="pie">Todos los derechos reservados.</div></body>'),
+        ("en", "<body><div><a href=/a>Home</a> <a href=/b>News</a></div><div><h1>Fog</h1><p>{0}</p><p>{0}</p></div><div>Copyright 2024</div></body>"),
+        ("en", "<body><table><tr><td>Site</td></tr><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td><h1>Fog</h1><p>{0}</p><p>{0}</p></td></tr><tr><td>&copy; 2024</td></tr></table></body>"),
+    ],
+)
+def test_hand_written_pages(model, language, page):
+    text = SENTENCES[language] * 3
+    got = extraction.main_text(page.replace("{0}", text), model)
+    title = {"de": "Nebel", "fr": "Brume", "es": "Niebla", "en": "Fog"}[language]
+    one = " ".join(text.split())
+    assert got == f"{title} {one} {one}"
+
+
+def test_deep_and_long_pages_take_linear_time(model):
+    import time
+
+    n = 200_000
+    for html in ("<div>" * n + "x", "<b>" * n + "x", "<svg>" * n + "x", "<p>" * n, "<select><option>" * n):
+        began = time.perf_counter()
+        parse(html)
+        assert time.perf_counter() - began < 10
+    article = "<article><h1>A story</h1>" + "<p>It goes like this, and then on. </p>" * 40_000 + "</article>"
+    assert len(article) > 1 << 20
+    assert extraction.main_text(article, model).count("It goes like this") == 40_000
+
+
+def test_the_pages_table_keeps_articles_and_drops_the_rest(spark, model):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = extraction.extract(pages, model).join(pages.select("page_id", "html"), "page_id").collect()
+    assert len(got) == pages.count()
+    for r in got:
+        start = r.html.find("<article")
+        if start >= 0:
+            inside = " ".join(t for t in parse(r.html[start : r.html.find("</article>", start)]).text if t)
+            assert {*r.text.split()} <= {*inside.split()} and len(r.text) > 0.5 * len(inside)
