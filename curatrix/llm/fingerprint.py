@@ -26,6 +26,9 @@ PRIME = (1 << 31) - 1
 BASES = (1_000_003, 1_315_423_911)
 SPAN, SLOTS = 8, 128
 
+BLOCK = 1 << 18  # code points whose hashes are made at a time
+WAYS = 32  # lengths that one step of a search for an extension tries
+
 _tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
@@ -38,18 +41,19 @@ def _reduce(x: np.ndarray) -> np.ndarray:
 
 
 def _series(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
+    out = np.ones(n, np.uint32)
     done = 1
     while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = _reduce(out[:take] * np.uint64(pow(base, done, PRIME)))
+        take = min(done, n - done, BLOCK)
+        out[done : done + take] = _reduce(out[:take].astype(np.uint64) * np.uint64(pow(base, done, PRIME)))
         done += take
     return out
 
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses, kept for the longest text so far: 16 bytes for each of its code points."""
     if not _tables or len(_tables[0][0]) < n:
-        size = max(1 << 17, 1 << (n - 1).bit_length())
+        size = max(1 << 17, n)
         _tables[:] = [(_series(b, size), _series(pow(b, -1, PRIME), size)) for b in BASES]
     return _tables
 
@@ -59,47 +63,84 @@ def code_points(text: str) -> np.ndarray:
 
 
 class Prefixes:
-    """Prefix arrays of a text, for comparing its spans with its own and other texts'."""
+    """Prefix arrays of a text, for comparing its spans with its own and other texts': 8 bytes for each code point."""
 
     def __init__(self, points: np.ndarray) -> None:
         self.n = n = len(points)
-        self.sums = []
-        values = points.astype(np.uint64) + np.uint64(1)
-        for power, _ in _powers(n + 1):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_reduce(values * power[:n]), out=sums[1:])  # below 2**62 up to 2**31 code points
-            self.sums.append(_reduce(sums))
+        self.sums = [np.zeros(n + 1, np.uint32) for _ in BASES]
+        for out, (power, _) in zip(self.sums, _powers(n + 1), strict=True):
+            for at in range(0, n, BLOCK):
+                values = _reduce((points[at : at + BLOCK].astype(np.uint64) + np.uint64(1)) * power[at : min(n, at + BLOCK)])
+                values[0] += out[at]
+                out[at + 1 : at + 1 + len(values)] = _reduce(np.cumsum(values))
 
     def span(self, start: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
         """62-bit hashes of [start, end), the same wherever a span stands."""
-        a, b = (_reduce(_reduce(s[end] + np.uint64(PRIME) - s[start]) * inverse[start]) for s, (_, inverse) in zip(self.sums, _powers(self.n + 1), strict=True))
+        p = np.uint64(PRIME)
+        a, b = (_reduce(_reduce(s[end].astype(np.uint64) + p - s[start]) * inverse[start].astype(np.uint64)) for s, (_, inverse) in zip(self.sums, _powers(self.n + 1), strict=True))
         return a << np.uint64(31) | b
 
+    def whole(self, n: int | None = None, then: Prefixes | None = None, m: int = 0) -> int:
+        """Hash of the first n code points (of all), followed by the first m of another text."""
+        n = self.n if n is None else n
+        out = 0
+        for k, (power, _) in enumerate(_powers(n + 1)):
+            more = int(then.sums[k][m]) * int(power[n]) if then is not None else 0
+            out = out << 31 | (int(self.sums[k][n]) + more) % PRIME
+        return out
+
     def extension(self, other: Prefixes, i: int = 0, j: int = 0) -> int:
-        """Length of the longest common extension of this text from i and the other from j."""
+        """Length of the longest common extension of this text from i and the other from j: a search that halves what is left several times a step."""
         low, high = 0, min(self.n - i, other.n - j)
         while low < high:
-            middle = (low + high + 1) // 2
-            if self.span(i, i + middle) == other.span(j, j + middle):
-                low = middle
-            else:
-                high = middle - 1
+            tried = np.unique(np.linspace(low + 1, high, min(WAYS, high - low)).astype(np.int64))
+            start, same = np.full(len(tried), i), np.full(len(tried), j)
+            equal = int((self.span(start, i + tried) == other.span(same, j + tried)).sum())
+            high = high if equal == len(tried) else int(tried[equal]) - 1
+            low = low if equal == 0 else int(tried[equal - 1])
         return low
 
+    def least(self, first: int, last: int) -> np.ndarray:
+        """The least hash of each slot among the spans of SPAN code points that begin from first to before last; the greatest value if none."""
+        out = np.full(SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
+        for at in range(first, last, BLOCK):
+            start = np.arange(at, min(last, at + BLOCK))
+            h = np.sort(mix(self.span(start, start + SPAN)))
+            begin = np.searchsorted(h, _EDGES)
+            there = np.append(begin[1:], len(h)) > begin
+            out[there] = np.minimum(out[there], h[begin[there]])
+        return out
+
     def sketch(self) -> np.ndarray:
-        """A byte for each slot: 0 if no span fell there, else 1 + the least hash modulo 255."""
+        """A byte for each slot: 0 if no span fell there, else 1 + the least hash modulo 255. A shorter text is one span."""
         if not self.n:
             return np.zeros(SLOTS, np.uint8)
-        start = np.arange(max(1, self.n - SPAN + 1))
-        h = np.sort(mix(self.span(start, np.minimum(start + SPAN, self.n))))
-        edge = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS.bit_length() + 1)
-        first = np.searchsorted(h, edge)
-        there = np.append(first[1:], len(h)) > first
-        least = h[np.minimum(first, len(h) - 1)]
-        return np.where(there, 1 + least % np.uint64(255), 0).astype(np.uint8)
+        if self.n < SPAN:
+            h = mix(self.span(np.zeros(1, np.int64), np.full(1, self.n)))
+            out = np.full(SLOTS, np.uint64(0xFFFFFFFFFFFFFFFF))
+            out[int(h[0]) >> 64 - SLOTS.bit_length() + 1] = h[0]
+            return _bytes(out)
+        return _bytes(self.least(0, self.n - SPAN + 1))
 
     def fingerprint(self) -> tuple[int, int, np.ndarray]:
-        return self.n, int(self.span(0, self.n)), self.sketch()
+        return self.n, self.whole(), self.sketch()
+
+
+_EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS.bit_length() + 1)
+
+
+def _bytes(least: np.ndarray) -> np.ndarray:
+    return np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, 1 + least % np.uint64(255)).astype(np.uint8)
+
+
+def joined_fingerprint(own: Prefixes, a: int, following: Prefixes, b: int, around: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """The fingerprint of own's first a code points and following's first b, at least SPAN of each, from their prefix arrays.
+
+    around: the SPAN - 1 code points before and after where they meet; only spans across it are new.
+    """
+    least = np.minimum(own.least(0, a - SPAN + 1), following.least(0, b - SPAN + 1))
+    across = Prefixes(around).least(0, SPAN - 1)
+    return a + b, own.whole(a, following, b), _bytes(np.minimum(least, across))
 
 
 def as_string(fp: tuple[int, int, np.ndarray]) -> str:
@@ -138,15 +179,22 @@ class _Held:
 
     def __init__(self, doc_id: int | None, text: str | None) -> None:
         self.doc_id, self.text = doc_id, text or ""
-        self.prefixes = Prefixes(code_points(self.text))
+        self.points = code_points(self.text)
+        self.prefixes = Prefixes(self.points)
         self.fp = self.prefixes.fingerprint()
 
     def result(self, following: _Held) -> tuple:
         new = edited(self.text, following.text)
-        other = Prefixes(code_points(new))
-        fp = other.fingerprint()
+        a = self.prefixes.n - self.prefixes.n // 2
+        b = len(new) - a
+        if min(a, b) >= SPAN:
+            around = np.concatenate((self.points[a - SPAN + 1 : a], following.points[: SPAN - 1]))
+            fp = joined_fingerprint(self.prefixes, a, following.prefixes, b, around)
+        else:
+            fp = Prefixes(code_points(new)).fingerprint()
         digest = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        return self.doc_id, self.prefixes.n, digest, as_string(self.fp), as_string(fp), likeness(self.fp, fp), likeness(self.fp, following.fp), self.prefixes.extension(other), self.prefixes.extension(following.prefixes)
+        common = a + self.prefixes.extension(following.prefixes, a)  # up to there the texts are one
+        return self.doc_id, self.prefixes.n, digest, as_string(self.fp), as_string(fp), likeness(self.fp, fp), likeness(self.fp, following.fp), common, self.prefixes.extension(following.prefixes)
 
 
 def _rows(found: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
@@ -156,7 +204,8 @@ def _rows(found: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each of docs, in ascending doc_id (null first, equal ids by content), with its next document's likeness.
 
-    A null text is empty. A single document is its own next. common_edited and common_next: lengths of the longest common
+    A null text is empty; no documents give no rows; other columns of docs, whatever their names, aren't read. A long text is
+    held whole with the next one, at some 40 bytes of memory for each code point. A single document is its own next. common_edited and common_next: lengths of the longest common
     prefixes. Texts are shuffled once, to ranges of doc_id; each range's last document meets the next range's first in a
     second step, on one row for each range.
     """
