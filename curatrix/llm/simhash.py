@@ -8,7 +8,9 @@ join key (seven segments, 28 bits, for the values used). Fingerprints that share
 Survivors of one chain are compared without pairing a bucket's members with each other: two of them differ in at most
 two bits if and only if they have a midpoint at one bit or less from both. Each sends its midpoints (only bits outside
 the chain can differ), and those that meet at one are linked to the least of them; a midpoint is met by at most one
-fingerprint for each bit and one more, however many copies there are. Equal fingerprints are one from the start.
+fingerprint for each bit and one more, however many copies there are. Longer chains, up to all segments but one, have a
+budget of one difference, so of two differences one at least stands in the ring's last segment: midpoints that are only met
+by flips before it are over budget and pruned (such a pair has another chain). Equal fingerprints are one from the start.
 """
 
 from __future__ import annotations
@@ -73,8 +75,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     rows = distinct.select("fp", F.explode(turned).alias("r")).select("fp", "r.i", "r.x", F.expr(f"shiftrightunsigned(r.x, {rest})").alias("chain"))
     shared = rows.groupBy("i", "chain").count().filter("count > 1").drop("count")
     left = rows.join(shared, ["i", "chain"], "left_semi")
-    middle = F.expr(f"concat(array(x), transform(sequence(0, {rest - 1}), b -> x ^ shiftleft(1L, b)))")
-    met = left.select("fp", "i", F.explode(middle).alias("middle")).groupBy("i", "middle").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+    # bits below `wide` are the last segment; nothing flipped counts as there, as it takes no budget
+    middle = F.expr(f"concat(array(struct(x AS m, true AS last)), transform(sequence(0, {rest - 1}), b -> struct(x ^ shiftleft(1L, b) AS m, b < {wide} AS last)))")
+    each = left.select("fp", "i", F.explode(middle).alias("e")).select("fp", "i", F.col("e.m").alias("middle"), F.col("e.last").alias("last"))
+    met = each.groupBy("i", "middle").agg(F.collect_list("fp").alias("fps"), F.bool_or("last").alias("last")).filter("size(fps) > 1 AND last")
     pairs = met.select(F.array_min("fps").alias("src"), F.explode("fps").alias("dst")).filter("src <> dst").distinct()
     return pairs.filter(f"bit_count(src ^ dst) <= {distance}")
 
@@ -92,7 +96,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row for each of docs.
 
     Rows without words have fingerprint 0 and are linked like any other; repeated rows share a component; a null doc_id is
-    never the least (a component of nothing else has a null component_id).
+    never the least (a component of nothing else has a null component_id). No documents give no rows; other columns of docs,
+    whatever their names, are left out. A long text is taken whole, at some 100 bytes of memory for each of its words.
     """
     marked = materialize(fingerprints(docs.select("doc_id", "text")), "simhash")
     named = marked.join(components(marked, distance), "fp", "left")
@@ -104,10 +109,12 @@ def representatives(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     Of repeated rows with that id any one stays; so does one row of a component that has no id.
     """
-    marked = materialize(fingerprints(packed(docs), keep=["doc_id", "text", "row"]), "simhash")
-    # a row for each component, which rows of equal ids share: what is settled below has only those that tie
-    least = marked.join(components(marked.select("doc_id", "fp"), distance), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return unpacked(least.dropDuplicates(["component"]), docs.columns)
+    marked = materialize(fingerprints(packed(docs), keep=["doc_id", "text", "row"]).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))), "simhash")
+    found = components(marked.select("doc_id", "fp"), distance)
+    # settled on ids and fingerprints; texts are shuffled once, by both, so that copies of one fingerprint don't meet in a task
+    least = marked.select("d", "doc_id", "fp").join(found, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("component").agg(F.min(F.struct("fp", "d")).alias("at")).select("at.fp", "at.d")
+    return unpacked(marked.join(kept, ["fp", "d"]).dropDuplicates(["fp", "d"]), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
