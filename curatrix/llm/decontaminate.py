@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
 from curatrix.llm.kernels import LOWER, NOT_ALNUM, prefix, spans, text_arrays, union, words
+from curatrix.sources.shared import materialize, table
 
 #: Words in a window, and in a shingle of it.
 WINDOW, SHINGLE = 13, 3
@@ -192,11 +193,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     """The columns `keep` of docs, then n_words, n_hit, n_items, items_sha256, contaminated, one row for each of docs.
 
     A null text has no words; an item without words has no window; a null item_id counts as the empty string; repeated
-    items count once; an empty benchmark hits nothing. Other columns of either table aren't read.
+    items count once; an empty benchmark hits nothing; no documents give no rows. Other columns of either table aren't read,
+    so their names clash with nothing. A long text is taken whole, at some 100 bytes of memory for each of its words. The
+    benchmark's windows are made once; each block of them costs two passes over the documents.
     """
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    windows = windows_of(benchmark)
+    windows = materialize(windows_of(benchmark), "windows")
     n_blocks = max(1, -(-windows.count() // block_windows))
     windows = windows.withColumn("b", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
     have = docs
@@ -243,9 +246,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
 _OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from curatrix.sources.shared import table
-
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return annotate(docs, table(spark, sf_dir, "benchmark"))
 
