@@ -4,6 +4,8 @@ A line's hash, rolled over LOOK lines, decides whether a chunk ends there; as on
 deletion elsewhere moves no other boundary. Chunks of at least two lines that stand more than once in the corpus are
 compared byte for byte with the first of them (by document, then place) and removed where they are the same; the first
 stays. Blank lines and white space at a line's end don't count for boundaries but do for equality.
+A chunk ends after MOST lines at the latest. Of runs of that many lines without a boundary by hash (one of some ten million)
+the cut counts from the chunk's beginning, so it moves with it until the next such boundary.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from curatrix.llm.anchors import texts_by_key
 from curatrix.llm.arrow import batch_of
 from curatrix.llm.kernels import MASK64, text_arrays
 from curatrix.llm.rows import LAST_ID, row_key
-from curatrix.sources.shared import materialize, table
+from curatrix.sources.shared import Scratch, materialize, table
 
 LOOK, DIVISOR, LEAST, MOST = 2, 4, 2, 64
 _ROLL = 0x9E3779B97F4A7C15
@@ -61,18 +63,18 @@ def _found(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for k, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _pairs(batch.column(2)), strict=True):
-                rows += [(xxhash.xxh3_64_intdigest(text[a:b]) - (1 << 63), k, doc, c) for c, (a, b, n) in enumerate(chunks(text)) if n >= 2]
+                rows += [(xxhash.xxh3_128_digest(text[a:b]), k, doc, c) for c, (a, b, n) in enumerate(chunks(text)) if n >= 2]
             if rows:
-                yield batch_of(["digest", "k", "doc", "c"], list(zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+                yield batch_of(["digest", "k", "doc", "c"], list(zip(*rows, strict=True)), [pa.binary(), pa.binary(), pa.int64(), pa.int32()])
 
     rows = docs.select(row_key().alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    return rows.mapInArrow(run, "digest long, k long, doc long, c int")
+    return rows.mapInArrow(run, "digest binary, k binary, doc long, c int")
 
 
 def _bytes_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (digest, k, c) with the chunks' bytes."""
     per_row = wanted.groupBy("k").agg(F.collect_set(F.struct("digest", "c")).alias("found"))
-    both = texts.join(per_row.hint("shuffle_hash"), "k").select("k", "doc_id", "text", "found")
+    both = texts.join(per_row, "k").select("k", "doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,26 +83,28 @@ def _bytes_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 parts = chunks(text)
                 rows += [(x["digest"], k, x["c"], text[parts[x["c"]][0] : parts[x["c"]][1]]) for x in found]
             if rows:
-                yield batch_of(["digest", "k0", "c0", "body"], list(zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+                yield batch_of(["digest", "k0", "c0", "body"], list(zip(*rows, strict=True)), [pa.binary(), pa.binary(), pa.int32(), pa.binary()])
 
-    return both.mapInArrow(run, "digest long, k0 long, c0 int, body binary").dropDuplicates(["digest"])
+    return both.mapInArrow(run, "digest binary, k0 binary, c0 int, body binary").dropDuplicates(["digest"])
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_sha256 and text of what is left, of each of docs.
 
-    A null text has no lines. Rows are told apart by doc_id and text: of rows that agree in both, each loses what an earlier
+    A null text has no lines; no documents give no rows; other columns of docs, whatever their names, are left out. A null
+    doc_id comes after all others. A long text is taken whole. Rows are told apart by doc_id and text: of rows that agree in both, each loses what an earlier
     document or place has, and they keep the same.
     """
     docs = docs.select("doc_id", "text")
-    texts = texts_by_key(docs)
+    scratch = Scratch(docs.sparkSession)
+    texts = texts_by_key(docs, scratch)
     found = materialize(_found(docs), "chunks")
     first = found.groupBy("digest").agg(F.min(F.struct("doc", "k", "c")).alias("at"), F.count("*").alias("times")).filter("times > 1")
     first = materialize(first.selectExpr("digest", "at.k AS k", "at.c AS c"), "first-chunks")
     bodies = _bytes_of(texts, first)
     again = found.join(bodies, "digest").filter("k <> k0 OR c <> c0").select("k", F.struct("c", "body").alias("x"))
     per_row = again.groupBy("k").agg(F.collect_list("x").alias("found"))
-    both = texts.join(per_row.hint("shuffle_hash"), "k", "left").select("doc_id", "text", "found")
+    both = texts.join(per_row, "k", "left").select("doc_id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

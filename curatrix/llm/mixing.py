@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.llm.rows import packed, unpacked
+from curatrix.llm.rows import packed, row_key, unpacked
 from curatrix.sources.shared import materialize, table
 
 WEIGHTS, COPIES = (5, 2, 1), 3
@@ -46,7 +46,8 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     """doc_id, k (the row's key), size, source_size, target, copies_taken, taken, one row for each of docs.
 
     A null text has size 0 (and is taken, without words, as long as its place comes before the cut); a null source is a
-    source, the last; repeated rows queue one after another; equal orders are settled by doc_id and size.
+    source, the last; repeated rows queue one after another; equal orders are settled by doc_id and size. No documents give
+    no rows; other columns, whatever their names, aren't read. Texts of any length are only counted.
     """
     spark = docs.sparkSession
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -77,7 +78,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
 
 def _key() -> Column:
     """Rows that share it agree in id, text and source, so they stand for each other."""
-    return F.xxhash64("doc_id", "text", "source")
+    return F.concat(row_key(), F.coalesce(F.col("source").cast("binary"), F.lit(b"\xff")))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -20,4 +20,6 @@ QUERIES = {
 SQL = {
     "op4_source_mixing": mixing.SQL,
     "op5_benchmark_decontamination": decontaminate.SQL,
+    "op8_substring_dedup": substrings.SQL,
+    "op9_suffix_array_dedup": suffixes.SQL,
 }

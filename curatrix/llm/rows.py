@@ -10,11 +10,12 @@ LAST_ID = (1 << 63) - 1
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A key for a row of documents that also tells repeated or missing ids apart when their texts differ.
+    """A key for a row of documents that also tells repeated or missing ids apart when their texts differ: id and MD5 of the text.
 
-    Rows that agree in both columns share it; they are interchangeable for every operator here.
+    Rows that agree in both columns share it; they are interchangeable for every operator here. It is never null.
     """
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    number = F.coalesce(F.unhex(F.lpad(F.hex(F.col(doc_id).cast("long")), 16, "0")), F.lit(b""))
+    return F.concat(number, F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b"\0")))
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -40,3 +40,18 @@ def test_stages(spark):
 
 def test_run_is_the_stages_in_order(spark):
     assert P.run(spark, DATA).columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and P.run(spark, DATA).count() > 0
+
+
+def test_stages_take_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, k string, row int, n_words long, copy int"
+    word = "Ein Satz aus einigen Wörtern, der für sich steht "
+    rows = [(i, f"{word}{i} {i * 7} {i * i}", "de", "a", 1, 5, "k", 2, 3, 4) for i in range(30)]
+    rows += [rows[3], (None, None, None, None, None, None, None, None, None, None), (50, "", "de", None, 0, 1, "", 1, 1, 1), (51, word * 4000, "de", "b", 1, 1, "", 1, 1, 1), (None, "ohne Nummer " * 9, None, "b", 1, 1, "", 1, 1, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in P.STAGES[:-1]:
+        kept = materialize(stage(spark, docs, DATA), "t")
+        assert kept.columns == docs.columns and kept.count() > 20
+        assert {r.doc_id for r in kept.collect()} <= {r[0] for r in rows}
+        empty = materialize(stage(spark, docs.limit(0), DATA), "t")
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert P.write_tokens(spark, docs, DATA).count() == len(rows) and P.write_tokens(spark, docs.limit(0), DATA).count() == 0

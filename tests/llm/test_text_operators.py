@@ -1,6 +1,7 @@
 """Operators on documents against plain versions that do just what each contract says."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,30 +10,43 @@ import pytest
 import xxhash
 
 from curatrix.llm import decontaminate, fingerprint, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
-
-
-def words(text):
-    return (text or "").encode().translate(None, b"").split() if text else []
+from curatrix.sources.shared import Scratch
 
 
 def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
 
-# --- 2 -----------------------------------------------------------------------------------------------------------------
+def plain_chunks(text):
+    """Line by line, each boundary from the two last lines that aren't blank."""
+    if not text:
+        return []
+    parts = text.split(b"\n")
+    whole = [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+    out, begin, at = [], 0, 0
+    for i, line in enumerate(whole):
+        at += len(line)
+        full = [p.rstrip() for p in parts[: i + 1] if p.rstrip()][-2:]
+        n = i + 1 - (out[-1][3] if out else 0)
+        h = [xxhash.xxh3_64_intdigest(p) for p in full]
+        rolled = h[0] if len(h) == 1 else (h[0] * 0x9E3779B97F4A7C15 + h[1]) % 2**64 if h else 0
+        if n >= 64 or (n >= 2 and parts[i].rstrip() and rolled // 2**40 % 4 == 0):
+            out.append((begin, at, n, i + 1))
+            begin = at
+    if begin < len(text):
+        out.append((begin, len(text), len(whole) - (out[-1][3] if out else 0), len(whole)))
+    return [c[:3] for c in out]
 
 
 def plain_lines(corpus):
     key = lambda d: (1 << 63) - 1 if d is None else d
-    from collections import OrderedDict
-
-    parts = [lines.chunks((t or "").encode()) for _, t, *_ in corpus]
+    parts = [plain_chunks((t or "").encode()) for _, t, *_ in corpus]
     first: dict[bytes, tuple] = {}
     for (d, t, *_), cs in zip(corpus, parts, strict=True):
         for c, (a, b, n) in enumerate(cs):
             if n >= 2:
                 body = (t or "").encode()[a:b]
-                first[body] = min(first.get(body, (1 << 64, 0, 0)), (key(d), c))if body in first else (key(d), c)
+                first[body] = min(first.get(body, (1 << 64, 0)), (key(d), c))
     out = []
     for (d, t, *_), cs in zip(corpus, parts, strict=True):
         data, kept, gone, n_gone = (t or "").encode(), b"", 0, 0
@@ -52,6 +66,27 @@ def test_line_dedup_matches_a_plain_version(docs, corpus):
     assert sum(r[3] for r in got) > 3
 
 
+def test_line_dedup_of_odd_rows(spark, docs, corpus, empty):
+    assert lines.deduplicate(empty).count() == 0
+    same = "\n".join(f"line {i}" for i in range(30))
+    table = [(None, same), (None, same), (None, None), (3, ""), (None, same + "\nmore"), (1, "\n\n\n"), (2, "\n\n\n")]
+    got = lines.deduplicate(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert len(got) == len(table) and {(r.n_lines, r.n_removed) for r in got if r.text == ""} >= {(0, 0)}
+    first = [r for r in got if r.doc_id is None and r.n_lines >= 30]
+    # rows that agree in id and text are one: both keep what is first in them; of the longer, one keeps its repeats
+    assert len(first) == 3 and len({r.n_removed for r in first if r.n_lines == 30}) == 1
+    assert lines.deduplicate(docs).count() == len(corpus)
+
+
+def test_long_runs_without_a_boundary_are_cut_by_their_number():
+    text = b"same\n" * 1000
+    assert lines.chunks(text) == plain_chunks(text) and max(n for _, _, n in lines.chunks(text)) <= 64
+    rng = random.Random(3)
+    for _ in range(200):
+        text = b"".join(rng.choice([b"a", b"bb ", b"", b" ", b"c\tc"]) + rng.choice([b"\n", b"\n", b""]) for _ in range(rng.randint(0, 90)))
+        assert lines.chunks(text) == plain_chunks(text)
+
+
 def test_line_chunks_resist_shifts():
     text = "\n".join(f"line {i * i}" for i in range(200)).encode()
     body = lambda t: {t[a:b] for a, b, _ in lines.chunks(t)}
@@ -60,9 +95,6 @@ def test_line_chunks_resist_shifts():
     assert lines.chunks(b"") == []
 
 
-# --- 4 -----------------------------------------------------------------------------------------------------------------
-
-
 def test_mixing_meets_its_targets(docs, corpus):
     got = mixing.schedule(docs).collect()
     assert len(got) == len(corpus)
@@ -85,15 +117,6 @@ def test_mixing_empty_and_mixed_rows(docs, empty):
     assert mixing.mixed(docs).count() == mixing.schedule(docs).agg({"copies_taken": "sum"}).first()[0]
 
 
-# --- 5 -----------------------------------------------------------------------------------------------------------------
-
-
-def plain_words(text):
-    import re
-
-    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower()) if text else []
-
-
 def lowered(text):
     return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
 
@@ -126,9 +149,6 @@ def test_decontamination_matches_a_plain_version(spark, docs, corpus, empty):
     assert decontaminate.annotate(empty, bench).count() == 0
 
 
-# --- 6 -----------------------------------------------------------------------------------------------------------------
-
-
 def test_fingerprints_and_edits(docs, corpus, empty, spark):
     have = sorted((r for r in corpus if r[0] is not None), key=lambda r: r[0])
     unique = [r for i, r in enumerate(have) if i == 0 or r[0] != have[i - 1][0]]
@@ -148,10 +168,33 @@ def test_fingerprints_and_edits(docs, corpus, empty, spark):
         both = next((k for k, (a, b) in enumerate(zip(text, new, strict=False)) if a != b), min(len(text), len(new)))
         assert g.common_edited == both
     assert len({*seen.values()}) == len(seen)
+    off = []
+    for i, g in enumerate(got):
+        text, following = unique[i][1] or "", unique[(i + 1) % len(unique)][1] or ""
+        for other, near in ((fingerprint.edited(text, following), g.near_edited), (following, g.near_next)):
+            a, b = ({t[k : k + 8] for k in range(max(1, len(t) - 7))} if t else set() for t in (text, other))
+            off.append(abs(near - (1.0 if text == other else 2 * len(a & b) / max(1, len(a) + len(b)))))
+    assert max(off) < 0.3 and sum(off) / len(off) < 0.05
     assert fingerprint.fingerprints(empty).count() == 0 and fingerprint.fingerprints(docs).count() == len(corpus)
 
 
-# --- 7 -----------------------------------------------------------------------------------------------------------------
+def test_fingerprints_of_joined_texts_equal_those_of_the_whole():
+    rng = random.Random(4)
+    for _ in range(300):
+        x, y = ("".join(rng.choices("ab é😀", k=rng.choice([0, 1, 7, 8, 9, 15, 16, 40, 300]))) for _ in range(2))
+        new = fingerprint.edited(x, y)
+        got = fingerprint._Held(1, x).result(fingerprint._Held(2, y))
+        assert got[4] == fingerprint.as_string(fingerprint.Prefixes(fingerprint.code_points(new)).fingerprint())
+        same = lambda p, q: next((k for k, (a, b) in enumerate(zip(p, q, strict=False)) if a != b), min(len(p), len(q)))
+        assert (got[7], got[8]) == (same(x, new), same(x, y))
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    table = [(None, "x y"), (None, None), (4, "a"), (4, "a"), (4, "b"), (7, "")]
+    got = fingerprint.fingerprints(spark.createDataFrame([(*r, 1) for r in table], "doc_id long, text string, n_chars int")).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(d), len(t or "")) for d, t in table)
+    one = fingerprint.fingerprints(spark.createDataFrame(table[:1], "doc_id long, text string")).first()
+    assert one.near_next == 1.0 and one.n_chars == 3
 
 
 def plain_simhash(text):
@@ -206,9 +249,6 @@ def test_simhash_links_random_neighbours(spark):
     assert want <= linked
 
 
-# --- 8 and 9 -----------------------------------------------------------------------------------------------------------
-
-
 def plain_windows(corpus):
     start = {}
     for r in corpus:
@@ -291,21 +331,104 @@ def test_suffix_dedup_of_a_passage_between_many_neighbours(spark, docs, corpus):
     texts = [some(40) + (long if i % 3 else short) + some(40) for i in range(300)]
     table = [(i, t) for i, t in enumerate(texts)]
     many = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
-    seen = suffixes.shared_anchors(suffixes.find(many, suffixes._HOW, False)).cache()
-    contexts, windows = suffixes.compared(suffixes.texts_by_key(many), seen, 50)
+    scratch = Scratch(spark)
+    _, spans = suffixes.shared_anchors(scratch.keep(suffixes.find(many, suffixes._HOW, False), "t"), scratch)
+    contexts, windows = suffixes.compared(suffixes.texts_by_key(many, scratch), spans, 50)
     assert max([r["count"] for r in contexts.groupBy("bucket").count().collect()], default=0) <= 50 and windows.count() > 0
     for data, plain, hot in ((many, table, 50), (many, table, suffixes.HOT), (docs, corpus, 1), (docs, corpus, 5)):
         assert rows(suffixes.deduplicate(data, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(plain)
 
 
-def test_maximal_repeats_give_all_occurrences():
-    left, right = [b"ba", b"bx", b"zz"], [b"hello world", b"hello worm", b"help"]
-    got = suffixes.maximal_repeats(left, right, 4)
-    assert (1, 9) in got[0] and (1, 9) in got[1] and got[2] == []
-    assert [(a, b, n) for a, b, n in suffixes.intervals([0, 9, 3])] == [(0, 2, 9), (0, 3, 3)]
-
-
-# --- 10 ----------------------------------------------------------------------------------------------------------------
+def plain_repeats(left, right, width):
+    groups = defaultdict(list)
+    for m in range(len(left)):
+        for b in range(len(left[m]) + 1):
+            for a in range(max(0, width - b), len(right[m]) + 1):
+                groups[b, a, left[m][:b], right[m][:a]].append(m)
+    out = set()
+    for (b, a, _, _), ms in groups.items():
+        before, after = {left[m][b : b + 1] for m in ms}, {right[m][a : a + 1] for m in ms}
+        if len(ms) > 1 and (len(before) > 1 or before == {b""}) and (len(after) > 1 or after == {b""}):
+            out.add((b, a, tuple(ms)))
+    return out
+
+
+def test_maximal_repeats_equal_a_plain_version():
+    rng = random.Random(1)
+    some = lambda: bytes(rng.choices(b"ab", k=rng.randint(0, 5)))
+    for _ in range(500):
+        n, width = rng.randint(1, 9), rng.randint(1, 5)
+        left, right = [some() for _ in range(n)], [b"x" + some() for _ in range(n)]
+        got = [(b, a, tuple(ms)) for b, a, ms in suffixes.maximal_repeats(left, right, width)]
+        want = plain_repeats(left, right, width)
+        assert len(got) == len({*got}) and {*got} == want
+        covered = lambda found: {(m, i) for m, b, a in found for i in range(-b, a)}
+        assert covered(suffixes.reaches(left, right, width)) == covered((m, b, a) for b, a, ms in want for m in ms)
+
+
+def test_a_chain_of_contexts_takes_linear_work():
+    n = 8000
+    left, right = [str(i).encode()[::-1] + b"q" * 160 for i in range(n)], [b"b" * i + b"c" for i in range(n)]
+    assert sum(1 for _ in suffixes.reaches(left, right, 200)) < 20 * n
+
+
+def test_repeat_groups_have_all_occurrences(spark, docs, corpus):
+    texts = {r[0]: (r[1] or "").encode() for r in corpus if r[0] is not None}
+    got = defaultdict(set)
+    for r in suffixes.repeat_groups(docs.filter("doc_id IS NOT NULL")).collect():
+        got[r.repeat].add((r.doc_id, r.start, r.length))
+    covered = defaultdict(set)
+    for places in got.values():
+        assert len({n for _, _, n in places}) == 1 and len({texts[d][s : s + n] for d, s, n in places}) == 1
+        for d, s, n in places:
+            covered[d].update(range(s, s + n))
+    want = {r[0]: r[2] for r in plain_bytes([r for r in corpus if r[0] is not None])}
+    assert {d: len(x) for d, x in covered.items()} == {d: n for d, n in want.items() if n}
+
+
+def test_rows_are_told_apart_by_id_when_their_texts_hashes_collide(spark, docs, corpus, monkeypatch):
+    from curatrix.llm import rows as R
+
+    have, seen = [], set()
+    for r in corpus:
+        if r[0] is not None and r[0] not in seen:
+            seen.add(r[0])
+            have.append(r)
+    df = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    monkeypatch.setattr(R.F, "md5", lambda c: R.F.lit("00" * 16))
+    assert rows(substrings.deduplicate(df), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_windows(have)
+    assert rows(suffixes.deduplicate(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_bytes(have)
+    assert rows(lines.deduplicate(df), "doc_id", "n_lines", "n_removed", "n_chunks", "kept_sha256") == plain_lines(have)
+
+
+def test_old_runs_are_never_shuffled(spark, docs, capsys):
+    index = substrings.FingerprintIndex(spark)
+    scratch = Scratch(spark)
+    for i in range(2):
+        substrings.add_batch(index, docs.filter(f"doc_id % 2 = {i}"), scratch)
+    assert len(index.runs) == 2
+    index.entries().groupBy("anchor", "d0", "d1").count().explain()
+    assert "Exchange" not in capsys.readouterr().out
+    index.clear()
+
+
+def test_long_texts_are_taken_whole(spark):
+    rng = np.random.default_rng(6)
+    big = " ".join(rng.choice([f"w{i}" for i in range(5000)], 300_000))
+    assert len(big) > 1 << 20
+    passage = " ".join(big.split()[250_000:250_080])
+    table = [(1, big), (2, f"a b {passage} c"), (3, big)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    assert rows(substrings.deduplicate(df), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_windows(table)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.deduplicate(df).collect()}
+    assert got[1] == got[3] == (len(big), 1) and abs(got[2][0] - len(passage)) <= 2
+    assert {r.component_id for r in simhash.near_duplicates(df).filter("doc_id <> 2").collect()} == {1}
+    out = tokens.read(spark, tokens.write(df, tokens.word_bpe())[0]).orderBy("doc_id").collect()
+    assert out[0].n_tokens == out[2].n_tokens and out[0].ids_crc32 == out[2].ids_crc32
+    fp = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(df).collect()}
+    assert fp[1] == fp[3] != fp[2]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert {r.doc_id: r.n_items for r in decontaminate.annotate(df, bench).collect()} == {1: 1, 2: 1, 3: 1}
 
 
 def test_token_files_round_trip(spark, docs, corpus, empty, tmp_path):
@@ -345,9 +468,6 @@ def test_rans_blocks():
     assert len(decode_block(encode_block(np.zeros(0, int), np.zeros(0, int), table), table)[0]) == 0
 
 
-# --- 1 -----------------------------------------------------------------------------------------------------------------
-
-
 def test_segments_against_all_spans():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -359,6 +479,74 @@ def test_segments_against_all_spans():
         assert {i for i, v in enumerate(x) if v > 0} <= {i for a, b, _ in got for i in range(a, b)}
 
 
+def plain_toxicity(corpus, labels):
+    """Counts, log-odds and scoring units, one document and unit at a time."""
+    import math
+    import re
+
+    y = {}
+    for d, _, t in labels:
+        if d is not None and t in (0, 1) and zlib.crc32(str(d).encode()) % 5:
+            y[d] = max(t, y.get(d, 0))
+    texts = [(r[0], {u for w in re.findall(r"[^\W_]+", (r[1] or "").lower()) for u in toxicity.units(w)}) for r in corpus]
+    n, c, t = Counter(), Counter(), Counter()
+    for d, us in texts:
+        n.update(us)
+        if d in y:
+            (t if y[d] else c).update(us)
+    labelled = [y[d] for d, _ in texts if d in y]
+    all_, clean, toxic = len(texts), labelled.count(0), labelled.count(1)
+    model = {}
+    for u in t:
+        p = toxicity.PRIOR * n[u] / all_
+        odds = lambda x, all_of: (x + p) / max(1e-9, all_of + toxicity.PRIOR - x - p)
+        s = math.log(odds(t[u], toxic)) - math.log(odds(c[u], clean))
+        if t[u] >= toxicity.TOXIC_LEAST and s / math.sqrt(1 / (t[u] + p) + 1 / (c[u] + p)) >= toxicity.Z_LEAST:
+            model[u] = s
+    return model
+
+
+def test_toxicity_scores_units_as_a_plain_version_does(spark):
+    rng = np.random.default_rng(4)
+    some = [f"wort{i}es" for i in range(300)]
+    corpus = [(i, " ".join([*rng.choice(some, 40), *rng.choice(["Schlimm", "übel", "schlimmer"], 6 if i % 3 == 0 else 0)])) for i in range(300)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(250)] + [(None, 1, 1), (5, 0, None), (6, 0, 0)]
+    docs, marks = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = plain_toxicity(corpus, labels)
+    assert {"schlimm", "übel", "^schl"} <= set(want)
+    for bits, at_once in ((toxicity.FILTER_BITS, toxicity._UNITS), (64, 50)):  # a filter that lets nearly all pass, and counts sent on early
+        got, _ = toxicity.fit_units(docs, marks, bits, at_once)
+        assert got == pytest.approx(want)
+
+
+def test_toxic_passages_are_found_and_significant(spark):
+    rng = np.random.default_rng(4)
+    some = [f"wort{i}es" for i in range(300)]
+    bad = "so schlimm und übel schlimm übel ist das"
+    corpus = [(i, " ".join([*rng.choice(some, 40), *(bad.split() if i % 3 == 0 else []), *rng.choice(some, 20)])) for i in range(300)]
+    docs = spark.createDataFrame(corpus, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(250)], "doc_id long, quality int, toxic int")
+    for r in toxicity.score(docs, labels).collect():
+        assert r.predicted == int(r.doc_id % 3 == 0) and r.n_passages == len(r.passages) == r.predicted
+        assert all(40 <= p.start < p.stop <= 48 and p.bits > 4 for p in r.passages)
+
+
+def test_karlin_and_logistic_solve_their_equations():
+    lam = toxicity.karlin(0.1, 1.5, 0.3)
+    assert 0.1 * np.exp(lam * 1.5) + 0.9 * np.exp(-lam * 0.3) == pytest.approx(1)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
+    assert toxicity._logistic(x, y) == pytest.approx([2, -1, 0.5], abs=0.25)
+
+
+def test_words_are_lower_case_letters_and_digits():
+    import pyarrow as pa
+
+    w = toxicity.words(pa.array(["Über-Maß, x_9!", None, "", " ,", "a a", "b"]))
+    assert [w.distinct[i] for i in w.index] == ["über", "maß", "x", "9", "a", "a", "b"] and w.at.tolist() == [0, 4, 4, 4, 4, 6, 7]
+
+
 def test_toxicity_on_held_out_labels(spark):
     path = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
