@@ -20,16 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """Where all tables of this application stand."""
+    return f"{shared_dir(spark)}/curatrix/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/curatrix/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation of what came before."""
+def release(spark: SparkSession) -> None:
+    """Deletes all tables of this application, once no result that reads them is needed any more."""
+    drop_path(spark, own_dir(spark))
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read back, and where it stands."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation of what came before."""
+    return written(df, name, codec)[0]
 
 
 def write_buckets(dealt: DataFrame, path: str, name: str, buckets: int, by: str, *order: str) -> DataFrame:
@@ -51,10 +66,9 @@ class Scratch:
         self.names: list[str] = []
 
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.option("compression", codec).parquet(path)
+        found, path = written(df, name, codec)
         self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return found
 
     def bucketed(self, df: DataFrame, name: str, by: str, *order: str) -> DataFrame:
         """The same, dealt to buckets by a column, once."""

@@ -181,3 +181,28 @@ def test_pointers_settings_and_presets(spark, tmp_path):
         files.settings(spark, f"{d}/c.json")
     with pytest.raises(Exception, match="without a name"):
         files.presets(spark, d).collect()
+
+
+def test_scratch_tables_are_bucketed_and_deleted(spark, capsys):
+    from curatrix.sources.shared import Scratch, exists, listed, own_dir
+
+    scratch = Scratch(spark)
+    a = scratch.bucketed(spark.range(100).withColumnRenamed("id", "k"), "a", "k")
+    b = scratch.bucketed(spark.range(50).selectExpr("id AS k", "id * 2 AS v"), "b", "k")
+    both = a.join(b.hint("merge"), "k")
+    both.explain()
+    assert "Exchange" not in capsys.readouterr().out and both.count() == 50
+    assert all(exists(spark, p) for p in scratch.paths) and set(scratch.paths) <= set(listed(spark, own_dir(spark)))
+    gone = [*scratch.paths]
+    scratch.clear()
+    assert not any(exists(spark, p) for p in gone)
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from curatrix.sources.shared import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
