@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 
+T = TypeVar("T")
+
 
 class Known:
     """Texts with their ids: those of text number n are flat[start[n]:start[n] + size[n]]."""
@@ -47,5 +51,16 @@ class Known:
         return self.flat[np.repeat(self.start[numbers] - end + size, size) + np.arange(end[-1] if len(end) else 0)], size
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(owner: tuple, make: Callable[[], T]) -> T:
+    """The one large thing that a worker remembers between its tasks: it is made for an owner, and another owner's is dropped."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()

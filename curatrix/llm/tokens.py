@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
-from curatrix.llm.known import Known, strings
+from curatrix.llm.known import Known, held, strings
 from curatrix.llm.rans import Table, decode_block, encode_block, quantise
 from curatrix.llm.rows import row_key
 from curatrix.sources.shared import drop_path, new_path, table
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 18
-_CACHE = 500_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
+_CACHE = 400_000  # words, and parts of words, whose ids a worker keeps: the first it meets, as frequent ones come early
 _PIECE = 4 << 20  # bytes of text whose words are told apart together
 _TOGETHER = 1024  # new parts that the tokenizer is given as one text
 
@@ -46,8 +46,6 @@ _STEPS = {
 _LATIN = "^[\\x00-\\x1b!-\\x7f\\x{86}-\\x{9f}\\x{a1}-\\x{12f}\\x{131}-\\x{24f}]+$"
 _CUT = "\x1f"  # which no such word has
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 class WordEncoder:
     """Encodes texts word by word with a tokenizer whose pre-tokenizer never joins over white space.
@@ -163,10 +161,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:

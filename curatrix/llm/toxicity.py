@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from curatrix.llm.arrow import batch_of, map_texts
 from curatrix.llm.kernels import distinct, pieces
-from curatrix.llm.known import Known, strings
-from curatrix.sources.shared import materialize, table
+from curatrix.llm.known import Known, held, strings
+from curatrix.sources.shared import Scratch, materialize, table
 
 MAX_LABELLED, FILTER_BITS = 1 << 18, 1 << 24
 PRIOR, Z_LEAST, TOXIC_LEAST, DRIFT, E_MOST = 50.0, 4.0, 4, 0.3, 0.05
 _BEGIN = range(4, 9)
-_CACHE, _UNITS, _PIECE = 400_000, 1_000_000, 4 << 20  # words a worker remembers, units it counts before it sends them on, bytes taken together
+_CACHE, _UNITS, _PIECE = 200_000, 250_000, 3 << 19  # words a worker remembers, units it counts before it sends them on, bytes taken together
 
 
 def units(word: str) -> list[str]:
@@ -106,7 +106,7 @@ def _slot(unit: str, bits: int) -> int:
     return xxhash.xxh3_64_intdigest(unit) % bits
 
 
-def _toxic_units(docs: DataFrame, shared) -> DataFrame:
+def _toxic_units(docs: DataFrame, shared, scratch: Scratch) -> DataFrame:
     """u: units of at least TOXIC_LEAST toxic documents."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -122,7 +122,7 @@ def _toxic_units(docs: DataFrame, shared) -> DataFrame:
         return batch_of(["u", "n"], [[*count], [*count.values()]], [pa.string(), pa.int64()])
 
     counted = map_texts(docs.select("doc_id", "text"), run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
-    return materialize(counted.filter(F.col("n") >= TOXIC_LEAST).select("u"), "toxic-units")
+    return scratch.keep(counted.filter(F.col("n") >= TOXIC_LEAST).select("u"), "toxic-units")
 
 
 def _filter(candidates: DataFrame, size: int) -> np.ndarray:
@@ -139,11 +139,12 @@ def _filter(candidates: DataFrame, size: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _count(docs: DataFrame, may: np.ndarray, shared, most: int) -> DataFrame:
+def _count(docs: DataFrame, may: np.ndarray, shared, most: int, scratch: Scratch) -> DataFrame:
     """u, n, c, t: documents with each unit that may be a candidate, and those of them labelled not toxic and toxic; u null: documents in all."""
     passing = docs.sparkSession.sparkContext.broadcast(np.packbits(may))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(("unit counts",), dict)  # other operators' memories make room
         may = np.unpackbits(passing.value)
         known, number, no = Known(np.dtype(np.int64)), {}, set()
         count, totals = np.zeros((1 << 16, 3), np.int64), np.zeros(3, np.int64)
@@ -158,7 +159,7 @@ def _count(docs: DataFrame, may: np.ndarray, shared, most: int) -> DataFrame:
             if at < 0 and u not in no:
                 if may[_slot(u, len(may))]:
                     at = number[u] = len(number)
-                elif len(no) < most:
+                elif len(no) < _CACHE:
                     no.add(u)
             return at
 
@@ -193,7 +194,7 @@ def _count(docs: DataFrame, may: np.ndarray, shared, most: int) -> DataFrame:
         yield batch_of(["u", "n", "c", "t"], [[None], *totals[:, None]], [pa.string()] + [pa.int64()] * 3)
 
     found = docs.select("doc_id", "text").mapInArrow(run, "u string, n long, c long, t long")
-    return materialize(found.groupBy("u").agg(*(F.sum(k).alias(k) for k in "nct")), "unit-counts")
+    return scratch.keep(found.groupBy("u").agg(*(F.sum(k).alias(k) for k in "nct")), "unit-counts")
 
 
 def log_odds(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,8 +259,11 @@ def fit_units(docs: DataFrame, labels: DataFrame, bits: int = FILTER_BITS, most:
     rows = training_labels(docs, labels).toPandas().sort_values("doc_id")
     labelled = Labelled(rows["doc_id"].to_numpy(np.int64), rows["y"].to_numpy(np.int64))
     shared = spark.sparkContext.broadcast(labelled)
-    candidates = _toxic_units(docs, shared)
-    return _scoring(_count(docs, _filter(candidates, bits), shared, most), candidates), labelled
+    scratch = Scratch(spark)
+    candidates = _toxic_units(docs, shared, scratch)
+    model = _scoring(_count(docs, _filter(candidates, bits), shared, most, scratch), candidates)
+    scratch.clear()
+    return model, labelled
 
 
 def measure(docs: DataFrame, model: dict[str, float], keep: list[str]) -> DataFrame:
@@ -268,10 +272,7 @@ def measure(docs: DataFrame, model: dict[str, float], keep: list[str]) -> DataFr
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        if id(model) not in _scored:
-            _scored.clear()
-            _scored[id(model)] = {}
-        cache = _scored[id(model)]
+        cache: dict[str, float] = held(("toxicity", id(model)), dict)
         found = words(piece.column(piece.schema.get_field_index("text")))
         value = np.zeros(len(found.distinct))
         for i, w in enumerate(found.distinct):
@@ -297,9 +298,6 @@ def measure(docs: DataFrame, model: dict[str, float], keep: list[str]) -> DataFr
     return map_texts(docs, run, "n_words long, n_scoring long, scoring double, found array<struct<start int, stop int, score double>>", keep=keep, most=_PIECE)
 
 
-_scored: dict[int, dict[str, float]] = {}
-
-
 def karlin(rate: float, mean: float, drift: float = DRIFT) -> float:
     """lambda for a background where a word scores `mean` at the given rate and else costs drift: rate * exp(l * mean) + (1 - rate) * exp(-l * drift) = 1."""
     if not 0 < rate < 1 or mean <= 0 or rate * mean >= (1 - rate) * drift:
