@@ -2,10 +2,11 @@
 
 Units are words and, so that inflected and compounded forms count, their beginnings of 4 to 8 letters. A unit's score is
 its log-odds between toxic and other labelled documents under a Dirichlet prior in proportion to the unit's document count
-in the whole corpus; units count where their z-value reaches Z_LEAST, and any other word costs DRIFT. A document's
-maximal scoring segments are all found in linear time (Ruzzo and Tompa, 1999). The extreme-value theory of such segments
-(Karlin and Altschul, 1990) says how many of a score a text of that length has by chance, with lambda and K taken from the
-clean labelled documents: those expected less than E_MOST times are its toxic passages. The best of them, and their sum,
+in the whole corpus; units count where their z-value reaches Z_LEAST and their log-odds ODDS_LEAST (with many labels the
+weakest leaning is beyond doubt, but says nothing of a passage), and any other word costs DRIFT. A document's maximal
+scoring segments are all found in linear time (Ruzzo and Tompa, 1999). The extreme-value theory of such segments (Karlin
+and Altschul, 1990) says how many of a score a text of that length has by chance, with lambda and K taken from the clean
+labelled documents: those expected less than E_MOST times are its toxic passages. The best of them, and their sum,
 corrected for their number as in Karlin and Altschul (1993), are calibrated to a probability on the labelled documents.
 
 All counts are over all documents. Which units score is settled in the cluster. What is broadcast: ids and labels of at
@@ -33,7 +34,7 @@ from curatrix.llm.known import Known, held, strings
 from curatrix.sources.shared import Scratch, materialize, table
 
 MAX_LABELLED, FILTER_BITS = 1 << 18, 1 << 24
-PRIOR, Z_LEAST, TOXIC_LEAST, DRIFT, E_MOST = 50.0, 4.0, 4, 0.3, 0.05
+PRIOR, Z_LEAST, ODDS_LEAST, TOXIC_LEAST, DRIFT, E_MOST = 50.0, 4.0, 1.0, 4, 0.3, 0.05
 _BEGIN = range(4, 9)
 _CACHE, _UNITS, _PIECE = 200_000, 250_000, 3 << 19  # words a worker remembers, units it counts before it sends them on, bytes taken together
 
@@ -206,7 +207,7 @@ def log_odds(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _scoring(counted: DataFrame, candidates: DataFrame) -> dict[str, float]:
-    """The score of each candidate whose z-value reaches Z_LEAST."""
+    """The score of each candidate whose z-value reaches Z_LEAST and whose score ODDS_LEAST."""
     first = counted.filter("u IS NULL").first()
     totals = np.array([first.n, first.c, first.t] if first else [0, 0, 0])
 
@@ -214,7 +215,7 @@ def _scoring(counted: DataFrame, candidates: DataFrame) -> dict[str, float]:
         for batch in batches:
             counts = np.column_stack([c.to_numpy() for c in batch.columns[1:]]).reshape(-1, 3)
             score, z = log_odds(counts, totals)
-            some = np.flatnonzero((z >= Z_LEAST) & (counts[:, 2] >= TOXIC_LEAST))
+            some = np.flatnonzero((z >= Z_LEAST) & (score >= ODDS_LEAST) & (counts[:, 2] >= TOXIC_LEAST))
             yield batch_of(["u", "score"], [batch.column(0).take(pa.array(some)), score[some]], [pa.string(), pa.float64()])
 
     return {r.u: r.score for r in counted.join(candidates, "u").select("u", "n", "c", "t").mapInArrow(run, "u string, score double").collect()}

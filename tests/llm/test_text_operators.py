@@ -501,7 +501,7 @@ def plain_toxicity(corpus, labels):
         p = toxicity.PRIOR * n[u] / all_
         odds = lambda x, all_of: (x + p) / max(1e-9, all_of + toxicity.PRIOR - x - p)
         s = math.log(odds(t[u], toxic)) - math.log(odds(c[u], clean))
-        if t[u] >= toxicity.TOXIC_LEAST and s / math.sqrt(1 / (t[u] + p) + 1 / (c[u] + p)) >= toxicity.Z_LEAST:
+        if t[u] >= toxicity.TOXIC_LEAST and s >= toxicity.ODDS_LEAST and s / math.sqrt(1 / (t[u] + p) + 1 / (c[u] + p)) >= toxicity.Z_LEAST:
             model[u] = s
     return model
 
