@@ -28,7 +28,7 @@ from curatrix.llm.rows import LAST_ID, row_key
 from curatrix.sources.shared import Scratch
 
 SCHEMA = "anchor long, d0 long, d1 long, k binary, doc long, first int, n int, off int, rep boolean, sure boolean"
-HASHED, PARTS = 28, 64  # bits of hash that order grams; parts that the rows of one key are dealt to
+HASHED, PARTS, TOGETHER = 28, 64, 12  # bits of hash that order grams; parts that the rows of one key are dealt to; pieces whose equal spans become one
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [pa.int64()] * 3 + [pa.binary(), pa.int64()] + [pa.int32()] * 3 + [pa.bool_()] * 2
 
@@ -118,9 +118,16 @@ def _combine(anchor: np.ndarray, both: np.ndarray, doc: np.ndarray, by_doc: bool
 def find(docs: DataFrame, how: Cut, by_doc: bool) -> DataFrame:
     """All occurrences in docs (doc_id, text): SCHEMA, with k the row's key and doc its id, a missing one last of all."""
 
+    def joined_parts(parts: list[tuple]) -> pa.RecordBatch:
+        anchor, found, k, *rest = zip(*parts, strict=True)
+        anchor, rest = np.concatenate(anchor), [np.concatenate(x) for x in rest]
+        both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+        keys = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in k])
+        return batch_of(_NAMES, [anchor, both[:, 0], both[:, 1], keys, *rest, *_combine(anchor, both, rest[0], by_doc)], _TYPES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[tuple[np.ndarray, ...]] = []
+            parts: list[tuple] = []
             for piece in pieces(batch):
                 u = cut(piece.column(2), how)
                 anchor, text, first, n, at = occurrences(u, how)
@@ -132,13 +139,12 @@ def find(docs: DataFrame, how: Cut, by_doc: bool) -> DataFrame:
                 else:
                     found = [digest(view[s:e]) for s, e in zip(first.tolist(), last.tolist(), strict=True)]
                 k, doc = piece.column(0).take(pa.array(text)), piece.column(1).to_numpy()[text]
-                parts.append((anchor.view(np.int64), found, k, doc, first - u.at[text], n, at - first))
+                parts.append((anchor.view(np.int64), b"".join(found), k, doc, first - u.at[text], n, at - first))
+                if len(parts) == TOGETHER:
+                    yield joined_parts(parts)
+                    parts = []
             if parts:
-                anchor, found, k, *rest = zip(*parts, strict=True)
-                anchor, rest = np.concatenate(anchor), [np.concatenate(x) for x in rest]
-                both = np.frombuffer(b"".join([x for y in found for x in y]), np.int64).reshape(-1, 2)
-                keys = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in k])
-                yield batch_of(_NAMES, [anchor, both[:, 0], both[:, 1], keys, *rest, *_combine(anchor, both, rest[0], by_doc)], _TYPES)
+                yield joined_parts(parts)
 
     rows = docs.select(row_key().alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
     return rows.mapInArrow(run, SCHEMA)
@@ -153,9 +159,10 @@ def halves() -> list[Column]:
     return [F.min("d0").alias("l0"), F.max("d0").alias("m0"), F.min("d1").alias("l1"), F.max("d1").alias("m1")]
 
 
-def texts_by_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs' k, doc_id, text in buckets by k, so that they are shuffled once however often spans of them are read."""
-    return scratch.bucketed(docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts", "k")
+def texts_by_key(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """docs' k, doc_id, text dealt by k: with scratch as a table in buckets, which any number of jobs then read without a shuffle."""
+    texts = docs.select(row_key().alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.repartition("k") if scratch is None else scratch.bucketed(texts, "texts", "k")
 
 
 def each_part(parts: str) -> str:
