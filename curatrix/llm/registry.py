@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import decontaminate, extraction, fingerprint, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
+from curatrix.llm import audit, decontaminate, extraction, fingerprint, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substrings.query,
     "op9_suffix_array_dedup": suffixes.query,
     "op10_token_id_output": tokens.query,
+    "op11_filter_audit": audit.query,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op5_benchmark_decontamination": decontaminate.SQL,
     "op8_substring_dedup": substrings.SQL,
     "op9_suffix_array_dedup": suffixes.SQL,
+    "op11_filter_audit": audit.SQL,
 }
