@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curatrix.llm import audit, decontaminate, extraction, fingerprint, lines, mixing, simhash, substrings, suffixes, tokens, toxicity
+from curatrix.llm import audit, decontaminate, extraction, fingerprint, licenses, lines, mixing, periodic, simhash, substrings, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_array_dedup": suffixes.query,
     "op10_token_id_output": tokens.query,
     "op11_filter_audit": audit.query,
+    "op12_license_scan": licenses.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 SQL = {
