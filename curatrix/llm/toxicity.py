@@ -338,7 +338,8 @@ def significant(lam: float, log_k: float, most: float = E_MOST) -> Column:
 def _features() -> list[Column]:
     n = F.size("passages")
     # the sum of n passages' bits is reached by chance n! times as easily in any of their orders
-    total = F.aggregate("passages", F.lit(0.0), lambda a, x: a + x["bits"]) - F.log2(F.factorial(F.least(n, F.lit(20))).cast("double"))
+    orders = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, k: a + F.log2(k))
+    total = F.aggregate("passages", F.lit(0.0), lambda a, x: a + x["bits"]) - orders
     share = F.aggregate("passages", F.lit(0.0), lambda a, x: a + x["stop"] - x["start"]) / F.greatest("n_words", F.lit(1))
     best = F.coalesce(F.array_max(F.col("passages")["bits"]), F.lit(0.0))
     return [F.when(n > 0, 1.0).otherwise(0.0), F.log1p(best), F.log1p(F.greatest(total, F.lit(0.0))), share]

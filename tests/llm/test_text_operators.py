@@ -531,6 +531,15 @@ def test_toxic_passages_are_found_and_significant(spark):
         assert all(40 <= p.start < p.stop <= 48 and p.bits > 4 for p in r.passages)
 
 
+def test_sums_of_many_passages_are_corrected_in_full(spark):
+    import math
+
+    for n in (0, 1, 2, 19, 20, 21, 80, 200):
+        passages = spark.createDataFrame([([(0, 1, 1.0, 4.4)] * n, 10 * n)], "passages array<struct<start: int, stop: int, score: double, bits: double>>, n_words int")
+        want = max(0.0, 4.4 * n - math.lgamma(n + 1) / math.log(2))
+        assert passages.select(toxicity._features()[2]).first()[0] == pytest.approx(math.log1p(want))
+
+
 def test_karlin_and_logistic_solve_their_equations():
     lam = toxicity.karlin(0.1, 1.5, 0.3)
     assert 0.1 * np.exp(lam * 1.5) + 0.9 * np.exp(-lam * 0.3) == pytest.approx(1)
