@@ -79,7 +79,11 @@ def approvals_updated(previews: DataFrame, updates: DataFrame) -> tuple[DataFram
     return after, judged
 
 
-def capped_gallery(items: DataFrame, severity: Column, z: Column, columns: int = 4, gate: float = 1.0) -> DataFrame:
+#: Fixed value: how many items each list shows.
+GALLERY_COLUMNS = 5
+
+
+def capped_gallery(items: DataFrame, severity: Column, z: Column, columns: int = GALLERY_COLUMNS, gate: float = 1.0) -> DataFrame:
     """group, place, item_id: the most severe (A), the medium (B), those nearest the gate among all others (C) and the cleanest (D).
 
     Each list is a top-k, partial on each task; the boundary list is of items that neither A nor B shows.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.semantics import clamp, ladder
+from curatrix.operators.decisions import applied
 from curatrix.operators.quality import CLEANING, GAINS, two
 
 #: What texture is measured by; weights of what an image should be free of.
@@ -115,16 +116,14 @@ def accepted(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def first_decided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """item_id, decision: of an item's findings, in the order of category and analyzer, the first that has a decision; else the item's own.
+    """item_id, decision: of an item's findings, in the order of category, analyzer and severity, the first that a decision applies to.
 
+    A decision on the whole item applies to any finding that none of narrower scope does, so to the first one already.
     decisions: (item_id, category, analyzer, decision); null category and analyzer for a whole item. A minimum over structs.
     """
-    own = decisions.filter("category IS NULL AND analyzer IS NULL").select("item_id", F.col("decision").alias("_own"))
-    on = decisions.filter("category IS NOT NULL").select("item_id", "category", F.col("analyzer").alias("_a"), "decision")
-    met = findings.select("item_id", "category", "analyzer").distinct().join(on, ["item_id", "category"]).filter(F.col("_a").isNull() | (F.col("_a") == F.col("analyzer")))
-    first = met.groupBy("item_id").agg(F.min(F.struct("category", "analyzer", F.col("_a").isNull().alias("wide"), "decision"))["decision"].alias("_first"))
-    every = findings.select("item_id").distinct().join(first, "item_id", "left").join(own, "item_id", "left")
-    return every.select("item_id", F.coalesce("_first", "_own").alias("decision"))
+    each = applied(findings.select("item_id", "category", "analyzer", "severity").distinct(), decisions)
+    met = F.when(F.col("decision").isNotNull(), F.struct("category", "analyzer", "severity", "decision"))
+    return each.groupBy("item_id").agg(F.min(met).alias("m")).select("item_id", F.col("m.decision").alias("decision"))
 
 
 def explanation(category: Column, value: Column, mean: Column, z: Column) -> Column:

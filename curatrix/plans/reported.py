@@ -138,8 +138,8 @@ def preview_approval_outcomes(spark, d):
     return _updated(spark, d)[1].groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {M}, {Z}, r AS (SELECT item_id, z, CASE WHEN z >= 2 THEN 'HIGH' WHEN z >= 1 THEN 'MEDIUM' ELSE 'NONE' END AS severity FROM z), a AS (SELECT 'A' AS "group", item_id, z FROM r WHERE severity = 'HIGH' ORDER BY z DESC, item_id LIMIT 4), b AS (SELECT 'B', item_id, z FROM r WHERE severity = 'MEDIUM' ORDER BY z DESC, item_id LIMIT 4),
-gc AS (SELECT 'C', item_id, z FROM r WHERE item_id NOT IN (SELECT item_id FROM a UNION ALL SELECT item_id FROM b) ORDER BY abs(z - 1), item_id LIMIT 4), e AS (SELECT 'D', item_id, z FROM r WHERE severity = 'NONE' ORDER BY z, item_id LIMIT 4), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM gc UNION ALL SELECT * FROM e)
+@query(f"""WITH {M}, {Z}, r AS (SELECT item_id, z, CASE WHEN z >= 2 THEN 'HIGH' WHEN z >= 1 THEN 'MEDIUM' ELSE 'NONE' END AS severity FROM z), a AS (SELECT 'A' AS "group", item_id, z FROM r WHERE severity = 'HIGH' ORDER BY z DESC, item_id LIMIT 5), b AS (SELECT 'B', item_id, z FROM r WHERE severity = 'MEDIUM' ORDER BY z DESC, item_id LIMIT 5),
+gc AS (SELECT 'C', item_id, z FROM r WHERE item_id NOT IN (SELECT item_id FROM a UNION ALL SELECT item_id FROM b) ORDER BY abs(z - 1), item_id LIMIT 5), e AS (SELECT 'D', item_id, z FROM r WHERE severity = 'NONE' ORDER BY z, item_id LIMIT 5), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM gc UNION ALL SELECT * FROM e)
 SELECT "group", row_number() OVER (PARTITION BY "group" ORDER BY CASE WHEN "group" = 'D' THEN z ELSE -z END, item_id) AS place, item_id FROM u""")
 def gallery_lists(spark, d):
     have = items(spark, d).select("item_id", "n_tokens")

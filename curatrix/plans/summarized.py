@@ -95,8 +95,11 @@ def grid_crosshatch(spark, d):
     return grid(spark, d, _HATCH).groupBy("id").agg(F.sum("v").cast("long").alias("total"), F.countDistinct("v").alias("shades"), F.round(F.stddev_pop("v"), 6).alias("spread"))
 
 
-@query(f"""{FIND}, {L}, e AS (SELECT DISTINCT f.item_id, f.category, f.analyzer, d.analyzer IS NULL AS wide, d.decision FROM f JOIN d ON f.item_id = d.item_id AND f.category = d.category AND (d.analyzer IS NULL OR d.analyzer = f.analyzer)), o AS (SELECT item_id, first(decision ORDER BY category, analyzer, wide) AS decision FROM e GROUP BY item_id), w AS (SELECT item_id, decision FROM d WHERE category IS NULL AND analyzer IS NULL)
-SELECT i.item_id, coalesce(o.decision, w.decision) AS decision FROM (SELECT DISTINCT item_id FROM f) i LEFT JOIN o USING (item_id) LEFT JOIN w USING (item_id)""")
+@query(f"""{FIND}, {L}, e AS (SELECT DISTINCT item_id, category, analyzer, severity FROM f), o AS (SELECT e.*, coalesce(
+  (SELECT decision FROM d WHERE d.item_id = e.item_id AND d.category = e.category AND d.analyzer = e.analyzer),
+  (SELECT decision FROM d WHERE d.item_id = e.item_id AND d.category = e.category AND d.analyzer IS NULL),
+  (SELECT decision FROM d WHERE d.item_id = e.item_id AND d.category IS NULL AND d.analyzer IS NULL)) AS decision FROM e)
+SELECT item_id, first(decision ORDER BY category, analyzer, severity) FILTER (decision IS NOT NULL) AS decision FROM o GROUP BY item_id""")
 def first_decided(spark, d):
     return summaries.first_decided(findings(spark, d), decisions(spark, d))
 

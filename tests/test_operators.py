@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from curatrix import schemas
 from curatrix.functions import semantics as S
-from curatrix.operators import baseline, calibrate, compare, decisions, duplicates, graph, numbering, quality, rollup, rules, triage
+from curatrix.operators import summaries, baseline, calibrate, compare, decisions, duplicates, graph, numbering, quality, rollup, rules, triage
 from curatrix.operators.items import measured
 
 
@@ -100,6 +100,13 @@ def test_decision_scopes(spark):
     assert got == {(1, "c"): ("REMOVAL_CANDIDATE", 0), (1, "d"): ("KEEP", 2), (2, "c"): (None, None)}
 
 
+def test_the_first_finding_takes_the_whole_items_decision(spark):
+    found = spark.createDataFrame([(1, "a", "x", "LOW"), (1, "b", "x", "HIGH"), (2, "a", "x", "LOW"), (2, "b", "x", "LOW"), (3, "b", "y", "LOW"), (4, "a", "x", "LOW"), (4, "a", "y", "LOW")], "item_id long, category string, analyzer string, severity string")
+    said = spark.createDataFrame([(1, None, None, "KEEP"), (1, "b", "x", "REMOVAL_CANDIDATE"), (2, "b", None, "KEEP"), (4, "a", "y", "KEEP"), (4, "a", None, "UNDECIDED")], "item_id long, category string, analyzer string, decision string")
+    got = {r.item_id: r.decision for r in summaries.first_decided(found, said).collect()}
+    assert got == {1: "KEEP", 2: "KEEP", 3: None, 4: "UNDECIDED"}
+
+
 def test_confusion_of_nothing_and_readiness(spark):
     empty = spark.createDataFrame([], "predicted boolean, actual boolean")
     assert tuple(calibrate.confusion(empty).first()) == (0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0)
