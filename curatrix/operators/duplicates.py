@@ -1,8 +1,8 @@
-"""Exact copies, first occurrences, near pairs by bands of hash bits, and the nearest item before each."""
+"""Exact copies, first occurrences, near pairs by bands of hash bits, and the last value before each time."""
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def first_occurrence(items: DataFrame, key: str = "sha") -> DataFrame:
     return items.select("item_id", key).join(exact_groups(items, key).drop("n"), key).filter("item_id <> first").select("item_id", F.col("first").alias("exact_duplicate_of"))
 
 
-def _bits(values: Column) -> Column:
+def pack_bits(values: Column) -> Column:
     """A long whose bit i is set where values[i]; the sum of distinct powers, the last as the sign."""
     return F.aggregate(F.transform(values, lambda b, i: F.when(b, F.expr("1L")).otherwise(F.expr("0L"))), F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("i")), lambda a, b: F.struct((a["v"].bitwiseOR(F.call_function("shiftleft", b, a["i"]))).alias("v"), (a["i"] + 1).alias("i")), lambda a: a["v"])
 
@@ -49,14 +49,14 @@ def mean_of(v: Column) -> Column:
 
 def average_hash(v: Column, mean: Column) -> Column:
     """Bit i: value i is at least the mean."""
-    return _bits(F.transform(v, lambda x: x.cast("double") >= mean))
+    return pack_bits(F.transform(v, lambda x: x.cast("double") >= mean))
 
 
 def difference_hash(vector: str, width: int = 8) -> Column:
     """Bit of each cell but a row's last: its right neighbour is greater."""
     v = F.col(vector)
     places = F.filter(F.sequence(F.lit(0), F.size(v) - 2), lambda i: i % width != width - 1)
-    return _bits(F.transform(places, lambda i: F.get(v, i + 1) > F.get(v, i)))
+    return pack_bits(F.transform(places, lambda i: F.get(v, i + 1) > F.get(v, i)))
 
 
 def hashed(vectors: DataFrame, vector: str = "embedding", width: int = 8) -> DataFrame:
@@ -152,27 +152,6 @@ def near_groups(pairs: DataFrame, members: DataFrame | None = None) -> DataFrame
     return every.join(sizes, "component").join(weakest, "component").select("item_id", "component", "n", confidence.alias("confidence"))
 
 
-def closest_prior(rows: DataFrame, distance: int = 8, seq: str = "seq", code: str = "code", value: str = "value", tolerance: float = 10.0) -> DataFrame:
-    """seq, prior_seq, distance: the earlier row with another code of the fewest differing bits (the earliest of equals).
-
-    Rows of equal code and value are one case. Codes at most `distance` apart agree in two of distance + 2 bands; the join
-    key is such two bands and the value to its tolerance. Of each case's neighbours only the earliest at each distance is
-    kept, `distance` of them at most, which each of its rows looks through.
-    """
-    rows = materialize(rows.select(F.col(seq).alias("s"), F.col(code).alias("h"), F.col(value).alias("v")), "codes")
-    cases = rows.groupBy("h", "v").agg(F.min("s").alias("s"))
-    keys = [F.xxhash64(F.lit(i), a, b) for i, (a, b) in enumerate(combinations(_bands("h", distance + 2), 2))]
-    place = F.floor(F.col("v") / tolerance)
-    own = cases.select("h", "v", _keys(keys).alias("k"), F.explode(F.array(place - 1, place, place + 1)).alias("at")).select("h", "v", "k.*", "at")
-    prior = cases.select(F.col("h").alias("ph"), F.col("v").alias("pv"), F.col("s").alias("ps"), _keys(keys).alias("k"), place.alias("at")).select("ph", "pv", "ps", "k.*", "at")
-    bits = hamming("h", "ph")
-    found = own.join(prior, ["b", "bits", "at"]).filter((F.col("h") != F.col("ph")) & (F.abs(F.col("v") - F.col("pv")) <= tolerance) & (bits <= distance))
-    nearest = found.groupBy("h", "v", bits.cast("long").alias("d")).agg(F.min("ps").alias("ps"))
-    lists = nearest.groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("d", "ps"))).alias("near"))
-    best = rows.join(lists, ["h", "v"]).select("s", F.filter("near", lambda x: x["ps"] < F.col("s")).alias("near")).filter("size(near) > 0")
-    return best.select(F.col("s").alias("seq"), F.col("near")[0]["ps"].alias("prior_seq"), F.col("near")[0]["d"].alias("distance"))
-
-
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """left with the last `value` of right at or before its time, by key: one union, one sort for each key, no pairs."""
     both = left.select(key, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(

@@ -81,12 +81,6 @@ def test_numbers_are_consecutive(spark):
     assert [r.n for r in got] == list(range(1, 1001)) and [r.v for r in got] == list(range(999, -1, -1))
 
 
-def test_closest_prior_prefers_the_earliest_of_equals(spark):
-    rows = spark.createDataFrame([(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0), (4, 0, 0.0), (5, 3, 99.0)], "seq long, code long, value double")
-    got = {r.seq: (r.prior_seq, r.distance) for r in duplicates.closest_prior(rows, 2).collect()}
-    assert got == {2: (1, 1), 3: (1, 1), 4: (2, 1)}
-
-
 def test_flat_vectors_and_exact_pixels_pair_by_bounds(spark):
     v = [float(i % 8) / 10 for i in range(64)]
     rows = spark.createDataFrame([(1, v), (2, [x + 0.001 for x in v]), (3, [0.5] * 64), (4, [0.5] * 64), (5, v[::-1])], "vec_id long, embedding array<double>")

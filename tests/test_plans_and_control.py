@@ -136,23 +136,6 @@ def test_equal_vectors_are_no_near_pair(spark):
     assert {(r.item_id, r.component, r.n) for r in groups} == {(i, 1, 4) for i in (1, 2, 3, 4)}
 
 
-def test_closest_prior_looks_through_all_distances(spark):
-    rng = random.Random(5)
-    codes = [rng.getrandbits(64) for _ in range(40)]
-    codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for c in codes for _ in range(4)]
-    rows = [(i, c - (1 << 64) if c >> 63 else c, rng.choice([0.0, 6.0, 12.0])) for i, c in enumerate(codes)]
-    rows += [(1000 + i, c, v) for i, c, v in rows[:50]]
-    got = {r.seq: (r.prior_seq, r.distance) for r in duplicates.closest_prior(spark.createDataFrame(rows, "seq long, code long, value double")).collect()}
-    want = {}
-    for s, c, v in rows:
-        found = [(bin((c ^ pc) & (1 << 64) - 1).count("1"), p) for p, pc, pv in rows if p < s and pc != c and abs(v - pv) <= 10]
-        found = [x for x in found if x[0] <= 8]
-        if found:
-            d, p = min(found)
-            want[s] = (p, d)
-    assert got == want and len(want) > 50
-
-
 def test_requirements_are_met_in_full(spark):
     asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "a"]), (3, []), (4, ["z"])], "request_id long, required array<string>")
     have = spark.createDataFrame([(10, ["a", "b", "c"]), (11, ["a"])], "provider_id long, supported array<string>")
