@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions.semantics import ladder, score
-from curatrix.operators import duplicates, engine, quality, rules
+from curatrix.operators import duplicates, engine, quality, rules, sketches
 from curatrix.plans.base import M, items, once, query
-from curatrix.sources.shared import table
+from curatrix.sources.shared import new_path, table
 
 
 def metrics(spark, d):
@@ -137,3 +137,45 @@ l AS (SELECT [CASE WHEN 55 < 60 THEN 'Prioritize critical and warning items befo
 SELECT CAST(unnest(range(1, len(f) + 1)) AS BIGINT) AS place, unnest(f) AS guidance FROM (SELECT [x FOR x IN t IF x IS NOT NULL] AS f FROM l)""")
 def dataset_guidance(spark, d):
     return engine.dataset_guidance(_policy(spark, d), F.lit(55.0))
+
+
+#: The places of texture that a baseline tells.
+_SHARES = {"p10": 0.1, "p90": 0.9}
+_MEASURES = ("megapixels", "aspect_ratio", "texture", "artifact", "brightness", "contrast")
+_GAMMA = "ln(1.01 / 0.99)"
+_SKETCH = f"""b AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE sign(value) * (ceil(ln(abs(value)) / {_GAMMA}) + 100000) END AS bucket FROM l WHERE value IS NOT NULL),
+  t AS (SELECT *, row_number() OVER (PARTITION BY grp, measure ORDER BY bucket) - 1 AS place, count(*) OVER (PARTITION BY grp, measure) AS c FROM b),
+  v AS (SELECT grp, measure, place, c, sign(bucket) * exp((abs(bucket) - 100000) * {_GAMMA}) * 0.99 AS mid FROM t),
+  r AS (SELECT grp, measure, max(mid) FILTER (place = least(floor(c * 0.1), c - 1)) AS p10, max(mid) FILTER (place = least(floor(c * 0.9), c - 1)) AS p90 FROM v GROUP BY grp, measure),
+  s AS (SELECT grp, measure, count(value) AS n, count(*) - count(value) AS errors, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev, round(min(value), 6) AS least, round(max(value), 6) AS most FROM l GROUP BY grp, measure)
+  SELECT s.*, round(greatest(least, least(most, p10)), 6) AS p10, round(greatest(least, least(most, p90)), 6) AS p90 FROM s LEFT JOIN r ON r.measure = s.measure AND r.grp IS NOT DISTINCT FROM s.grp"""
+_LONG = "l AS (" + " UNION ALL ".join(f"SELECT {{grp}} AS grp, '{m}' AS measure, CASE WHEN n_tokens % 50 = 7 THEN NULL ELSE CAST({m} AS DOUBLE) END AS value FROM x" for m in _MEASURES) + ")"
+
+
+def _measured(spark, d):
+    """Measures of items, of which those with some numbers of words count as failed."""
+    failed = F.col("n_tokens") % 50 == 7
+    return metrics(spark, d).select("item_id", "grp", *(F.when(~failed, F.col(m).cast("double")).alias(m) for m in _MEASURES))
+
+
+def _told(states, by=()):
+    found = sketches.finish(states, _SHARES, by)
+    return found.select(*by, "measure", "n", "errors", *(F.round(c, 6).alias(c) for c in ("mean", "stddev", "least", "most", *_SHARES)))
+
+
+@query(f"WITH {M}, {_X}, {_LONG.format(grp='1')}, {_SKETCH}".replace("SELECT s.*, round(g", "SELECT s.* EXCLUDE (grp), round(g"))
+def baseline_measures(spark, d):
+    """The baseline of every measure, with the number of failed ones; percentiles within 1 % from a sketch."""
+    return _told(sketches.state(_measured(spark, d), _MEASURES))
+
+
+@query(f"WITH {M}, {_X}, {_LONG.format(grp='grp')}, {_SKETCH}")
+def baseline_updated_by_source(spark, d):
+    """Baselines of sources, kept by three batches of which one comes twice and two are merged before the last."""
+    path, rows = new_path(spark, "baseline"), _measured(spark, d)
+    for batch in (0, 1, 1):
+        sketches.update(spark, path, str(batch), rows.filter(F.col("item_id") % 3 == batch), _MEASURES, ["grp"])
+    sketches.compact(spark, path, ["grp"])
+    sketches.update(spark, path, "1", rows, _MEASURES, ["grp"])  # was merged: nothing is added
+    sketches.update(spark, path, "2", rows.filter(F.col("item_id") % 3 == 2), _MEASURES, ["grp"])
+    return _told(sketches.load(spark, path, ["grp"]), ["grp"])
