@@ -69,7 +69,12 @@ def triaged(spark: SparkSession, d: str, version: tuple[int, int] = V1) -> DataF
 
 
 def decision_log(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return decided_by(table(spark, d, "events"))
+
+
+def decided_by(events: DataFrame) -> DataFrame:
+    """What events decide, of a table or a stream of them."""
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     decides = F.try_element_at(F.create_map(*(F.lit(x) for kv in DECIDES.items() for x in kv)), F.col("event_type"))
     return e.select(F.col("user_id").alias("item_id"), F.when(F.col("k") >= 30, "caption.long").alias("category"), F.when(F.col("k") >= 60, "caption/v1").alias("analyzer"), decides.alias("decision"), "ts", "event_id")
 
