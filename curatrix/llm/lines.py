@@ -1,17 +1,20 @@
 """Removal of repeated runs of lines, cut at places that the content chooses.
 
 A line's hash, rolled over LOOK lines, decides whether a chunk ends there; as only those lines matter, an insertion or
-deletion elsewhere moves no other boundary. Chunks of at least two lines that stand more than once in the corpus are
+deletion elsewhere moves no other boundary; of boundaries one after another the one of the lesser choice (below) counts,
+so that chunks of at least LEAST lines come in step as well. Chunks of at least two lines that stand more than once in the corpus are
 compared byte for byte with the first of them (by document, then place) and removed where they are the same; the first
 stays. Blank lines and white space at a line's end don't count for boundaries but do for equality.
-A chunk ends after MOST lines at the latest. Of runs of that many lines without a boundary by hash (one of some ten million)
-the cut counts from the chunk's beginning, so it moves with it until the next such boundary.
+Where MOST lines have no boundary of this kind, as in lines that repeat one after another, the chunk ends after that of them
+which the hash of the WIDE lines up to it (its choice) makes the least, of equal ones the last. In periodic lines that is always the
+same place of the period and as many periods on as fit, so their chunks are alike wherever the lines begin.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -24,28 +27,49 @@ from curatrix.llm.kernels import MASK64, text_arrays
 from curatrix.llm.rows import LAST_ID, row_key
 from curatrix.sources.shared import materialize, table
 
-LOOK, DIVISOR, LEAST, MOST = 2, 4, 2, 64
+LOOK, DIVISOR, LEAST, MOST, WIDE = 2, 4, 2, 32, 8
 _ROLL = 0x9E3779B97F4A7C15
 
 
 def chunks(text: bytes) -> list[tuple[int, int, int]]:
     """The text's chunks as byte ranges (start, end, lines); together they are the text."""
-    out: list[tuple[int, int, int]] = []
-    start = at = n = 0
-    recent: list[int] = []
-    for line in text.split(b"\n"):
-        at, n = min(len(text), at + len(line) + 1), n + 1
-        body = line.rstrip()
+    lines = text.split(b"\n")
+    if not lines[-1]:
+        lines.pop()
+    bodies = [line.rstrip() for line in lines]
+    hashes = [xxhash.xxh3_64_intdigest(b) for b in bodies]
+    ends = list(accumulate(len(line) + 1 for line in lines))
+    wide: dict[int, int] = {}
+
+    def choice(i: int) -> int:
+        if i not in wide:
+            wide[i] = xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little") for h in hashes[max(0, i - WIDE + 1) : i + 1]))
+        return wide[i]
+
+    ends_here, recent = [], []
+    for body, h in zip(bodies, hashes, strict=True):
         if body:
-            recent = [*recent, xxhash.xxh3_64_intdigest(body)][-LOOK:]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * _ROLL + h) & MASK64
-        if n >= MOST or n >= LEAST and body and (rolled >> 40) % DIVISOR == 0:
-            out.append((start, at, n))
-            start, n = at, 0
+            recent = [*recent, h][-LOOK:]
+            rolled = 0
+            for x in recent:
+                rolled = (rolled * _ROLL + x) & MASK64
+            ends_here.append((rolled >> 40) % DIVISOR == 0)
+        else:
+            ends_here.append(False)
+    out: list[tuple[int, int, int]] = []
+    start = first = i = 0
+    while i < len(lines):
+        n = i + 1 - first
+        if n == MOST and not ends_here[i]:
+            i = min(range(first + LEAST - 1, i + 1), key=lambda j: (choice(j), -j))
+        elif n < LEAST or not ends_here[i] or n < MOST and i + 1 < len(lines) and ends_here[i + 1] and choice(i + 1) < choice(i):
+            i += 1
+            continue
+        end = min(len(text), ends[i])
+        out.append((start, end, i + 1 - first))
+        start, first, i = end, i + 1, i + 1
     if start < len(text):
-        out.append((start, len(text), n - text.endswith(b"\n")))
+        out.append((start, len(text), len(lines) - first))
     return out
 
 
@@ -92,8 +116,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_sha256 and text of what is left, of each of docs.
 
     A null text has no lines; no documents give no rows; other columns of docs, whatever their names, are left out. A null
-    doc_id comes after all others. A long text is taken whole. Rows are told apart by doc_id and text: of rows that agree in both, each loses what an earlier
-    document or place has, and they keep the same.
+    doc_id comes after all others. A long text is taken whole, at some 300 bytes of memory for each of its lines. Rows are
+    told apart by doc_id and text: of rows that agree in both, each loses what an earlier document or place has, and they
+    keep the same.
     """
     docs = docs.select("doc_id", "text")
     texts = texts_by_key(docs)
