@@ -4,20 +4,21 @@ A source is a flow whose documents wait in shuffled order, up to COPIES times ov
 source's words up to and with it, divided by the source's target. Copies are taken in order of finish time until the
 total budget is spent, so at any moment each source has had its share, and at the end its target to within a document.
 
-No source and no point in time meets in one task: a shuffled source is cut into SHUFFLE_BUCKETS by the hash that orders
-it, and time into TIME_BUCKETS; their sums are what prefix sums run over.
+No source and no point in time meets in one task: a shuffled source is cut by the hash that orders it, into more buckets
+the more rows there are, and time into TIME_BUCKETS; their sums are what prefix sums run over. The bucket of time that the
+budget ends in is range-partitioned once more, and only the range with the cut is put in order, TOGETHER copies or so.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatrix.llm.rows import packed, row_key, unpacked
 from curatrix.sources.shared import materialize, table
 
 WEIGHTS, COPIES = (5, 2, 1), 3
-SHUFFLE_BUCKETS, TIME_BUCKETS = 4096, 8192
+TIME_BUCKETS, TOGETHER = 8192, 50_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -25,6 +26,14 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _digits(rows: int) -> int:
+    """Hex digits of a hash that cut so many rows into buckets of TOGETHER or fewer, three at least."""
+    digits = 3
+    while rows > TOGETHER * 16**digits:
+        digits += 1
+    return digits
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
     """source, sid, source_size, target from sizes (source, source_size), a row for each source.
 
@@ -42,6 +51,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     return leveled.withColumn("target", F.least("cap", chosen * F.col("w"))).select("source", "sid", "source_size", "target")
 
 
+def _first_over(sums: DataFrame, place: str, before: int, budget: int) -> Row | None:
+    """Of sums (place, n, of few rows) the first, in order, up to and with which more than the budget is spent, and how much (upto)."""
+    upto = sums.withColumn("upto", F.sum("n").over(Window.orderBy(place)) + before)
+    return upto.filter(F.col("upto") > budget).orderBy(place).first()
+
+
 def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
     """doc_id, k (the row's key), size, source_size, target, copies_taken, taken, one row for each of docs.
 
@@ -53,7 +68,8 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = materialize(docs.select("doc_id", _key().alias("k"), "source", word_count().alias("size"), h.alias("h")), "sizes")
     named = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, copies), "targets")
-    rows = rows.join(named, rows["source"].eqNullSafe(named["source"])).drop("source").withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    total = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    rows = rows.join(named, rows["source"].eqNullSafe(named["source"])).drop("source").withColumn("b", F.substring("h", 1, _digits(total.rows)))
     sums = rows.groupBy("sid", "b").agg(F.sum("size").alias("n"))
     base = sums.select("sid", "b", (F.sum("n").over(Window.partitionBy("sid").orderBy("b")) - F.col("n")).alias("base"))
     within = Window.partitionBy("sid", "b").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,15 +78,17 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int =
 
     finish = F.expr(f"transform(sequence(0, {copies - 1}), c -> struct(CASE WHEN target > 0 THEN cast(c * source_size + sum AS double) / target ELSE double('infinity') END AS finish, sid AS sid, coalesce(doc_id, {-(1 << 63) + 1}L) AS doc_id, c AS c, size AS size))")
     at = queued.select(F.explode(finish).alias("at")).select("at", F.col("at.size").alias("n"), F.least(F.floor(F.col("at.finish") * TIME_BUCKETS), F.lit(2 * TIME_BUCKETS)).alias("t"))
-    budget = rows.agg(F.sum("size")).first()[0] or 0
-    sums = at.groupBy("t").agg(F.sum("n").alias("n"))  # of at most 2 * TIME_BUCKETS + 1 rows
-    upto = sums.select("t", "n", F.sum("n").over(Window.orderBy("t")).alias("upto"))
-    cut = upto.filter(F.col("upto") > budget).orderBy("t").first()
+    cut = _first_over(at.groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "t", 0, total["size"])  # of at most 2 * TIME_BUCKETS + 1 rows
     if cut is None:
         taken = F.lit(copies)
     else:
-        inside = at.filter(F.col("t") == cut.t).withColumn("upto", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-        first = inside.filter(F.col("upto") + (cut.upto - cut.n) > budget).agg(F.min("at").alias("at")).first()["at"]
+        inside, parts, before = at.filter(F.col("t") == cut.t), -(-cut.rows // TOGETHER), cut.upto - cut.n
+        if parts > 1:
+            inside = materialize(inside.repartitionByRange(parts, "at").withColumn("p", F.spark_partition_id()), "cut")
+            part = _first_over(inside.groupBy("p").agg(F.sum("n").alias("n")), "p", before, total["size"])
+            inside, before = inside.filter(F.col("p") == part.p), part.upto - part.n
+        inside = inside.withColumn("upto", F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+        first = inside.filter(F.col("upto") + before > total["size"]).agg(F.min("at").alias("at")).first()["at"]
         keep = F.struct(F.lit(first.finish).alias("finish"), F.lit(first.sid).cast("long").alias("sid"), F.lit(first.doc_id).cast("long").alias("doc_id"), F.lit(first.c).alias("c"), F.lit(first.size).cast("long").alias("size"))
         taken = F.size(F.filter(finish, lambda x: x < keep))
     return queued.withColumn("copies_taken", taken).select("doc_id", "k", "size", "source_size", "target", "copies_taken", (F.col("copies_taken") * F.col("size")).cast("long").alias("taken"))
