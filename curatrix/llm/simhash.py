@@ -3,7 +3,9 @@
 A fingerprint's 64 bits are cut into a ring of SEGMENTS segments. If two fingerprints differ in at most DISTANCE bits,
 the pigeonring principle says that from some segment on every chain of l consecutive segments has at most
 l * DISTANCE / SEGMENTS differences. As long as that budget rounds down to 0 the chain must be equal, so its bits are a
-join key (seven segments, 28 bits, for the values used). Fingerprints that share no chain with another are pruned there.
+join key (seven segments, 28 bits, for the values used). Fingerprints that share no chain with another are pruned there,
+and before it those that share no BLOCKS - DISTANCE of BLOCKS blocks with another (38 bits, so that few of them share one
+by chance even among many billions).
 
 Survivors of one chain are compared without pairing a bucket's members with each other: two of them differ in at most
 two bits if and only if they have a midpoint at one bit or less from both. Each sends its midpoints (only bits outside
@@ -15,6 +17,8 @@ by flips before it are over budget and pruned (such a pair has another chain). E
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +31,7 @@ from curatrix.llm.rows import packed, unpacked
 from curatrix.operators.graph import connected_components
 from curatrix.sources.shared import materialize, table
 
-WORDS, SEED, DISTANCE, SEGMENTS = 3, 42, 2, 16
+WORDS, SEED, DISTANCE, SEGMENTS, BLOCKS = 3, 42, 2, 16, 5
 _LOWER = bytes(range(256)).lower()
 _ROWS = 1 << 16  # hashes whose bits are unpacked at a time
 
@@ -63,6 +67,17 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return map_texts(docs, run, "fp long", keep=["doc_id"] if keep is None else keep)
 
 
+def _with_company(distinct: DataFrame, distance: int, blocks: int = BLOCKS) -> DataFrame:
+    """Those of distinct (fp) that agree with another in all but `distance` of the blocks, as all within that distance of one do."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    mask = lambda chosen: sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen)
+    signed = [m - (1 << 64) if m >> 63 else m for m in map(mask, combinations(range(blocks), blocks - distance))]
+    keyed = distinct.select("fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in signed))).alias("i", "m")).select("fp", "i", F.col("fp").bitwiseAND(F.col("m")).alias("key"))
+    # a key's fingerprints differ, so there is another if the least and the greatest do
+    shared = keyed.groupBy("i", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("i", "key")
+    return materialize(keyed.join(shared, ["i", "key"], "left_semi").select("fp").distinct(), "with-company")
+
+
 def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """src, dst: fingerprints (column fp, each once) at most `distance` bits apart, enough of them to connect all that are."""
     if distance not in (1, 2):
@@ -72,7 +87,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     rest = 64 - chain
     turned = F.expr(f"transform(sequence(0, {segments - 1}), i -> struct(i AS i, shiftleft(fp, i * {wide}) | shiftrightunsigned(fp, 64 - i * {wide}) AS x))")
     # a shift by 64 is one by 0: at i = 0 both halves are fp itself
-    rows = distinct.select("fp", F.explode(turned).alias("r")).select("fp", "r.i", "r.x", F.expr(f"shiftrightunsigned(r.x, {rest})").alias("chain"))
+    rows = _with_company(distinct, distance).select("fp", F.explode(turned).alias("r")).select("fp", "r.i", "r.x", F.expr(f"shiftrightunsigned(r.x, {rest})").alias("chain"))
     shared = rows.groupBy("i", "chain").count().filter("count > 1").drop("count")
     left = rows.join(shared, ["i", "chain"], "left_semi")
     # bits below `wide` are the last segment; nothing flipped counts as there, as it takes no budget

@@ -18,24 +18,27 @@ def rows(df, *columns):
 
 
 def plain_chunks(text):
-    """Line by line, each boundary from the two last lines that aren't blank."""
-    if not text:
-        return []
-    parts = text.split(b"\n")
-    whole = [p + b"\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
-    out, begin, at = [], 0, 0
-    for i, line in enumerate(whole):
-        at += len(line)
-        full = [p.rstrip() for p in parts[: i + 1] if p.rstrip()][-2:]
-        n = i + 1 - (out[-1][3] if out else 0)
-        h = [xxhash.xxh3_64_intdigest(p) for p in full]
-        rolled = h[0] if len(h) == 1 else (h[0] * 0x9E3779B97F4A7C15 + h[1]) % 2**64 if h else 0
-        if n >= 64 or (n >= 2 and parts[i].rstrip() and rolled // 2**40 % 4 == 0):
-            out.append((begin, at, n, i + 1))
-            begin = at
-    if begin < len(text):
-        out.append((begin, len(text), len(whole) - (out[-1][3] if out else 0), len(whole)))
-    return [c[:3] for c in out]
+    """Line by line: the first boundary from the two last lines that aren't blank, or else the choice among 32 lines."""
+    whole = [p for p in (text + b"\n").split(b"\n")[:-1]] if text and not text.endswith(b"\n") else text.split(b"\n")[:-1]
+    h = [xxhash.xxh3_64_intdigest(p.rstrip()) for p in whole]
+
+    def hashed(i):
+        full = [k for k in range(i + 1) if whole[k].rstrip()][-2:]
+        rolled = h[full[0]] if len(full) == 1 else (h[full[0]] * 0x9E3779B97F4A7C15 + h[full[1]]) % 2**64 if full else 0
+        return bool(whole[i].rstrip()) and rolled // 2**40 % 4 == 0
+
+    chosen = lambda i: xxhash.xxh3_64_intdigest(np.array(h[max(0, i - 7) : i + 1], "<u8").tobytes())
+    out, first, at = [], 0, 0
+    while first < len(whole):
+        better = lambda i: i + 1 < len(whole) and i + 1 - first < 32 and hashed(i + 1) and chosen(i + 1) < chosen(i)
+        last = next((i for i in range(first + 1, min(first + 32, len(whole))) if hashed(i) and not better(i)), None)
+        if last is None and first + 32 <= len(whole):
+            last = max(i for i in range(first + 1, first + 32) if chosen(i) == min(map(chosen, range(first + 1, first + 32))))
+        last = len(whole) - 1 if last is None else last
+        end = min(len(text), at + sum(len(p) + 1 for p in whole[first : last + 1]))
+        out.append((at, end, last + 1 - first))
+        first, at = last + 1, end
+    return out
 
 
 def plain_lines(corpus):
@@ -78,15 +81,36 @@ def test_line_dedup_of_odd_rows(spark, docs, corpus, empty):
     assert lines.deduplicate(docs).count() == len(corpus)
 
 
-def test_long_runs_without_a_boundary_are_cut_by_their_number():
-    text = b"same\n" * 1000
-    assert lines.chunks(text) == plain_chunks(text) and max(n for _, _, n in lines.chunks(text)) <= 64
+def test_chunks_of_odd_texts_equal_a_plain_version():
+    for text in (b"same\n" * 1000, b"\n" * 500, b"", b"\n", b"a", b"a\n", b"x\n\n" * 200, b"1\n2\n" * 300):
+        assert lines.chunks(text) == plain_chunks(text) and max((n for _, _, n in lines.chunks(text)), default=0) <= 32
     rng = random.Random(3)
     for _ in range(200):
-        text = b"".join(rng.choice([b"a", b"bb ", b"", b" ", b"c\tc"]) + rng.choice([b"\n", b"\n", b""]) for _ in range(rng.randint(0, 90)))
+        text = b"".join(rng.choice([b"a", b"bb ", b"", b" ", b"c\tc"]) + rng.choice([b"\n", b"\n", b""]) for _ in range(rng.randint(0, 300)))
         assert lines.chunks(text) == plain_chunks(text)
 
 
+@pytest.mark.parametrize("kind", ["equal", "blank", "period 2", "period 7", "two kinds"])
+def test_repetitive_blocks_are_chunked_alike_after_any_beginning(kind):
+    """Of 310 lines that two texts share, most stand in chunks that both have, whatever comes before and after them."""
+    rng, found = random.Random(kind), []
+    for trial in range(100):
+        some = [f"{trial} {rng.random()}" for _ in range(7)]
+        block = {"equal": some[:1] * 310, "blank": [""] * 310, "period 2": some[:2] * 155, "period 7": (some * 45)[:310], "two kinds": rng.choices(some[:2], k=310)}[kind]
+        one, two = ("\n".join([*(f"{rng.random()}" for _ in range(rng.randint(0, 90))), *block, *(f"{rng.random()}" for _ in range(rng.randint(1, 30)))]).encode() for _ in range(2))
+        have = {one[a:b] for a, b, _ in lines.chunks(one)}
+        found.append(sum(n for a, b, n in lines.chunks(two) if two[a:b] in have))
+    assert sum(n >= 310 - 2 * lines.MOST for n in found) >= 95 and min(found) > 0.4 * 310 and sorted(found)[50] >= 0.8 * 310, sorted(found)
+
+
+def test_two_documents_lose_the_repeated_lines_they_share(spark):
+    rng = random.Random(1)
+    for block in (["same"] * 300, [""] * 300, ["a b", "c d"] * 150):
+        table = [(i, "\n".join([*(f"{i} {rng.random()}" for _ in range(40)), *block, "end"])) for i in range(2)]
+        got = {r.doc_id: r.n_removed for r in lines.deduplicate(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+        assert got[1] >= 300 - lines.MOST
+
+
 def test_line_chunks_resist_shifts():
     text = "\n".join(f"line {i * i}" for i in range(200)).encode()
     body = lambda t: {t[a:b] for a, b, _ in lines.chunks(t)}
@@ -111,6 +135,14 @@ def test_mixing_meets_its_targets(docs, corpus):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_in_parts_of_few_rows_is_the_same(docs, monkeypatch):
+    want = sorted(map(str, mixing.schedule(docs).collect()))
+    monkeypatch.setattr(mixing, "TOGETHER", 2)
+    monkeypatch.setattr(mixing, "TIME_BUCKETS", 1)
+    assert sorted(map(str, mixing.schedule(docs).collect())) == want
+    assert [mixing._digits(n) for n in (0, 8192, 8193, 2 * 16**5)] == [3, 3, 4, 5]
+
+
 def test_mixing_empty_and_mixed_rows(docs, empty):
     assert mixing.schedule(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.mixed(docs).columns == docs.columns
