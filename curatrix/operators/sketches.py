@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curatrix.sources.shared import drop_path, exists, listed
+from curatrix.sources.shared import drop_path, exists, listed, touch
 
 ALPHA = 0.01
 _LOG = math.log((1 + ALPHA) / (1 - ALPHA))
@@ -84,12 +84,7 @@ def update(spark: SparkSession, path: str, batch: str, df: DataFrame, measures:
     """Adds the records of a batch to the baseline at path. A batch that is sent again replaces itself, or is left out where it was merged already."""
     if f"batch-{batch}" not in _held(spark, path)[1]:
         state(df, measures, by).write.mode("overwrite").parquet(f"{path}/batch-{batch}/state")
-        _done(spark, f"{path}/batch-{batch}")
-
-
-def _done(spark: SparkSession, folder: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+        touch(spark, f"{path}/batch-{batch}/_SUCCESS")
 
 
 def load(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
@@ -110,6 +105,6 @@ def compact(spark: SparkSession, path: str, by: Sequence[str] = ()) -> None:
     # earlier batches stay covered, should they be sent again
     names = sorted({*parts, *covered})
     spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").json(f"{to}/covers")
-    _done(spark, to)
+    touch(spark, f"{to}/_SUCCESS")
     for name in {*parts, *covered} & set(tables):
         drop_path(spark, tables[name])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator
 
@@ -105,13 +106,13 @@ def point_to(spark: SparkSession, folder: str, manifest_path: str) -> None:
 
 
 def latest_manifest(spark: SparkSession, folder: str) -> str | None:
-    """The manifest that the pointer names if it is there; else the last by name of those in the folder, if any."""
+    """The manifest that the pointer names if it is there; else the last by name of those in the folder, numbers by value, if any."""
     if exists(spark, f"{folder}/latest"):
         named = spark.read.text(f"{folder}/latest").first()
         if named is not None and exists(spark, named.value):
             return named.value
     found = [p for p in listed(spark, folder) if p.rsplit("/", 1)[1].startswith("manifest")]
-    return max(found, default=None)
+    return max(found, default=None, key=lambda p: [(x.isdigit(), int(x) if x.isdigit() else 0, x) for x in re.split(r"(\d+)", p.rsplit("/", 1)[1])])
 
 
 #: A preset's required settings.
@@ -135,19 +136,6 @@ def presets(spark: SparkSession, folder: str) -> DataFrame:
     return rows.filter(F.assert_true(F.col("name").isNotNull(), F.concat(F.lit("a preset without a name: "), "path")).isNull()).select("name", "description", "settings")
 
 
-def cached(df: DataFrame, cache_path: str, key: str, measure, spark: SparkSession) -> DataFrame:
-    """measure(df) for rows whose key the table at cache_path hasn't got, appended to it; all of df's measurements."""
-    try:
-        have = spark.read.parquet(cache_path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        measure(df).write.parquet(cache_path)
-    else:
-        measure(df.join(have.select(key).distinct(), key, "left_anti")).write.mode("append").parquet(cache_path)
-    return spark.read.parquet(cache_path).join(df.select(key).distinct(), key, "left_semi")
-
-
 def append_audit(df: DataFrame, path: str) -> None:
     df.withColumn("recorded_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")).write.mode("append").json(path)
 

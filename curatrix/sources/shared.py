@@ -90,6 +90,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Makes an empty file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table, by whatever file system its path names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
