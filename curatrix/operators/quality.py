@@ -60,19 +60,75 @@ def dataset_health(df: DataFrame) -> DataFrame:
     return parts.withColumn("health", weighted(DATASET_WEIGHTS))
 
 
+#: Presets, the confidence of a margin, and what is said of texture.
+PRESET, TEXTURE_PRESET = "general_artifact_cleanup", "watercolor_pencil_cleanup"
+CONFIDENCE_BASE, CONFIDENCE_SCALE, CONFIDENCE_MOST = 68.0, 1.2, 97
+TEXTURE_ENDINGS = {
+    "TEXTURE_NORMALIZE_LIGHT": "A light normalization pass may reduce mild fine grain or bright specks.",
+    "TEXTURE_NORMALIZE_MEDIUM": "Fine texture or bright specks justify moderate normalization.",
+    "MANUAL_REVIEW": "Texture and edge signals are unusually strong or conflicting.",
+}
+#: What a policy reads of texture, where items have it.
+SIGNALS = ("microtexture", "highlight_speck", "edge_sharpness")
+
+
+def _whole(x: Column) -> Column:
+    return F.bround(x, 0).cast("int")
+
+
 def policy(df: DataFrame, rules: dict[str, float] | None = None) -> DataFrame:
-    """df with action, level and issue, by the first rule of the cascade that holds."""
+    """df with action, level, issue, explanation, confidence, preset and strength, by the first rule of the cascade that holds.
+
+    Texture signals (SIGNALS) are held against their mean and spread over df, where it has them; with rules given, an item
+    without quality, artifact, texture or resolution is for review. Statistics are one row of one aggregate.
+    """
     t = {**THRESHOLDS, "artifact_medium": 55} if rules is None else {**THRESHOLDS, **rules}
-    a, mp = F.col("artifact"), F.col("megapixels")
+    signals = set(SIGNALS) <= set(df.columns)
+    stats = df.agg(F.avg("artifact").alias("_aa"), *((F.avg("microtexture").alias("_tm"), F.stddev_pop("microtexture").alias("_ts")) if signals else ()))
+    a, mp, tx = F.coalesce("artifact", F.lit(0.0)), F.coalesce("megapixels", F.lit(0.0)), F.coalesce("texture", F.lit(0.0))
+    sure = lambda margin, scale=1.0: F.least(F.lit(CONFIDENCE_MOST), _whole(CONFIDENCE_BASE + F.greatest(F.lit(0.0), margin) * CONFIDENCE_SCALE * scale))
+    above = (a - F.col("_aa")) / F.col("_aa") * 100
+    burden = F.when(F.col("_aa") > 0, F.format_string("Artifact score is %.1f, %.0f%% above the dataset average.", F.bround(a, 1), F.bround(above, 0))).otherwise(F.format_string("Artifact score is %.2f/100.", a))
+    row = lambda *x: F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(n) for v, n in zip(x, ("action", "level", "issue", "explanation", "confidence", "preset", "strength"), strict=True)))
+    cleaned = lambda action, level, issue, at, strength: (a >= t[at], row(action, level, issue, burden, sure(a - t[at]), PRESET, strength))
+    review = lambda issue, why, confidence: row("MANUAL_REVIEW", "WARNING", issue, why, confidence, "", "")
+    copy = lambda text, of: F.format_string(text, F.col(of).cast("string"))
     steps = [
-        (F.col("status") == "error", "MANUAL_REVIEW", "CRITICAL", "Unreadable image"), (F.col("exact_of").isNotNull(), "EXCLUDE", "CRITICAL", "Exact duplicate"), (F.col("probable_of").isNotNull(), "DUPLICATE_REVIEW", "WARNING", "Probable duplicate"),
-        ((mp > 0) & (mp < t["very_low_resolution_mp"]), "REGENERATE", "CRITICAL", "Very low resolution"), (a >= t["artifact_strong"], "CLEAN_STRONG", "CRITICAL", "High artifact burden"), (a >= t["artifact_medium"], "CLEAN_MEDIUM", "WARNING", "Elevated artifact burden"),
-        (a >= t["artifact_light"], "CLEAN_LIGHT", "WARNING", "Mild artifact burden"), (F.col("texture") >= t["texture_light"], "TEXTURE_NORMALIZE_LIGHT", "WARNING", "High texture burden"), ((mp > 0) & (mp < t["low_resolution_mp"]), "MANUAL_REVIEW", "WARNING", "Low resolution"),
-        (F.col("brightness_consistency") < 60, "MANUAL_REVIEW", "WARNING", "Brightness outlier"), (F.col("contrast_score") < 60, "MANUAL_REVIEW", "WARNING", "Contrast outlier"),
+        (F.col("status") == "error", row("MANUAL_REVIEW", "CRITICAL", "Unreadable image", "The image could not be read or analyzed reliably.", 99, "", "")),
+        (F.col("exact_of").isNotNull(), row("EXCLUDE", "CRITICAL", "Exact duplicate", copy("File content matches %s.", "exact_of"), 99, "", "")),
+        (F.col("probable_of").isNotNull(), row("DUPLICATE_REVIEW", "WARNING", "Probable duplicate", copy("Visual hash is similar to %s.", "probable_of"), 90, "", "")),
+        ((mp != 0) & (mp < t["very_low_resolution_mp"]), row("REGENERATE", "CRITICAL", "Very low resolution", F.format_string(f"Image resolution is %.3f MP, below {t['very_low_resolution_mp']:.2f} MP.", F.bround(mp, 3)), sure(t["very_low_resolution_mp"] - mp, 100.0), "", "")),
+    ]
+    if signals:
+        micro, speck, edge = (F.coalesce(c, F.lit(0.0)) for c in SIGNALS)
+        mean, spread = F.coalesce("_tm", F.lit(0.0)), F.coalesce("_ts", F.lit(0.0))
+        over = lambda least, share: micro >= mean + F.greatest(F.lit(least), share * spread)
+        relation = ladder((micro > mean + 2, "above"), (micro < mean - 2, "below"), otherwise="near")
+
+        def textured(action: str, issue: str, confidence: int) -> Column:
+            told = F.format_string(f"Microtexture is %s the dataset average (%.1f versus %.1f). {TEXTURE_ENDINGS[action]}", relation, F.bround(micro, 1), F.bround(mean, 1))
+            preset, strength = (TEXTURE_PRESET, "medium" if action.endswith("MEDIUM") else "light") if action != "MANUAL_REVIEW" else ("", "")
+            return row(action, "WARNING", issue, told, confidence, preset, strength)
+
+        seen = (micro != 0) | (speck != 0) | (edge != 0)
+        steps += [
+            (seen & ((speck >= 55) | over(20.0, 1.6) & (edge >= 75)), textured("MANUAL_REVIEW", "Texture signals require review", 82)),
+            (seen & ((speck >= 28) | over(10.0, 1.0)), textured("TEXTURE_NORMALIZE_MEDIUM", "Elevated texture burden", 84)),
+            (seen & ((speck >= 12) | over(6.0, 0.5)), textured("TEXTURE_NORMALIZE_LIGHT", "Mild texture burden", 78)),
+        ]
+    if rules is not None:
+        without = F.col("artifact").isNull() | F.col("texture").isNull() | F.col("megapixels").isNull()
+        steps.append((without, review("Missing analysis evidence", "Required quality, artifact, texture, or resolution metrics are missing.", 96)))
+    steps += [
+        cleaned("CLEAN_STRONG", "CRITICAL", "High artifact burden", "artifact_strong", "strong"), cleaned("CLEAN_MEDIUM", "WARNING", "Elevated artifact burden", "artifact_medium", "medium"), cleaned("CLEAN_LIGHT", "WARNING", "Mild artifact burden", "artifact_light", "light"),
+        (tx >= t["texture_light"], row("TEXTURE_NORMALIZE_LIGHT", "WARNING", "High texture burden", F.format_string("Texture score is %.2f/100.", tx), sure(tx - t["texture_light"]), PRESET, "light")),
+        ((mp != 0) & (mp < t["low_resolution_mp"]), review("Low resolution", f"Image resolution is below {t['low_resolution_mp']:g} megapixel.", 70)),
+        (F.col("brightness_consistency") < 60, review("Brightness outlier", "Brightness differs substantially from the dataset median.", 70)),
+        (F.col("contrast_score") < 60, review("Contrast outlier", "Contrast differs substantially from the dataset or useful range.", 70)),
     ]
-    row = lambda *x: F.struct(*(F.lit(v).alias(n) for v, n in zip(x, ("action", "level", "issue"), strict=True)))
-    chosen = ladder(*((F.coalesce(c, F.lit(False)), row(*x)) for c, *x in steps), otherwise=row("KEEP", "INFO", "No major quality issue"))
-    return df.withColumn("_p", chosen).select(*df.columns, "_p.*")
+    kept = row("KEEP", "INFO", "No major quality issue", "Available evidence does not justify processing.", 90, "", "")
+    chosen = ladder(*((F.coalesce(c, F.lit(False)), x) for c, x in steps), otherwise=kept)
+    return df.crossJoin(F.broadcast(stats)).withColumn("_p", chosen).select(*df.columns, "_p.*")
 
 
 def cleanup_rollup(actions: DataFrame, health: float) -> DataFrame:

@@ -84,8 +84,12 @@ def crystalline(df: DataFrame) -> DataFrame:
 
 
 def oversharpening(df: DataFrame) -> DataFrame:
+    """Items that are far sharper at edges than elsewhere, with a confidence that is capped as long as nothing calibrates it."""
     hit = df.filter("edge_density BETWEEN 0.004 AND 0.18 AND residual_mean >= 35 AND residual_p95 >= 70 AND residual_ratio >= 6")
-    return hit.withColumn("category", F.lit("artifact.oversharpening_halo")).withColumn("severity", F.when(F.expr("residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8"), "MEDIUM").otherwise("LOW"))
+    hit = hit.filter("status = 'analyzed'") if "status" in df.columns else hit
+    medium, p95 = F.expr("residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8"), F.col("residual_p95")
+    raw = F.when(medium, 0.35 + F.least(F.lit(0.10), (p95 - 90) / 400)).otherwise(0.25 + F.least(F.lit(0.10), (p95 - 70) / 300))
+    return hit.withColumns({"category": F.lit("artifact.oversharpening_halo"), "severity": F.when(medium, "MEDIUM").otherwise("LOW"), "confidence": F.round(F.least(raw, F.lit(0.45)), 4)})
 
 
 def isolated(df: DataFrame) -> DataFrame:

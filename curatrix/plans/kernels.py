@@ -203,9 +203,10 @@ def isolated_rules(spark, d):
 _TEX = "SELECT page_id AS item_id, CAST(n % 41 AS DOUBLE) AS microtexture, CAST(n % 97 AS DOUBLE) AS smoothness, CAST(n % 83 AS DOUBLE) AS grain, n % 200 / 1000.0 AS edge_density, CAST(n % 53 AS DOUBLE) AS residual_mean, CAST(n % 109 AS DOUBLE) AS residual_p95, CAST(n % 13 AS DOUBLE) AS residual_ratio FROM (SELECT page_id, CAST(length(html) AS BIGINT) AS n FROM pages)"
 
 
-@query(f"""WITH e AS ({_TEX}) SELECT item_id, 'artifact.crystalline_faceting' AS category, CASE WHEN grain >= 65 THEN 'HIGH' WHEN grain >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM e WHERE microtexture >= 20 AND smoothness < 52 AND grain >= 45
-UNION ALL SELECT item_id, 'artifact.oversharpening_halo', CASE WHEN residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8 THEN 'MEDIUM' ELSE 'LOW' END FROM e WHERE edge_density BETWEEN 0.004 AND 0.18 AND residual_mean >= 35 AND residual_p95 >= 70 AND residual_ratio >= 6""")
+@query(f"""WITH e AS ({_TEX}) SELECT item_id, 'artifact.crystalline_faceting' AS category, CASE WHEN grain >= 65 THEN 'HIGH' WHEN grain >= 55 THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(NULL AS DOUBLE) AS confidence FROM e WHERE microtexture >= 20 AND smoothness < 52 AND grain >= 45
+UNION ALL SELECT item_id, 'artifact.oversharpening_halo', CASE WHEN residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8 THEN 'MEDIUM' ELSE 'LOW' END, CAST(round(least(0.45, CASE WHEN residual_mean >= 40 AND residual_p95 >= 90 AND residual_ratio >= 8 THEN 0.35 + least(0.10, (residual_p95 - 90) / 400) ELSE 0.25 + least(0.10, (residual_p95 - 70) / 300) END), 4) AS DOUBLE) FROM e WHERE edge_density BETWEEN 0.004 AND 0.18 AND residual_mean >= 35 AND residual_p95 >= 70 AND residual_ratio >= 6""")
 def texture_rules(spark, d):
     e = _derived(spark, d, _TEX)
     keep = ["item_id", "category", "severity"]
-    return rules.crystalline(e).select(keep).unionByName(rules.oversharpening(e).select(keep))
+    without = F.lit(None).cast("double").alias("confidence")  # the guard has none of its own
+    return rules.crystalline(e).select(*keep, without).unionByName(rules.oversharpening(e).select(*keep, "confidence"))

@@ -58,9 +58,45 @@ def _policy(spark, d):
     return quality.policy(quality.item_quality(metrics(spark, d)), {})
 
 
-@query(f"WITH {M}, {_X}, {_Q} SELECT item_id, {_POLICY} AS action FROM y")
+_SURE = "CAST(least(97, round_even(68 + greatest(0, {m}) * {k}, 0)) AS INT)"
+_ABOVE = "printf('Artifact score is %.1f, %.0f%% above the dataset average.', round_even(artifact, 1), round_even((artifact - aa) / aa * 100, 0))"
+#: Each rule by hand: what must hold, action, level, issue, explanation, confidence, preset and strength.
+_RULES = [
+    ("exact_of IS NOT NULL", "'EXCLUDE'", "'CRITICAL'", "'Exact duplicate'", "'File content matches ' || exact_of || '.'", "99", "''", "''"),
+    ("megapixels > 0 AND megapixels < 0.25", "'REGENERATE'", "'CRITICAL'", "'Very low resolution'", "printf('Image resolution is %.3f MP, below 0.25 MP.', round_even(megapixels, 3))", _SURE.format(m="0.25 - megapixels", k="1.2 * 100"), "''", "''"),
+    ("{texture}", "CASE WHEN review THEN 'MANUAL_REVIEW' WHEN medium THEN 'TEXTURE_NORMALIZE_MEDIUM' ELSE 'TEXTURE_NORMALIZE_LIGHT' END", "'WARNING'", "CASE WHEN review THEN 'Texture signals require review' WHEN medium THEN 'Elevated texture burden' ELSE 'Mild texture burden' END",
+     "printf('Microtexture is %s the dataset average (%.1f versus %.1f). ', CASE WHEN microtexture > tm + 2 THEN 'above' WHEN microtexture < tm - 2 THEN 'below' ELSE 'near' END, round_even(microtexture, 1), round_even(tm, 1)) || CASE WHEN review THEN 'Texture and edge signals are unusually strong or conflicting.' WHEN medium THEN 'Fine texture or bright specks justify moderate normalization.' ELSE 'A light normalization pass may reduce mild fine grain or bright specks.' END",
+     "CASE WHEN review THEN 82 WHEN medium THEN 84 ELSE 78 END", "CASE WHEN review THEN '' ELSE 'watercolor_pencil_cleanup' END", "CASE WHEN review THEN '' WHEN medium THEN 'medium' ELSE 'light' END"),
+    *((f"artifact >= {at}", f"'CLEAN_{s.upper()}'", f"'{level}'", f"'{issue} artifact burden'", _ABOVE, _SURE.format(m=f"artifact - {at}", k="1.2"), "'general_artifact_cleanup'", f"'{s}'") for at, s, level, issue in ((75, "strong", "CRITICAL", "High"), (60, "medium", "WARNING", "Elevated"), (45, "light", "WARNING", "Mild"))),
+    ("texture >= 75", "'TEXTURE_NORMALIZE_LIGHT'", "'WARNING'", "'High texture burden'", "printf('Texture score is %.2f/100.', texture)", _SURE.format(m="texture - 75", k="1.2"), "'general_artifact_cleanup'", "'light'"),
+    ("megapixels > 0 AND megapixels < 1", "'MANUAL_REVIEW'", "'WARNING'", "'Low resolution'", "'Image resolution is below 1 megapixel.'", "70", "''", "''"),
+    ("bc < 60", "'MANUAL_REVIEW'", "'WARNING'", "'Brightness outlier'", "'Brightness differs substantially from the dataset median.'", "70", "''", "''"),
+    ("cs < 60", "'MANUAL_REVIEW'", "'WARNING'", "'Contrast outlier'", "'Contrast differs substantially from the dataset or useful range.'", "70", "''", "''"),
+    ("true", "'KEEP'", "'INFO'", "'No major quality issue'", "'Available evidence does not justify processing.'", "90", "''", "''"),
+]
+_TOLD = ("action", "level", "issue", "explanation", "confidence", "preset", "strength")
+
+
+def _told_sql(texture: str) -> str:
+    """SQL for what the first rule that holds says."""
+    return ", ".join("CASE " + " ".join(f"WHEN {r[0].replace('{texture}', texture)} THEN {r[i]}" for r in _RULES) + f" END AS {name}" for i, name in enumerate(_TOLD, 1))
+
+
+_AVERAGES = "SELECT *, avg(artifact) OVER () AS aa, avg(microtexture) OVER () AS tm, stddev_pop(microtexture) OVER () AS ts FROM (SELECT *, CAST(n_chars % 61 AS DOUBLE) AS microtexture, CAST(n_tokens % 67 AS DOUBLE) AS highlight_speck, CAST(n_chars % 97 AS DOUBLE) AS edge_sharpness FROM y)"
+_TEXTURED = f"""SELECT *, highlight_speck >= 55 OR microtexture >= tm + greatest(20, 1.6 * ts) AND edge_sharpness >= 75 AS review, highlight_speck >= 28 OR microtexture >= tm + greatest(10, ts) AS medium, highlight_speck >= 12 OR microtexture >= tm + greatest(6, 0.5 * ts) AS mild FROM ({_AVERAGES})"""
+
+
+@query(f"WITH {M}, {_X}, {_Q}, t AS ({_TEXTURED}) SELECT item_id, {_told_sql('false')} FROM t")
 def policy_engine(spark, d):
-    return _policy(spark, d).select("item_id", "action")
+    return _policy(spark, d).select("item_id", *_TOLD)
+
+
+@query(f"WITH {M}, {_X}, {_Q}, t AS ({_TEXTURED}) SELECT item_id, {_told_sql('(microtexture <> 0 OR highlight_speck <> 0 OR edge_sharpness <> 0) AND (review OR medium OR mild)')} FROM t")
+def policy_with_texture(spark, d):
+    """The policy where texture is measured as well, on numbers derived from texts' lengths."""
+    signals = {"microtexture": F.col("n_chars") % 61, "highlight_speck": F.col("n_tokens") % 67, "edge_sharpness": F.col("n_chars") % 97}
+    rows = quality.item_quality(metrics(spark, d)).withColumns({k: v.cast("double") for k, v in signals.items()})
+    return quality.policy(rows, {}).select("item_id", *_TOLD)
 
 
 @query(f"""WITH {M}, {_X}, {_Q}, z AS (SELECT {_POLICY} AS action FROM y) SELECT count(*) AS items, count(*) FILTER (action LIKE 'CLEAN%' OR action LIKE 'TEXTURE%') AS cleaning, count(*) FILTER (action = 'EXCLUDE') AS excluded,

@@ -112,6 +112,13 @@ def test_policy_cascade_and_its_two_defaults(spark):
     row = ("ok", None, None, 2.0, 57.0, 10.0, 90.0, 90.0)
     df = spark.createDataFrame([row], "status string, exact_of long, probable_of long, megapixels double, artifact double, texture double, brightness_consistency double, contrast_score double")
     assert quality.policy(df).first().action == "CLEAN_MEDIUM" and quality.policy(df, {}).first().action == "CLEAN_LIGHT"
+    # of margins, capped; of what is missing, only by rules; and of texture before artifacts
+    told = lambda df, *rules: [(r.action, r.issue, r.confidence, r.explanation) for r in quality.policy(df, *rules).collect()]
+    both = spark.createDataFrame([row, ("ok", None, None, None, 99.9, 10.0, 90.0, 90.0), ("error", 1, None, 2.0, 99.0, 0.0, 0.0, 0.0), ("ok", None, 7, 0.1, 0.0, 0.0, 90.0, 90.0), ("ok", None, None, 0.2, 0.0, 0.0, 90.0, 90.0)], df.schema)
+    assert [x[:3] for x in told(both, {})] == [("CLEAN_LIGHT", "Mild artifact burden", 82), ("MANUAL_REVIEW", "Missing analysis evidence", 96), ("MANUAL_REVIEW", "Unreadable image", 99), ("DUPLICATE_REVIEW", "Probable duplicate", 90), ("REGENERATE", "Very low resolution", 74)]
+    assert told(both)[1][:3] == ("CLEAN_STRONG", "High artifact burden", 97) and told(both, {})[3][3] == "Visual hash is similar to 7."
+    textured = df.withColumns({"microtexture": F.lit(30.0), "highlight_speck": F.lit(28.0), "edge_sharpness": F.lit(0.0)})
+    assert told(textured)[0] == ("TEXTURE_NORMALIZE_MEDIUM", "Elevated texture burden", 84, "Microtexture is near the dataset average (30.0 versus 30.0). Fine texture or bright specks justify moderate normalization.")
 
 
 def test_zero_fill_and_capabilities(spark):
