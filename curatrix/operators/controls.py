@@ -17,9 +17,12 @@ def controlled(plan: DataFrame, commands: DataFrame) -> DataFrame:
     """plan (item_id, action) with generated_action, action, approval, status, overridden, locked, eligible and refused (commands without effect).
 
     commands (item_id, command, value, at): override to a value, lock (at a value, or what holds), unlock, approve, reject, in
-    the order of `at`. While an item is locked only unlock and approve take effect. Whether it is locked before a command is
-    the last lock or unlock before it, so a fold over the log is a window over an item's commands and minima and maxima.
+    the order of `at`; a reset, whatever its item, undoes all before it on every item, locked or not. While an item is locked
+    only unlock and approve take effect. Whether it is locked before a command is the last lock or unlock before it, so a fold
+    over the log is a window over an item's commands and minima and maxima.
     """
+    reset = commands.filter("command = 'reset'").agg(F.max("at").alias("_reset"))  # one row
+    commands = commands.filter("command <> 'reset'").crossJoin(F.broadcast(reset)).filter("_reset IS NULL OR at > _reset").drop("_reset")
     before = Window.partitionBy("item_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     lock = F.when(F.col("command").isin("lock", "unlock"), F.col("command") == "lock")
     marked = commands.withColumn("_locked", F.coalesce(F.last(lock, ignorenulls=True).over(before), F.lit(False)))
@@ -44,12 +47,39 @@ def control_summary(controlled_: DataFrame) -> DataFrame:
     return controlled_.agg(F.count("*").alias("decisions"), F.count_if(F.col("approval") == "approved").alias("approved"), F.count_if(F.col("approval") == "rejected").alias("rejected"), F.count_if("locked").alias("locked"), (F.count_if(resolved) == F.count("*")).alias("complete"))
 
 
+class ApprovalRequired(RuntimeError):
+    """A plan isn't resolved, so nothing of it may be carried out."""
+
+
+#: Fixed value: what is said of a plan that isn't resolved.
+UNRESOLVED = "The approved cleanup plan is incomplete. Approve, reject, or lock every decision before expensive or destructive execution."
+
+
+def gate(controlled_: DataFrame, *by: str) -> DataFrame:
+    """decisions, unresolved, allowed and reason, of the plan or of each: whether it may be carried out. A plan without decisions may."""
+    resolved = F.col("approval").isin("approved", "rejected") | F.col("locked")
+    sums = controlled_.groupBy(*by).agg(F.count("*").alias("decisions"), F.count_if(~resolved).alias("unresolved"))
+    allowed = F.col("unresolved") == 0
+    return sums.select(*by, "decisions", "unresolved", allowed.alias("allowed"), F.when(allowed, "").otherwise(UNRESOLVED).alias("reason"))
+
+
+def require_approved(controlled_: DataFrame, yes: bool = False) -> None:
+    """Raises ApprovalRequired unless every decision is approved, rejected or locked, or `yes` says to go on."""
+    if not yes:
+        found = gate(controlled_).first()
+        if not found.allowed:
+            raise ApprovalRequired(f"{found.reason} ({found.unresolved} of {found.decisions} are left.)")
+
+
 def execution(controlled_: DataFrame, sources: DataFrame, previous: DataFrame, limit: int | None = None, dry_run: bool = True) -> DataFrame:
     """item_id, action, status, reason of each decision: what an execution does, in the order of the items.
 
+    A plan that isn't resolved is refused (ApprovalRequired) before anything else, a dry run of it too.
+
     sources: item_id of items whose file is known; previous: item_id, action of what was completed before. With a limit, the
     first `limit` of those that are left are run: only these are numbered.
     """
+    require_approved(controlled_)
     rows = controlled_.select("item_id", "action", "approval", "eligible").join(sources.select("item_id").distinct().withColumn("_source", F.lit(True)), "item_id", "left")
     rows = rows.join(previous.select("item_id", "action").distinct().withColumn("_done", F.lit(True)), ["item_id", "action"], "left")
     step = ladder(

@@ -83,13 +83,19 @@ _VALUE = "CASE WHEN o_orderkey % 5 = 0 THEN CASE o_orderkey % 4 WHEN 0 THEN 'CLE
 _ACTION = "CASE c_custkey % 4 WHEN 0 THEN 'CLEAN_LIGHT' WHEN 1 THEN 'CLEAN_MEDIUM' WHEN 2 THEN 'KEEP' ELSE 'MANUAL_REVIEW' END"
 
 
-def _controlled(spark, d):
-    plan = table(spark, d, "customer").selectExpr("c_custkey AS item_id", f"{_ACTION} AS action")
-    log = table(spark, d, "orders").selectExpr("o_custkey AS item_id", f"{_COMMAND} AS command", f"{_VALUE} AS value", "o_orderkey AS at")
-    return controls.controlled(plan, log)
+#: What comes last of all in a plan that is resolved: each decision is approved, or every third rejected.
+_LAST = "SELECT c_custkey AS item_id, 1000000000000 + c_custkey AS at, CASE WHEN c_custkey % 3 = 0 THEN 'reject' ELSE 'approve' END AS command, CAST(NULL AS STRING) AS value FROM customer"
 
 
-_CTL = f"""WITH g AS (SELECT o_custkey AS item_id, o_orderkey AS seq, {_COMMAND} AS command, {_VALUE} AS value FROM orders), h AS (SELECT *, coalesce(last_value(CASE command WHEN 'lock' THEN true WHEN 'unlock' THEN false END IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM g),
+def _controlled(spark, d, command=_COMMAND, resolved=False):
+    customers = table(spark, d, "customer")
+    plan = customers.selectExpr("c_custkey AS item_id", f"{_ACTION} AS action")
+    log = table(spark, d, "orders").selectExpr("o_custkey AS item_id", "o_orderkey AS at", f"{command} AS command", f"{_VALUE} AS value")
+    return controls.controlled(plan, log.unionByName(spark.sql(_LAST.replace("FROM customer", "FROM {customer}"), customer=customers)) if resolved else log)
+
+
+_LOG = f"SELECT o_custkey AS item_id, o_orderkey AS seq, {_COMMAND} AS command, {_VALUE} AS value FROM orders"
+_CTL = f"""WITH g AS ({_LOG}), h AS (SELECT *, coalesce(last_value(CASE command WHEN 'lock' THEN true WHEN 'unlock' THEN false END IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM g),
 e AS (SELECT *, NOT held OR command IN ('unlock', 'approve') AS done FROM h), k AS (SELECT item_id, arg_max(value, seq) FILTER (done AND value IS NOT NULL) AS override, arg_max(CASE command WHEN 'reject' THEN 'rejected' ELSE 'approved' END, seq) FILTER (done AND command IN ('approve', 'reject', 'lock')) AS approval,
   arg_max(command = 'lock', seq) FILTER (done AND command IN ('lock', 'unlock')) AS locked, count(*) FILTER (NOT done) AS refused FROM e GROUP BY item_id),
 x AS (SELECT c_custkey AS item_id, {_ACTION} AS generated_action, coalesce(override, {_ACTION}) AS action, coalesce(approval, 'proposed') AS approval, override IS NOT NULL AS overridden, coalesce(locked, false) AS locked, coalesce(refused, 0) AS refused FROM customer LEFT JOIN k ON c_custkey = item_id),
@@ -101,16 +107,32 @@ def plan_controls(spark, d):
     return _controlled(spark, d).select("item_id", "generated_action", "action", "approval", "overridden", "locked", "refused", "status", "eligible")
 
 
+_RESET = _COMMAND.replace("CASE o_orderkey", "CASE WHEN o_orderkey % 1001 = 1000 THEN 'reset' ELSE CASE o_orderkey") + " END"
+
+
+@query(f"{_CTL.replace(_LOG, f'SELECT * FROM ({_LOG}) WHERE seq > coalesce((SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 1001 = 1000), -1)')} SELECT item_id, generated_action, action, approval, overridden, locked, refused, status, eligible FROM ct")
+def plan_controls_after_reset(spark, d):
+    return _controlled(spark, d, _RESET).select("item_id", "generated_action", "action", "approval", "overridden", "locked", "refused", "status", "eligible")
+
+
+@query(f"""{_CTL} SELECT item_id % 400 AS plan, count(*) AS decisions, count(*) FILTER (approval = 'proposed' AND NOT locked) AS unresolved, count(*) FILTER (approval = 'proposed' AND NOT locked) = 0 AS allowed,
+  CASE WHEN count(*) FILTER (approval = 'proposed' AND NOT locked) = 0 THEN '' ELSE 'The approved cleanup plan is incomplete. Approve, reject, or lock every decision before expensive or destructive execution.' END AS reason FROM ct GROUP BY 1""")
+def plan_gate(spark, d):
+    """Of four hundred plans, which may be carried out."""
+    return controls.gate(_controlled(spark, d).withColumn("plan", F.col("item_id") % 400), "plan")
+
+
 @query(f"{_CTL} SELECT count(*) AS decisions, count(*) FILTER (approval = 'approved') AS approved, count(*) FILTER (approval = 'rejected') AS rejected, count(*) FILTER (locked) AS locked, bool_and(approval IN ('approved', 'rejected') OR locked) AS complete FROM ct")
 def plan_control_summary(spark, d):
     return controls.control_summary(_controlled(spark, d))
 
 
-@query(f"""{_CTL}, y AS (SELECT item_id, action, CASE WHEN action NOT IN ('CLEAN_LIGHT', 'CLEAN_MEDIUM', 'CLEAN_STRONG', 'CAPTION_ONLY') THEN 'action not eligible for execution: ' || action WHEN approval = 'rejected' THEN 'decision rejected' WHEN NOT eligible THEN 'decision not approved or locked'
+@query(f"""{_CTL.replace(_LOG, f"{_LOG} UNION ALL {_LAST}")}, y AS (SELECT item_id, action, CASE WHEN action NOT IN ('CLEAN_LIGHT', 'CLEAN_MEDIUM', 'CLEAN_STRONG', 'CAPTION_ONLY') THEN 'action not eligible for execution: ' || action WHEN approval = 'rejected' THEN 'decision rejected' WHEN NOT eligible THEN 'decision not approved or locked'
   WHEN item_id % 10 = 9 THEN 'source not found' WHEN item_id % 7 = 0 AND action = 'CLEAN_LIGHT' THEN 'already completed (resume)' END AS reason FROM ct), n AS (SELECT *, row_number() OVER (PARTITION BY reason IS NULL ORDER BY item_id) AS place FROM y)
 SELECT item_id, action, CASE WHEN reason = 'source not found' THEN 'failed' WHEN reason IS NULL AND place <= 20 THEN 'dry-run' ELSE 'skipped' END AS status, CASE WHEN reason IS NOT NULL THEN reason WHEN place <= 20 THEN 'dry-run: no files written' ELSE 'execution limit reached' END AS reason FROM n""")
 def plan_execution(spark, d):
-    plan = _controlled(spark, d)
+    """Of a resolved plan; the plan before it was resolved is refused."""
+    plan = _controlled(spark, d, resolved=True)
     sources = table(spark, d, "customer").filter("c_custkey % 10 <> 9").selectExpr("c_custkey AS item_id")
     previous = table(spark, d, "customer").filter("c_custkey % 7 = 0").selectExpr("c_custkey AS item_id", "'CLEAN_LIGHT' AS action")
     return controls.execution(plan, sources, previous, limit=20)

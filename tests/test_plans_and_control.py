@@ -69,6 +69,10 @@ def plain_control(action, commands):
     override = locked_action = None
     approval, locked, refused = "proposed", False, 0
     for _, command, value in sorted(commands):
+        if command == "reset":
+            override = locked_action = None
+            approval, locked, refused = "proposed", False, 0
+            continue
         if locked and command not in ("unlock", "approve"):
             refused += 1
             continue
@@ -99,6 +103,17 @@ def test_controls_fold_as_a_plain_version_does(spark):
     got = controls.controlled(spark.createDataFrame(plan, "item_id long, action string"), commands)
     for r in got.collect():
         assert (r.action, r.approval, r.status, r.overridden, r.locked, r.eligible, r.refused) == plain_control(dict(plan)[r.item_id], log[r.item_id])
+    # a reset undoes what is before it on all items
+    at_reset = at // 2
+    after = controls.controlled(spark.createDataFrame(plan, "item_id long, action string"), commands.unionByName(spark.createDataFrame([(None, "reset", None, at_reset), (3, "reset", None, at_reset // 2)], commands.schema)))
+    for r in after.collect():
+        assert (r.action, r.approval, r.status, r.overridden, r.locked, r.eligible, r.refused) == plain_control(dict(plan)[r.item_id], [*(x for x in log[r.item_id] if x[0] != at_reset), (at_reset, "reset", None)])
+    with pytest.raises(controls.ApprovalRequired, match="of 200 are left"):
+        controls.execution(got, spark.range(150).withColumnRenamed("id", "item_id"), spark.createDataFrame([], "item_id long, action string"))
+    controls.require_approved(got, yes=True)
+    controls.require_approved(got.filter("approval <> 'proposed'"))
+    controls.require_approved(got.limit(0))
+    got = got.withColumn("approval", F.when(F.col("approval") == "proposed", "rejected").otherwise(F.col("approval")))
     done = controls.execution(got, spark.range(150).withColumnRenamed("id", "item_id"), spark.createDataFrame([], "item_id long, action string"), limit=5).collect()
     assert len(done) == 200 and sum(r.status == "dry-run" for r in done) == 5
     ran = [r.item_id for r in done if r.status == "dry-run"]
