@@ -95,7 +95,15 @@ PRIORITY = {"REMOVAL_CANDIDATE": 0, "IMPROVEMENT_CANDIDATE": 1, "ACCEPTED_STYLE_
 
 
 def migrated(legacy: DataFrame) -> DataFrame:
-    """Item-level decisions from finding-level ones: the weightiest stands, the others are its history, in order."""
+    """Item-level decisions from finding-level ones: the weightiest stands, the others are its history, in order.
+
+    legacy: item_id, category, analyzer, decision and, if there are notes, notes and at, whose order they are joined in, a
+    line each, without empty ones. Entries of an item are as many as its findings were.
+    """
     order = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.col("decision")), F.lit(9))
     entry = F.struct(order.alias("p"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("analyzer", F.lit("")).alias("analyzer"), F.col("decision"))
-    return legacy.groupBy("item_id").agg(F.array_sort(F.collect_list(entry)).alias("e")).select("item_id", F.col("e")[0]["decision"].alias("decision"), F.size("e").cast("long").alias("entries"), F.array_join(F.transform("e", lambda x: x["decision"]), ",").alias("history"))
+    noted = {"at", "notes"} <= set(legacy.columns)
+    notes = F.sort_array(F.collect_list(F.when(F.col("notes") != "", F.struct("at", "notes")))) if noted else F.array()
+    found = legacy.groupBy("item_id").agg(F.array_sort(F.collect_list(entry)).alias("e"), notes.alias("_n"))
+    said = F.array_join(F.transform("_n", lambda x: x["notes"]), "\n") if noted else F.lit("")
+    return found.select("item_id", F.col("e")[0]["decision"].alias("decision"), F.size("e").cast("long").alias("entries"), F.array_join(F.transform("e", lambda x: x["decision"]), ",").alias("history"), said.alias("notes"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curatrix.functions.semantics import ladder
@@ -59,6 +59,34 @@ def families(findings: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("item_id").join(per, "item_id", "left").groupBy(label.alias("family")).agg(F.count("*").alias("n"))
 
 
+def dominant(findings: DataFrame) -> DataFrame:
+    """place, category, n: categories that aren't of failed analyses, the most frequent first, of equals by name."""
+    per = findings.filter(~F.endswith("category", F.lit(".error"))).groupBy("category").agg(F.count("*").alias("n"))
+    return per.select(F.row_number().over(Window.orderBy(F.desc("n"), "category")).cast("long").alias("place"), "category", "n")  # of few categories
+
+
+def dataset_summary(findings: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: items, those with and without findings, failed analyses, and the dominant categories in order."""
+    with_any = findings.agg(F.count_distinct("item_id").alias("with_findings"), F.count_if(F.endswith("category", F.lit(".error"))).alias("errors"))
+    names = dominant(findings).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "category"))), lambda x: x["category"]), ",").alias("dominant"))
+    sums = items.agg(F.count("*").alias("items")).crossJoin(with_any).crossJoin(names)  # one row each
+    return sums.select("items", "with_findings", (F.col("items") - F.col("with_findings")).alias("without_findings"), "errors", "dominant")
+
+
+def contribution(covered: DataFrame, manifest: DataFrame) -> DataFrame:
+    """analyzer, version, family, finding_count, image_count, calibration, source of each analyzer that either table names.
+
+    What the manifest says holds, a coverage row fills in what it doesn't (covered has no family).
+    """
+    c, m = covered.withColumnsRenamed({x: f"c_{x}" for x in covered.columns if x != "analyzer"}), manifest.withColumnsRenamed({x: f"m_{x}" for x in manifest.columns if x != "analyzer"}).withColumn("_m", F.lit(True))
+    first = lambda name, default: F.coalesce(f"m_{name}", f"c_{name}", F.lit(default)).alias(name)
+    version = F.coalesce(F.nullif("m_version", F.lit("")), F.nullif("c_version", F.lit("")), F.lit(""))
+    return c.join(m, "analyzer", "full_outer").select(
+        "analyzer", version.alias("version"), F.coalesce("m_family", F.lit("not recorded")).alias("family"), first("finding_count", 0), first("image_count", 0), first("calibration", "advisory fallback"),
+        F.when(F.col("_m"), "inspection_manifest").otherwise("recommendation_summary").alias("source"),
+    )
+
+
 def dossiers(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """One row for each item with findings: its findings in order, nested, and its decision."""
     nested = findings.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("category", "analyzer", "severity", "confidence"))).alias("findings"))

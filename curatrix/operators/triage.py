@@ -39,6 +39,15 @@ def urgency(triaged: DataFrame, decided: str = "decided"):
     return [F.coalesce(F.col(decided), F.lit(False)).asc(), F.desc("rank"), F.desc("n_findings"), F.desc(F.when(F.isnan("confidence"), 0.0).otherwise(F.col("confidence"))), F.asc("item_id")]
 
 
+#: The order of buckets.
+BUCKETS = ("PRIORITY_REVIEW", "NEEDS_REVIEW", "READY_FOR_TRAINING")
+
+
+def triage_order():
+    """The columns that list a triaged dataset: by bucket, failed analyses first, then the strongest severity and the id."""
+    return [F.array_position(F.lit(list(BUCKETS)), F.col("bucket")).asc(), F.desc("error"), F.desc("rank"), F.asc("item_id")]
+
+
 def next_action(triaged: DataFrame) -> DataFrame:
     """One row: the most urgent undecided item of the first bucket that has any. A top-1, so partial on each task."""
     order = F.when(F.col("bucket") == "PRIORITY_REVIEW", 0).when(F.col("bucket") == "NEEDS_REVIEW", 1).otherwise(2)

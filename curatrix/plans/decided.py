@@ -67,9 +67,10 @@ def decision_upsert(spark, d):
 
 
 @query(f"""WITH {L}, p AS (SELECT *, CASE decision WHEN 'REMOVAL_CANDIDATE' THEN 0 WHEN 'IMPROVEMENT_CANDIDATE' THEN 1 WHEN 'ACCEPTED_STYLE_FALSE_POSITIVE' THEN 2 WHEN 'KEEP' THEN 3 ELSE 4 END AS p FROM d)
-SELECT item_id, first(decision ORDER BY p, coalesce(category, ''), coalesce(analyzer, '')) AS decision, count(*) AS entries, string_agg(decision, ',' ORDER BY p, coalesce(category, ''), coalesce(analyzer, '')) AS history FROM p GROUP BY item_id""")
+SELECT item_id, first(decision ORDER BY p, coalesce(category, ''), coalesce(analyzer, '')) AS decision, count(*) AS entries, string_agg(decision, ',' ORDER BY p, coalesce(category, ''), coalesce(analyzer, '')) AS history, coalesce(string_agg('note ' || event_id, chr(10) ORDER BY event_id) FILTER (event_id % 3 = 0), '') AS notes FROM p GROUP BY item_id""")
 def decision_migration(spark, d):
-    return D.migrated(decisions(spark, d))
+    note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("note "), "event_id")).otherwise("")
+    return D.migrated(decisions(spark, d).withColumns({"notes": note, "at": F.col("event_id")}))
 
 
 _C = f"""WITH {L}, q AS (SELECT item_id, max(decision) FILTER (category IS NULL) AS action, max(decision) FILTER (category IS NOT NULL AND analyzer IS NULL) AS override, max(decision) FILTER (analyzer IS NOT NULL) AS locked_action FROM d GROUP BY item_id)"""

@@ -141,6 +141,36 @@ def review_order(spark, d):
     return numbered(per, *triage.urgency(per), name="place").select("item_id", "place")
 
 
+@query(f"{FIND}, {T1} SELECT item_id, row_number() OVER (ORDER BY CASE bucket WHEN 'PRIORITY_REVIEW' THEN 0 WHEN 'NEEDS_REVIEW' THEN 1 ELSE 2 END, error DESC, rank DESC, item_id) AS place FROM (SELECT item_id, rank, bucket, error FROM t WHERE item_id % 11 <> 0 UNION ALL SELECT item_id, rank, 'PRIORITY_REVIEW', true FROM t WHERE item_id % 11 = 0)")
+def triage_listing(spark, d):
+    """The triaged dataset in its order; every eleventh item's analysis counts as failed."""
+    failed = F.col("item_id") % 11 == 0
+    t = triaged(spark, d).select("item_id", "rank", F.when(failed, "PRIORITY_REVIEW").otherwise(F.col("bucket")).alias("bucket"), (failed | F.col("error")).alias("error"))
+    return numbered(t, *triage.triage_order(), name="place").select("item_id", "place")
+
+
+_FAILED = "SELECT item_id, category FROM f UNION ALL SELECT item_id, 'caption.error' FROM m WHERE item_id % 17 = 0"
+
+
+@query(f"""{FIND}, h AS ({_FAILED}) SELECT (SELECT count(*) FROM m) AS items, count(DISTINCT item_id) AS with_findings, (SELECT count(*) FROM m) - count(DISTINCT item_id) AS without_findings, count(*) FILTER (category LIKE '%.error') AS errors,
+  (SELECT string_agg(category, ',' ORDER BY n DESC, category) FROM (SELECT category, count(*) AS n FROM h WHERE category NOT LIKE '%.error' GROUP BY category)) AS dominant FROM h""")
+def dataset_summary(spark, d):
+    failed = items(spark, d).filter("item_id % 17 = 0").select("item_id", F.lit("caption.error").alias("category"))
+    return rollup.dataset_summary(findings(spark, d).select("item_id", "category").unionByName(failed), items(spark, d))
+
+
+@query("""WITH c AS (SELECT n_name AS analyzer, CASE WHEN n_nationkey % 4 = 0 THEN '' ELSE 'v1' END AS version, n_nationkey AS finding_count, n_nationkey % 5 AS image_count, CASE WHEN n_nationkey % 3 = 0 THEN 'calibrated' END AS calibration FROM nation WHERE n_regionkey > 0),
+m AS (SELECT n_name AS analyzer, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'v2' END AS version, 'family ' || n_regionkey AS family, CASE WHEN n_nationkey % 3 <> 1 THEN n_nationkey + 100 END AS finding_count, n_nationkey + 50 AS image_count, CASE WHEN n_nationkey % 5 = 0 THEN 'provisional' END AS calibration FROM nation WHERE n_regionkey < 3)
+SELECT analyzer, coalesce(nullif(m.version, ''), nullif(c.version, ''), '') AS version, coalesce(family, 'not recorded') AS family, coalesce(m.finding_count, c.finding_count, 0) AS finding_count, coalesce(m.image_count, c.image_count, 0) AS image_count, coalesce(m.calibration, c.calibration, 'advisory fallback') AS calibration,
+  CASE WHEN m.family IS NOT NULL THEN 'inspection_manifest' ELSE 'recommendation_summary' END AS source FROM c FULL JOIN m USING (analyzer)""")
+def analyzer_contribution(spark, d):
+    """Nations stand for analyzers, of which the coverage and the manifest name some each."""
+    n, k = table(spark, d, "nation").withColumnRenamed("n_name", "analyzer"), F.col("n_nationkey")
+    covered = n.filter("n_regionkey > 0").select("analyzer", F.when(k % 4 == 0, "").otherwise("v1").alias("version"), k.alias("finding_count"), (k % 5).alias("image_count"), F.when(k % 3 == 0, "calibrated").alias("calibration"))
+    manifest = n.filter("n_regionkey < 3").select("analyzer", F.when(k % 2 == 0, "").otherwise("v2").alias("version"), F.concat(F.lit("family "), "n_regionkey").alias("family"), F.when(k % 3 != 1, k + 100).alias("finding_count"), (k + 50).alias("image_count"), F.when(k % 5 == 0, "provisional").alias("calibration"))
+    return rollup.contribution(covered, manifest)
+
+
 @query(f"""{FIND}, {T1} SELECT bucket, item_id FROM t QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY confidence DESC, item_id) <= 5""")
 def gallery_groups(spark, d):
     """The five items of each bucket that stand out: partial top-k on each task, then of all."""
@@ -232,3 +262,11 @@ def event_sessions(spark, d):
     """The batch form of streaming.events.sessions."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.sessions(e).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""{FIND}, {L} SELECT f.item_id, string_agg(f.category || ' ' || f.analyzer || ' ' || f.severity, '; ' ORDER BY f.category, f.analyzer, f.severity, f.confidence) AS findings, any_value(w.decision) AS decision FROM f LEFT JOIN (SELECT item_id, decision FROM d WHERE category IS NULL AND analyzer IS NULL) w ON w.item_id = f.item_id GROUP BY f.item_id""")
+def item_dossiers(spark, d):
+    """What is known of each item with findings, and what was decided on it."""
+    found = rollup.dossiers(findings(spark, d), image_level(decisions(spark, d)))
+    told = F.transform("findings", lambda x: F.concat_ws(" ", x["category"], x["analyzer"], x["severity"]))
+    return found.select("item_id", F.array_join(told, "; ").alias("findings"), "decision")
