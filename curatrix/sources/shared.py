@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,17 +30,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def release(spark: SparkSession) -> None:
-    """Deletes all tables of this application, once no result that reads them is needed any more."""
+    """Deletes all tables of this application and their names in the catalog, once no result that reads them is needed any more."""
+    for path in listed(spark, own_dir(spark)):
+        spark.sql(f"DROP TABLE IF EXISTS `{_table_name(path)}`")
     drop_path(spark, own_dir(spark))
 
 
+def _table_name(path: str) -> str:
+    """The name under which a bucketed table stands in the catalog."""
+    return f"curatrix_{path[-32:].replace('-', '_')}"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet to the shared folder and read back, and where it stands."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(df.sparkSession, name)
+    return _stored(df, path, codec), path
+
+
+def _stored(df: DataFrame, path: str, codec: str) -> DataFrame:
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -58,22 +73,33 @@ def write_buckets(dealt: DataFrame, path: str, name: str, buckets: int, by: str,
 
 
 class Scratch:
-    """Tables in the shared folder that are no longer needed once a result that was made from them is written."""
+    """Tables in the shared folder that are no longer needed once a result that was made from them is written.
 
-    def __init__(self, spark: SparkSession) -> None:
+    As a context it deletes them at its end, whether or not the result was reached; with `on_failure`, only if it wasn't.
+    """
+
+    def __init__(self, spark: SparkSession, on_failure: bool = False) -> None:
         self.spark = spark
+        self.on_failure = on_failure
         self.paths: list[str] = []
         self.names: list[str] = []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, *_: object) -> None:
+        if kind is not None or not self.on_failure:
+            self.clear()
+
     def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        found, path = written(df, name, codec)
-        self.paths.append(path)
-        return found
+        path = new_path(self.spark, name)
+        self.paths.append(path)  # before it is written, so that half a table goes too
+        return _stored(df, path, codec)
 
     def bucketed(self, df: DataFrame, name: str, by: str, *order: str) -> DataFrame:
         """The same, dealt to buckets by a column, once."""
         path, n = new_path(self.spark, name), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        table_name = f"curatrix_{path[-32:]}"
+        table_name = _table_name(path)
         self.paths.append(path)
         self.names.append(table_name)
         return write_buckets(df.repartition(n, by), path, table_name, n, by, *order)
@@ -96,6 +122,23 @@ def touch(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless one is there already, and says whether it did."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes an intermediate table, by whatever file system its path names."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
