@@ -5,14 +5,14 @@ in the corpus; as all of a window must be found, its prefix of one shingle, the
 then held to bounds of length and position (the window must lie inside the document around the matched shingle) and
 verified, first by hash and then word for word, over the window's whole width.
 
-The benchmark is the stated query set: it is taken in blocks of at most BLOCK_WINDOWS windows, each broadcast on its own,
-so that what is broadcast never grows with either side. With one block (any usual benchmark) documents are neither
-shuffled nor sorted.
+The benchmark is the stated query set: it is taken in blocks of at most BLOCK_WINDOWS windows and as many bytes as those
+usually have, each broadcast on its own, so that what is broadcast never grows with either side. With one block (any usual
+benchmark) documents are neither shuffled nor sorted. The items of a window stay in Spark: a window carries the key of its
+set of items, a document the sets that it meets, and names are put together once for each different combination of sets.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +28,8 @@ from curatrix.sources.shared import materialize, table
 
 #: Words in a window, and in a shingle of it.
 WINDOW, SHINGLE = 13, 3
-#: Windows broadcast at a time; about 200 bytes each with all that belongs to them.
-BLOCK_WINDOWS = 200_000
+#: Windows broadcast at a time, and the bytes of text that go for one of them.
+BLOCK_WINDOWS, WINDOW_BYTES = 200_000, 200
 #: A document is contaminated if so many of its words in a hundred are hit.
 PERCENT = 5
 _SCREEN = 20  # bits of the hash that a table of one byte each is asked for before the search
@@ -47,7 +47,7 @@ class Block:
     width: np.ndarray
     hashed: np.ndarray
     texts: list[bytes]
-    items: list[tuple[str, ...]]
+    sets: list[bytes]
 
 
 @dataclass
@@ -81,7 +81,7 @@ def hashed(column: pa.Array) -> Hashed:
 
 
 def windows_of(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Each distinct window of the items with the items that have it: window (words joined by a space), items."""
+    """window (words joined by a space), item: each distinct window of each item."""
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         h = hashed(piece.column(1))
@@ -93,7 +93,18 @@ def windows_of(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
         return batch_of(["window", "item"], [[w for w, _ in out], [i for _, i in out]], [pa.string(), pa.string()])
 
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    return map_texts(items, run, "window string, item string").groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return map_texts(items, run, "window string, item string").distinct()
+
+
+def item_sets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """window, set of each window, and set, item: the members of each different set of items, once however many windows have it.
+
+    Sets are told apart by their size and 128 bits that don't depend on order, so no window's items are gathered anywhere.
+    """
+    bits = F.bit_xor(F.xxhash64("item")), F.bit_xor(F.xxhash64(F.lit(1), "item"))
+    sets = materialize(pairs.groupBy("window").agg(F.unhex(F.md5(F.concat_ws(":", F.count("*"), *bits).cast("binary"))).alias("set")), "windows")
+    chosen = sets.groupBy("set").agg(F.min("window").alias("window"))
+    return sets, pairs.join(chosen, "window").select("set", "item")
 
 
 def _window_hash(text: bytes) -> tuple[np.ndarray, np.uint64]:
@@ -102,16 +113,16 @@ def _window_hash(text: bytes) -> tuple[np.ndarray, np.uint64]:
     return h.sums, spans(h.sums, np.array([0]), np.array([n]))[0]
 
 
-def _plan(rows: list[tuple[str, list[str]]]) -> tuple[list[tuple], np.ndarray]:
-    """For each window its text, items, width, hash and shingles (hash by offset); and all the shingles, sorted."""
+def _plan(rows: list[tuple[str, bytes]]) -> tuple[list[tuple], np.ndarray]:
+    """For each window its text, set of items, width, hash and shingles (hash by offset); and all the shingles, sorted."""
     out = []
-    for window, items in rows:
+    for window, its_set in rows:
         text = window.encode()
         sums, whole = _window_hash(text)
         width = len(sums) - 1
         length = min(SHINGLE, width)
         at = np.arange(width - length + 1)
-        out.append((text, tuple(items), width, whole, length, spans(sums, at, at + length)))
+        out.append((text, its_set, width, whole, length, spans(sums, at, at + length)))
     return out, np.unique(np.concatenate([x[5] for x in out])) if out else np.zeros(0, np.uint64)
 
 
@@ -149,7 +160,7 @@ def _rarity(docs: DataFrame, keys: np.ndarray, lengths: list[int]) -> dict[int,
     return {r.k: r.n for r in docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
 
 
-def _block(docs: DataFrame, rows: list[tuple[str, list[str]]]) -> Block:
+def _block(docs: DataFrame, rows: list[tuple[str, bytes]]) -> Block:
     plan, keys = _plan(rows)
     lengths = sorted({x[4] for x in plan})
     often = _rarity(docs, keys, lengths)
@@ -189,22 +200,18 @@ def _hits(h: Hashed, b: Block) -> tuple[np.ndarray, np.ndarray]:
     return begin[exact], w[exact]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The columns `keep` of docs, then n_words, n_hit, n_items, items_sha256, contaminated, one row for each of docs.
+def hits(docs: DataFrame, windows: DataFrame, keep: list[str], block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns `keep` of docs, then n_words, n_hit, sets (of items, sorted) and contaminated, one row for each of docs.
 
-    A null text has no words; an item without words has no window; a null item_id counts as the empty string; repeated
-    items count once; an empty benchmark hits nothing; no documents give no rows. Other columns of either table aren't read,
-    so their names clash with nothing. A long text is taken whole, at some 100 bytes of memory for each of its words. The
-    benchmark's windows are made once; each block of them costs two passes over the documents.
+    windows: window, set, as item_sets gives them. Each block of windows costs two passes over docs.
     """
-    keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
-    windows = materialize(windows_of(benchmark), "windows")
-    n_blocks = max(1, -(-windows.count() // block_windows))
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-size.n // block_windows), -(-size.bytes // (block_windows * WINDOW_BYTES)))
     windows = windows.withColumn("b", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
     have = docs
     for i in range(n_blocks):
-        rows = sorted((r.window, list(r["items"])) for r in windows.filter(F.col("b") == i).collect())
+        rows = sorted((r.window, bytes(r["set"])) for r in windows.filter(F.col("b") == i).collect())
         shared = spark.sparkContext.broadcast(_block(docs, rows))
         final = i == n_blocks - 1
 
@@ -213,36 +220,59 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
             begin, w = _hits(h, b)
             text = np.searchsorted(h.per_text, begin, side="right") - 1
             start, end = [begin], [begin + b.width[w]]
-            items: dict[int, set[str]] = defaultdict(set)
+            sets: dict[int, set[bytes]] = defaultdict(set)
             for t, k in {*zip(text.tolist(), w.tolist(), strict=True)}:
-                items[t].update(b.items[k])
+                sets[t].add(b.sets[k])
             if later:
-                for t, (pairs, names) in enumerate(zip(piece.column(piece.schema.get_field_index("_hits")).to_pylist(), piece.column(piece.schema.get_field_index("_items")).to_pylist(), strict=True)):
-                    items[t].update(names)
+                for t, (pairs, met) in enumerate(zip(piece.column(piece.schema.get_field_index("_hits")).to_pylist(), piece.column(piece.schema.get_field_index("_sets")).to_pylist(), strict=True)):
+                    sets[t].update(met)
                     start.append(h.per_text[t] + np.array(pairs[::2], np.int64))
                     end.append(h.per_text[t] + np.array(pairs[1::2], np.int64))
             hit = union(np.concatenate(start), np.concatenate(end), len(h.start))
-            n = piece.num_rows
+            met = [sorted(sets.get(t, ())) for t in range(piece.num_rows)]
             if final:
                 sums = np.concatenate(([0], np.cumsum(hit)))
                 n_hit, n_words = np.diff(sums[h.per_text]), np.diff(h.per_text)
-                names = [sorted(items.get(t, ())) for t in range(n)]
-                none = hashlib.sha256(b"").hexdigest()
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names]
-                dirty = (n_hit > 0) & (100 * n_hit >= PERCENT * n_words)
-                return batch_of(_OUT, [n_words, n_hit, [len(x) for x in names], digest, dirty], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()])
+                return batch_of(["n_words", "n_hit", "sets", "contaminated"], [n_words, n_hit, met, (n_hit > 0) & (100 * n_hit >= PERCENT * n_words)], [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.bool_()])
             pairs = []
-            for t in range(n):
+            for t in range(piece.num_rows):
                 edge = np.diff(np.concatenate(([0], hit[h.per_text[t] : h.per_text[t + 1]].astype(np.int8), [0])))
                 pairs.append(np.stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)), 1).ravel().tolist())
-            return batch_of(["_hits", "_items"], [pairs, [sorted(items.get(t, ())) for t in range(n)]], [pa.list_(pa.int64()), pa.list_(pa.string())])
+            return batch_of(["_hits", "_sets"], [pairs, met], [pa.list_(pa.int64()), pa.list_(pa.binary())])
 
         if final:
-            return map_texts(have, run, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", keep=keep)
-        have = map_texts(have, run, "_hits array<long>, _items array<string>", keep=[*dict.fromkeys([*keep, "text"])])
+            return map_texts(have, run, "n_words long, n_hit long, sets array<binary>, contaminated boolean", keep=keep)
+        have = map_texts(have, run, "_hits array<long>, _sets array<binary>", keep=[*dict.fromkeys([*keep, "text"])])
     raise AssertionError
 
 
+def flagged(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns `keep` of docs, then n_words, n_hit, contaminated: annotate without the names of items, for which no row is shuffled."""
+    windows, _ = item_sets(materialize(windows_of(benchmark), "pairs"))
+    return hits(docs, windows, keep, block_windows).drop("sets")
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The columns `keep` of docs, then n_words, n_hit, n_items, items_sha256, contaminated, one row for each of docs.
+
+    A null text has no words; an item without words has no window; a null item_id counts as the empty string; repeated
+    items count once; an empty benchmark hits nothing; no documents give no rows. Other columns of either table aren't read,
+    so their names clash with nothing. A long text is taken whole, at some 100 bytes of memory for each of its words. Names
+    are sorted and hashed once for each different combination of sets of items that some document meets, in one row: the
+    digest asks for that. Documents that meet none aren't shuffled; `keep` is written once, so it had better be narrow.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    windows, members = item_sets(materialize(windows_of(benchmark), "pairs"))
+    found = materialize(hits(docs, windows, keep, block_windows), "hits")
+    combined = F.md5(F.array_join(F.transform("sets", F.hex), "").cast("binary"))
+    met = found.filter(F.size("sets") > 0).withColumn("_met", combined)
+    each = met.groupBy("_met").agg(F.min("sets").alias("sets")).select("_met", F.explode("sets").alias("set"))
+    names = each.join(members, "set").groupBy("_met").agg(F.sort_array(F.collect_set("item")).alias("names"))
+    told = names.select("_met", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"))
+    free = found.filter(F.size("sets") == 0).withColumns({"n_items": F.lit(0).cast("long"), "items_sha256": F.sha2(F.lit(""), 256)})
+    return met.join(told, "_met").select(*keep, *_OUT).union(free.select(*keep, *_OUT))
+
+
 _OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
 

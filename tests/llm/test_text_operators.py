@@ -181,6 +181,36 @@ def test_decontamination_matches_a_plain_version(spark, docs, corpus, empty):
     assert decontaminate.annotate(empty, bench).count() == 0
 
 
+def test_a_passage_of_very_many_items_is_broadcast_without_their_names(spark, monkeypatch):
+    n, words_ = 100_000, [f"t{i}" for i in range(20)]
+    template, longer = " ".join(words_), " ".join([*words_[5:], "x", "y"])
+    bench = spark.range(n).selectExpr("id AS item_id", f"'{template}' AS text").union(spark.createDataFrame([(n + 1, longer)], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, template), (2, f"a {template} b"), (3, longer), (4, "none of it"), (5, None)], "doc_id long, text string")
+    sent = []
+    block = decontaminate._block
+    monkeypatch.setattr(decontaminate, "_block", lambda docs, rows: sent.extend(rows) or block(docs, rows))
+    # the windows at 5, 6 and 7 of the template are in the longer item too; those after them are its own
+    of_both, names = {f"{i}" for i in range(n)} | {f"{n + 1}"}, hashlib.sha256
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.annotate(docs, bench).collect()}
+    digest = names(",".join(sorted(of_both)).encode()).hexdigest()
+    assert got[1] == got[2] == (20, n + 1, digest) and got[3] == (17, n + 1, digest)
+    assert got[4] == got[5] == (0, 0, names(b"").hexdigest())
+    assert len(sent) == 10 and len({s for _, s in sent}) == 3 and all(len(s) == 16 for _, s in sent)
+    flags = {r.doc_id: r.contaminated for r in decontaminate.flagged(docs, bench, ["doc_id"]).collect()}
+    assert flags == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_blocks_are_bounded_by_bytes_too(spark, monkeypatch):
+    words_ = [f"{c * 300}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    bench = spark.createDataFrame([(1, " ".join(words_))], "item_id long, text string")
+    blocks = []
+    block = decontaminate._block
+    monkeypatch.setattr(decontaminate, "_block", lambda docs, rows: blocks.append(len(rows)) or block(docs, rows))
+    docs = spark.createDataFrame([(1, " ".join(words_)), (2, " ".join(words_[:13]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.annotate(docs, bench, block_windows=100).collect()}
+    assert got == {1: (26, 1), 2: (13, 1)} and sum(blocks) == 14 and len(blocks) == 3
+
+
 def test_fingerprints_and_edits(docs, corpus, empty, spark):
     have = sorted((r for r in corpus if r[0] is not None), key=lambda r: r[0])
     unique = [r for i, r in enumerate(have) if i == 0 or r[0] != have[i - 1][0]]
