@@ -26,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without 5 % of their words in benchmark passages. Texts without words stay; an empty benchmark takes nothing."""
-    found = decontaminate.annotate(packed(docs), table(spark, sf_dir, "benchmark"), keep=["doc_id", "text", "row"])
+    found = decontaminate.flagged(packed(docs), table(spark, sf_dir, "benchmark"), keep=["doc_id", "text", "row"])
     return unpacked(found.filter("NOT contaminated"), docs.columns)
 
 
