@@ -36,7 +36,7 @@ from curatrix.sources.shared import Scratch, materialize, table
 MAX_LABELLED, FILTER_BITS = 1 << 18, 1 << 24
 PRIOR, Z_LEAST, ODDS_LEAST, TOXIC_LEAST, DRIFT, E_MOST = 50.0, 4.0, 1.0, 4, 0.3, 0.05
 _BEGIN = range(4, 9)
-_CACHE, _UNITS, _PIECE = 200_000, 250_000, 3 << 19  # words a worker remembers, units it counts before it sends them on, bytes taken together
+_CACHE, _UNITS, _PIECE, SPLITS = 200_000, 250_000, 3 << 19, 4  # words a worker remembers, units it counts before it sends them on, bytes taken together, partitions that one task counts
 
 
 def units(word: str) -> list[str]:
@@ -140,8 +140,17 @@ def _filter(candidates: DataFrame, size: int) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little")
 
 
-def _count(docs: DataFrame, may: np.ndarray, shared, most: int, scratch: Scratch) -> DataFrame:
-    """u, n, c, t: documents with each unit that may be a candidate, and those of them labelled not toxic and toxic; u null: documents in all."""
+def _gathered(docs: DataFrame) -> DataFrame:
+    """docs in fewer partitions, SPLITS of them in one, but at least two for each core.
+
+    A task sends each unit on once however many of its documents have it: rows go with the tasks, not with the documents.
+    """
+    n = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(-(-n // SPLITS), min(n, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
+
+
+def _counts(docs: DataFrame, may: np.ndarray, shared, most: int) -> DataFrame:
+    """u, n, c, t of each task's documents: those with each unit that may be a candidate, and those of them labelled not toxic and toxic; u null: documents in all."""
     passing = docs.sparkSession.sparkContext.broadcast(np.packbits(may))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +203,12 @@ def _count(docs: DataFrame, may: np.ndarray, shared, most: int, scratch: Scratch
             yield flush()
         yield batch_of(["u", "n", "c", "t"], [[None], *totals[:, None]], [pa.string()] + [pa.int64()] * 3)
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "u string, n long, c long, t long")
-    return scratch.keep(found.groupBy("u").agg(*(F.sum(k).alias(k) for k in "nct")), "unit-counts")
+    return _gathered(docs.select("doc_id", "text")).mapInArrow(run, "u string, n long, c long, t long")
+
+
+def _count(docs: DataFrame, may: np.ndarray, shared, most: int, scratch: Scratch) -> DataFrame:
+    """The same of all documents."""
+    return scratch.keep(_counts(docs, may, shared, most).groupBy("u").agg(*(F.sum(k).alias(k) for k in "nct")), "unit-counts")
 
 
 def log_odds(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -581,6 +581,17 @@ def test_toxicity_scores_units_as_a_plain_version_does(spark):
         assert got == pytest.approx(want)
 
 
+def test_unit_counts_grow_with_tasks_not_with_partitions(spark):
+    docs = spark.createDataFrame([(i, f"gleich{i % 7} wort") for i in range(400)], "doc_id long, text string").repartition(80)
+    shared = spark.sparkContext.broadcast(toxicity.Labelled(np.arange(400), np.arange(400) % 2))
+    each = toxicity._counts(docs, np.ones(64, bool), shared, 1000)
+    units = {u for i in range(7) for w in (f"gleich{i}", "wort") for u in toxicity.units(w)}
+    assert each.count() <= (80 // toxicity.SPLITS) * (len(units) + 1)
+    found = {r.u: (r.n, r.c, r.t) for r in each.groupBy("u").sum("n", "c", "t").toDF("u", "n", "c", "t").collect()}
+    assert found[None] == found["wort"] == found["^glei"] == (400, 200, 200) and set(found) == units | {None}
+    assert toxicity._gathered(docs.coalesce(3)).rdd.getNumPartitions() == 3
+
+
 def test_toxic_passages_are_found_and_significant(spark):
     rng = np.random.default_rng(4)
     some = [f"wort{i}es" for i in range(300)]
