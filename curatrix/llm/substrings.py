@@ -31,6 +31,7 @@ from curatrix.llm.kernels import union
 from curatrix.sources.shared import Scratch, drop_path, new_path, table, whole_tables, write_buckets
 
 WIDTH, GRAM, FAN_IN, BATCHES = 50, 8, 4, 5  # one batch more than FAN_IN: the last one meets a compacted run
+SHARE = 4  # shuffle partitions to a bucket: entries are a small part of the texts that a partition is meant for, and every run has a file for each bucket
 _HOW = Cut(True, WIDTH, GRAM)
 _ENTRY = "anchor long, d0 long, d1 long, k binary, doc long, first int, n int"
 _COLUMNS = [c.split()[0] for c in _ENTRY.split(", ")]
@@ -45,7 +46,8 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path, self.kept = spark, path or new_path(spark, "window-index"), path is not None
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = max(-(-parts // SHARE), min(parts, spark.sparkContext.defaultParallelism))
         self.runs, self.loads = whole_tables(spark, self.path, "run-"), whole_tables(spark, self.path, "texts-")
         for run in self.runs:
             spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(run)} ({_ENTRY}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, d0, d1) INTO {run.rsplit('-', 2)[1]} BUCKETS LOCATION '{run}'")
@@ -69,7 +71,8 @@ class FingerprintIndex:
 
     def entries(self) -> DataFrame | None:
         """All runs' entries, still in their buckets."""
-        return reduce(DataFrame.union, (self.spark.table(_name(p)).select(*_COLUMNS) for p in self.runs)) if self.runs else None
+        # all have windows; without a filter the union is one of column batches, which Spark believes to keep the buckets but doesn't
+        return reduce(DataFrame.union, (self.spark.table(_name(p)).select(*_COLUMNS).filter("n > 0") for p in self.runs)) if self.runs else None
 
     def compact(self, fan_in: int = FAN_IN) -> None:
         """Merges all runs into one when there are `fan_in`. Old runs go only after the new one is whole."""
@@ -118,13 +121,23 @@ def _windows(u: Units, at: int, x: dict) -> Iterator[tuple]:
 
 
 def add_batch(index: FingerprintIndex, batch: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Takes a batch (doc_id, text) into the index. Returns its flags k, s, e, words s to e of the row with key k are repeats, and the
-    occurrences, its own and old ones, whose windows are yet to be verified.
+    """Takes a batch (doc_id, text) into the index. Returns what take() does; flags hold the repeats that find() is sure of too."""
+    rows = scratch.keep(find(batch, _HOW, True), "anchors")
+    whole, left = take(index, rows.filter("rep"), scratch)
+    return whole.union(_flags(rows.filter("sure"))), left
+
+
+def _flags(occurrences: DataFrame) -> DataFrame:
+    return occurrences.selectExpr("k", "first AS s", f"first + n - 1 + {WIDTH} AS e")
 
-    The batch's entries are dealt to the index's buckets, which is their only shuffle; all joins are bucket by bucket.
+
+def take(index: FingerprintIndex, entries: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Takes a batch's entries into the index. Returns its flags k, s, e, words s to e of the row with key k are repeats, and its
+    occurrences whose windows are yet to be verified against all others with their anchors.
+
+    The entries are dealt to the index's buckets, which is their only shuffle; all joins are bucket by bucket.
     """
-    rows = scratch.keep(find(batch, _HOW, True), "anchors")
-    fresh = scratch.bucketed(rows.filter("rep").select(*_COLUMNS), "batch", *SPAN_KEY)
+    fresh = scratch.bucketed(entries.select(*_COLUMNS), "batch", *SPAN_KEY, buckets=index.buckets)
     old = index.entries()
     index.append(fresh)
     own = fresh.groupBy("anchor").agg(*halves(), F.min("doc").alias("near"), F.max("doc").alias("far"))
@@ -139,13 +152,18 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, scratch: Scratch) -> tu
     with _by_bucket(index.spark):
         known = same.join(before, SPAN_KEY, "left").select(*SPAN_KEY, F.least("least", "before").alias("least"))
         settled = scratch.keep(fresh.join(met, "anchor").join(known, SPAN_KEY).withColumn("flag", F.expr("doc > least")), "settled")
-        left = settled.filter("other AND NOT flag")
-        wanted = left.selectExpr("k", "anchor", "doc", "first", "n", "false AS old")
-        if old is not None:
-            wanted = wanted.union(scratch.keep(old.join(left.select("anchor").distinct(), "anchor", "left_semi").selectExpr("k", "anchor", "doc", "first", "n", "true AS old"), "old-anchors"))
-    whole = rows.filter("sure").select("k", "first", "n").union(settled.filter("flag").select("k", "first", "n")).selectExpr("k", "first AS s", f"first + n - 1 + {WIDTH} AS e")
     index.compact()
-    return whole, wanted
+    return _flags(settled.filter("flag")), settled.filter("other AND NOT flag").selectExpr("k", "anchor", "doc", "first", "n")
+
+
+def met_by(index: FingerprintIndex, left: DataFrame, scratch: Scratch) -> DataFrame:
+    """The occurrences that batches have left, and the index's with the same anchors, which are old: all that left's windows may stand in.
+
+    The index has by now the batches too, but of equal spans only one, so it doesn't replace what they have left.
+    """
+    with _by_bucket(index.spark):
+        old = scratch.keep(index.entries().join(left.select("anchor").distinct(), "anchor", "left_semi").selectExpr("k", "anchor", "doc", "first", "n", "true AS old"), "old-anchors")
+    return left.selectExpr("*", "false AS old").union(old)
 
 
 def verified(texts: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
@@ -184,18 +202,19 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex
     if index.kept:
         index.keep(texts)
     bounds = docs.select("doc_id").na.drop().approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
-    flags, wanted = [], []
+    rows = scratch.keep(find(docs, _HOW, True), "anchors")
+    flags, left = [_flags(rows.filter("sure"))], []
     for i in range(len(bounds) + 1):
-        batch = docs
+        batch = rows.filter("rep")
         if i > 0:
-            batch = batch.filter((F.col("doc_id") > bounds[i - 1]) | F.col("doc_id").isNull() if i == len(bounds) else F.col("doc_id") > bounds[i - 1])
+            batch = batch.filter(F.col("doc") > bounds[i - 1])
         if i < len(bounds):
-            batch = batch.filter(F.col("doc_id") <= bounds[i])
-        whole, more = add_batch(index, batch, scratch)
+            batch = batch.filter(F.col("doc") <= bounds[i])
+        whole, more = take(index, batch, scratch)
         flags.append(whole)
-        wanted.append(more)
+        left.append(more)
     known = texts if before is None else texts.union(before)
-    flags.append(verified(known, reduce(DataFrame.union, wanted), scratch))
+    flags.append(verified(known, met_by(index, reduce(DataFrame.union, left), scratch), scratch))
     found = flags_only.keep(reduce(DataFrame.union, flags), "flags")
     scratch.clear()
     index.clear()

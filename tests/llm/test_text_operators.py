@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -474,6 +475,34 @@ def test_old_runs_are_never_shuffled(spark, docs, capsys):
     index.clear()
 
 
+def test_compaction_leaves_one_entry_for_a_span_and_one_file_for_a_bucket(spark, docs, tmp_path):
+    index = substrings.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    with Scratch(spark) as scratch:
+        for i in range(3):
+            substrings.add_batch(index, docs.filter(f"doc_id % 4 = {i}"), scratch)
+    each = [r for run in index.runs for r in spark.read.parquet(run).select("anchor", "d0", "d1", "doc").collect()]
+    least = {}
+    for r in each:
+        least[r[:3]] = min(r.doc, least.get(r[:3], r.doc))
+    assert len(least) < len(each)
+    index.compact(3)
+    (run,) = index.runs
+    assert sorted((r[:3], r[3]) for r in spark.read.parquet(run).select("anchor", "d0", "d1", "doc").collect()) == sorted(least.items())
+    assert len([*Path(run.removeprefix("file://")).glob("*.parquet")]) <= index.buckets
+
+
+def test_batches_share_one_search_and_few_files(spark, docs, monkeypatch):
+    kept = []
+    keep, bucketed = Scratch.keep, Scratch.bucketed
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: (kept.append(name), keep(self, df, name, *a))[1])
+    monkeypatch.setattr(Scratch, "bucketed", lambda self, df, name, *a, **b: (kept.append(name), bucketed(self, df, name, *a, **b))[1])
+    substrings.deduplicate(docs.filter("doc_id IS NOT NULL"), 5)
+    assert Counter(kept) == {"texts": 1, "anchors": 1, "batch": 5, "settled": 5, "old-anchors": 1, "windows": 1, "flags": 1}
+    monkeypatch.setattr(substrings, "SHARE", 2)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, *a, f=type(spark.conf).get: "40" if a[0] == "spark.sql.shuffle.partitions" else f(self, *a))
+    assert substrings.FingerprintIndex(spark).buckets == 20
+
+
 def test_long_texts_are_taken_whole(spark):
     rng = np.random.default_rng(6)
     big = " ".join(rng.choice([f"w{i}" for i in range(5000)], 300_000))
