@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatrix.llm.anchors import texts_by_key
-from curatrix.llm.arrow import batch_of
+from curatrix.llm.arrow import batch_of, map_texts
 from curatrix.llm.kernels import MASK64, text_arrays
 from curatrix.llm.rows import LAST_ID, row_key
-from curatrix.sources.shared import materialize, table
+from curatrix.sources.shared import table
 
 LOOK, DIVISOR, LEAST, MOST, WIDE = 2, 4, 2, 32, 8
 _ROLL = 0x9E3779B97F4A7C15
@@ -80,69 +80,63 @@ def _pairs(column: pa.Array) -> Iterator[bytes]:
         yield data[a:b]
 
 
+def _chunks_of(piece: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for k, doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), _pairs(piece.column(2)), strict=True):
+        rows += [(xxhash.xxh3_128_digest(text[a:b]), k, doc, c) for c, (a, b, n) in enumerate(chunks(text)) if n >= 2]
+    return batch_of(["digest", "k", "doc", "c"], list(zip(*rows, strict=True)) or [()] * 4, [pa.binary(), pa.binary(), pa.int64(), pa.int32()])
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """digest, k, doc, c: chunks of two lines or more."""
+    rows = docs.select(row_key().alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
+    return map_texts(rows, _chunks_of, "digest binary, k binary, doc long, c int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _pairs(batch.column(2)), strict=True):
-                rows += [(xxhash.xxh3_128_digest(text[a:b]), k, doc, c) for c, (a, b, n) in enumerate(chunks(text)) if n >= 2]
-            if rows:
-                yield batch_of(["digest", "k", "doc", "c"], list(zip(*rows, strict=True)), [pa.binary(), pa.binary(), pa.int64(), pa.int32()])
 
-    rows = docs.select(row_key().alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text")
-    return rows.mapInArrow(run, "digest binary, k binary, doc long, c int")
+def _bodies_of(piece: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for k, text, found in zip(piece.column(0).to_pylist(), _pairs(piece.column(2)), piece.column(3).to_pylist(), strict=True):
+        parts = chunks(text)
+        rows += [(x["digest"], k, x["c"], text[parts[x["c"]][0] : parts[x["c"]][1]]) for x in found]
+    return batch_of(["digest", "k0", "c0", "body"], list(zip(*rows, strict=True)) or [()] * 4, [pa.binary(), pa.binary(), pa.int32(), pa.binary()])
 
 
 def _bytes_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (digest, k, c) with the chunks' bytes."""
     per_row = wanted.groupBy("k").agg(F.collect_set(F.struct("digest", "c")).alias("found"))
-    both = texts.join(per_row, "k").select("k", "doc_id", "text", "found")
+    both = texts.join(per_row, "k").select("k", "doc_id", "text", "found")  # all of texts' columns, so that Spark shuffles them once for both joins
+    return map_texts(both, _bodies_of, "digest binary, k0 binary, c0 int, body binary").dropDuplicates(["digest"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k, text, found in zip(batch.column(0).to_pylist(), _pairs(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                parts = chunks(text)
-                rows += [(x["digest"], k, x["c"], text[parts[x["c"]][0] : parts[x["c"]][1]]) for x in found]
-            if rows:
-                yield batch_of(["digest", "k0", "c0", "body"], list(zip(*rows, strict=True)), [pa.binary(), pa.binary(), pa.int32(), pa.binary()])
 
-    return both.mapInArrow(run, "digest binary, k0 binary, c0 int, body binary").dropDuplicates(["digest"])
+def _without(piece: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for doc_id, text, found in zip(piece.column(0).to_pylist(), _pairs(piece.column(1)), piece.column(2).to_pylist(), strict=True):
+        parts = chunks(text)
+        same = {x["c"] for x in found or [] if text[parts[x["c"]][0] : parts[x["c"]][1]] == x["body"]}
+        kept = b"".join(text[a:b] for c, (a, b, _) in enumerate(parts) if c not in same) if same else text
+        lines = sum(n for _, _, n in parts)
+        gone = sum(parts[c][2] for c in same)
+        rows.append((doc_id, lines, gone, len(same), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return batch_of(_NAMES, list(zip(*rows, strict=True)), [pa.int64()] * 4 + [pa.string()] * 2)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_sha256 and text of what is left, of each of docs.
 
     A null text has no lines; no documents give no rows; other columns of docs, whatever their names, are left out. A null
-    doc_id comes after all others. A long text is taken whole, at some 300 bytes of memory for each of its lines. Rows are
-    told apart by doc_id and text: of rows that agree in both, each loses what an earlier document or place has, and they
-    keep the same.
+    doc_id comes after all others. Texts are taken in pieces (see map_texts), a long one whole, at some 300 bytes of memory
+    for each of its lines. Rows are told apart by doc_id and text: of rows that agree in both, each loses what an earlier
+    document or place has, and they keep the same. Nothing is written: texts are cut once more instead, so docs should be a table.
     """
     docs = docs.select("doc_id", "text")
     texts = texts_by_key(docs)
-    found = materialize(_found(docs), "chunks")
+    found = _found(docs)
     first = found.groupBy("digest").agg(F.min(F.struct("doc", "k", "c")).alias("at"), F.count("*").alias("times")).filter("times > 1")
-    first = materialize(first.selectExpr("digest", "at.k AS k", "at.c AS c"), "first-chunks")
-    bodies = _bytes_of(texts, first)
+    bodies = _bytes_of(texts, first.selectExpr("digest", "at.k AS k", "at.c AS c"))
     again = found.join(bodies, "digest").filter("k <> k0 OR c <> c0").select("k", F.struct("c", "body").alias("x"))
     per_row = again.groupBy("k").agg(F.collect_list("x").alias("found"))
     both = texts.join(per_row, "k", "left").select("doc_id", "text", "found")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, found in zip(batch.column(0).to_pylist(), _pairs(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                parts = chunks(text)
-                same = {x["c"] for x in found or [] if text[parts[x["c"]][0] : parts[x["c"]][1]] == x["body"]}
-                kept = b"".join(text[a:b] for c, (a, b, _) in enumerate(parts) if c not in same) if same else text
-                lines = sum(n for _, _, n in parts)
-                gone = sum(parts[c][2] for c in same)
-                rows.append((doc_id, lines, gone, len(same), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield batch_of(_NAMES, list(zip(*rows, strict=True)), [pa.int64()] * 4 + [pa.string()] * 2)
-
-    return both.mapInArrow(run, "doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string, text string")
+    return map_texts(both, _without, "doc_id long, n_lines long, n_removed long, n_chunks long, kept_sha256 string, text string")
 
 
 _NAMES = ["doc_id", "n_lines", "n_removed", "n_chunks", "kept_sha256", "text"]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -706,3 +707,33 @@ def test_other_tokenizers_get_whole_texts():
     texts = ["two  words", " lead", "", "x\n\ny"]
     assert not own.wordwise
     assert own.encode(pa.array(texts)).to_pylist() == [np.array([*e.ids, tokens.END_ID], own.type).tobytes() for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_lines_are_taken_in_pieces_of_a_batch(spark):
+    """A worker's memory doesn't grow with the batch: it holds no copy of it and not all its chunks."""
+    import tracemalloc
+
+    class Taken:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    texts = ["\n".join(f"{i} {j} " + "of a text " * 8 for j in range(900)) for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"k": [b"%d" % i for i in range(100)], "doc": list(range(100)), "text": texts})
+    run = lines._found(Taken())
+    tracemalloc.start()
+    found = sum(out.num_rows for out in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 10_000 and most < sum(map(len, texts)) / 2
+
+
+def test_line_dedup_writes_nothing_and_shuffles_texts_once(spark):
+    from curatrix.sources.shared import listed, own_dir
+
+    before = listed(spark, own_dir(spark))
+    got = lines.query(spark, "/root/testdata/sf0.001")
+    assert len(got.collect()) == 200 and listed(spark, own_dir(spark)) == before
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
