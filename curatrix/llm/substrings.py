@@ -215,7 +215,8 @@ def deduplicate(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex
         left.append(more)
     known = texts if before is None else texts.union(before)
     flags.append(verified(known, met_by(index, reduce(DataFrame.union, left), scratch), scratch))
-    found = flags_only.keep(reduce(DataFrame.union, flags), "flags")
+    # dealt anew, as each part of the union would write a small file for each of its tasks
+    found = flags_only.keep(reduce(DataFrame.union, flags).repartition("k"), "flags")
     scratch.clear()
     index.clear()
     return remove(texts, found, _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

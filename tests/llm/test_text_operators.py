@@ -737,3 +737,12 @@ def test_line_dedup_writes_nothing_and_shuffles_texts_once(spark):
     got = lines.query(spark, "/root/testdata/sf0.001")
     assert len(got.collect()) == 200 and listed(spark, own_dir(spark)) == before
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_op8_flags_stand_in_few_files(spark, docs, corpus):
+    from curatrix.sources.shared import listed, own_dir
+
+    before = listed(spark, own_dir(spark))
+    assert substrings.deduplicate(docs).count() == len(corpus)
+    (flags,) = (p for p in listed(spark, own_dir(spark)) if p not in before and p.rsplit("/", 1)[1].startswith("flags-"))
+    assert sum("/part-" in p for p in listed(spark, flags)) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
