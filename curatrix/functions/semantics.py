@@ -53,6 +53,11 @@ def clamp(x: Column | str, low: float = 0.0, high: float = 100.0) -> Column:
     return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), _c(x)))
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """x to so many digits, halves to the even one. What counts as a half is the scaled double, where a sum's last bit is mostly gone."""
+    return F.bround(x * 10.0**digits, 0) / 10.0**digits
+
+
 def score(x: Column | str, scale: float) -> Column:
     """0 to 100, saturating: two digits of 100 * (1 - exp(-x / scale))."""
     return F.bround(clamp(100 * (1 - F.exp(-F.greatest(F.lit(0.0), _c(x)) / scale))), 2)

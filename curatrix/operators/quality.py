@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curatrix.functions.semantics import clamp, ladder
+from curatrix.functions.semantics import clamp, half_even, ladder
 from curatrix.operators.baseline import medians, total_variation
 
 #: Weights of the components.
@@ -19,7 +19,7 @@ GAINS = {"CLEAN_LIGHT": 8.0, "CLEAN_MEDIUM": 14.0, "CLEAN_STRONG": 20.0, "TEXTUR
 
 def two(x: Column) -> Column:
     """Clamped to 0..100, two digits."""
-    return F.bround(clamp(x), 2)
+    return half_even(clamp(x), 2)
 
 
 def weighted(weights: dict[str, float]) -> Column:
