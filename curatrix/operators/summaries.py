@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curatrix.functions.semantics import clamp, ladder
 from curatrix.operators.decisions import applied
 from curatrix.operators.quality import CLEANING, GAINS, two
+from curatrix.sources.shared import large
 
 #: What texture is measured by; weights of what an image should be free of.
 TEXTURE = ("microtexture", "local_contrast", "edge_sharpness", "highlight_speck", "consistency")
@@ -98,15 +99,28 @@ def missing_paths(paths: DataFrame, found: DataFrame) -> DataFrame:
 def preservation(before: DataFrame, after: DataFrame, bins: int = 64) -> DataFrame:
     """id, pixel_difference, histogram_difference: how far an image (id, y, x, v) is from what it was.
 
-    The second is the Bhattacharyya distance of histograms: both are counted, so only bins are joined.
+    The second is the Bhattacharyya distance of histograms.
     """
-    both = before.join(after.withColumnRenamed("v", "w"), ["id", "y", "x"])
-    pixels = both.groupBy("id").agg(F.avg(F.abs(F.col("v") - F.col("w"))).alias("pixel_difference"))
-    count = lambda df, n: df.groupBy("id", F.floor(F.col("v") * bins / 256).alias("bin")).agg(F.count("*").alias(n))
-    binned = count(before, "a").join(count(after, "b"), ["id", "bin"], "full_outer").na.fill(0, ["a", "b"])
-    sums = binned.groupBy("id").agg(F.sum(F.sqrt(F.col("a") * F.col("b"))).alias("s"), F.sum("a").alias("n"), F.sum("b").alias("m"))
+    one, two_ = before.select("id", "y", "x", "v", F.lit(1).alias("a")), after.select("id", "y", "x", F.col("v").alias("w"), F.lit(1).alias("b"))
+    return changed(one.join(large(two_), ["id", "y", "x"], "full_outer"), bins)
+
+
+def changed(both: DataFrame, bins: int = 64) -> DataFrame:
+    """The same of pixels with what they became (id, v, w; a and b: 1 if there before, and after, else null).
+
+    Differences and both histograms are sums by bin, of one pass; an image has a row for each of its bins then.
+    """
+    bin_ = lambda v: F.floor(F.col(v) * bins / 256).alias("bin")
+    zero, met = F.lit(0), F.col("a") + F.col("b")
+    apart = F.when(met.isNotNull(), F.abs(F.col("v") - F.col("w")))
+    told = F.struct(bin_("v"), F.coalesce("a", zero).alias("a"), zero.alias("b"), apart.alias("d"), met.isNotNull().alias("met"))
+    became = F.struct(bin_("w"), zero.alias("a"), F.coalesce("b", zero).alias("b"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("met"))
+    each = both.filter("id IS NOT NULL").select("id", F.explode(F.array(told, became)).alias("s")).select("id", "s.*")
+    binned = each.groupBy("id", "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("d").alias("d"), F.count("d").alias("k"), F.count_if("met").alias("met"))
+    common = F.when(F.col("bin").isNotNull(), F.sqrt(F.col("a") * F.col("b"))).otherwise(0.0)
+    sums = binned.groupBy("id").agg(F.sum(common).alias("s"), F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum("d").alias("d"), F.sum("k").alias("k"), F.sum("met").alias("met")).filter("met > 0")
     distance = F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("s") / F.sqrt(F.col("n") * F.col("m"))))
-    return pixels.join(sums, "id").select("id", F.round("pixel_difference", 6).alias("pixel_difference"), F.round(distance, 6).alias("histogram_difference"))
+    return sums.select("id", F.round(F.when(F.col("k") > 0, F.col("d") / F.col("k")), 6).alias("pixel_difference"), F.round(distance, 6).alias("histogram_difference"))
 
 
 def accepted(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -1,7 +1,10 @@
 """Joins of rows that are generated or exploded: Spark takes them for small, and they must not be broadcast."""
 
+import random
+
 import pytest
 
+from curatrix.operators import summaries
 from curatrix.plans.registry import QUERIES
 from tests.conftest import DATA
 
@@ -34,3 +37,22 @@ def plan_of(df):
 def test_outliers_are_found_without_joining_cells(spark):
     plan = plan_of(QUERIES["grid_robust_outliers"](spark, DATA))
     assert "Join" not in plan and plan.count("Exchange") == 1  # of ids, before their cells are made
+
+
+def test_a_blur_is_held_against_its_picture_without_a_join(spark):
+    plan = plan_of(QUERIES["grid_preservation"](spark, DATA))
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_preservation_of_pictures_that_lost_and_got_pixels(spark):
+    rng = random.Random(3)
+    before = {(i, y, x): rng.randrange(256) for i in range(4) for y in range(6) for x in range(5)}
+    after = {(i, y + (i == 1), x): min(255, v + rng.randrange(40)) for (i, y, x), v in before.items() if i < 2} | {(i, 9, 9): 7 for i in (3, 5)}
+    rows = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "id long, y long, x long, v int")
+    got = {r.id: (r.pixel_difference, r.histogram_difference) for r in summaries.preservation(rows(before), rows(after)).collect()}
+    assert set(got) == {0, 1}  # those with a pixel in common
+    for i in got:
+        apart = [abs(v - after[k]) for k, v in before.items() if k[0] == i and k in after]
+        a, b = ([v // 4 for k, v in d.items() if k[0] == i] for d in (before, after))
+        s = sum((a.count(n) * b.count(n)) ** 0.5 for n in set(a))
+        assert got[i] == pytest.approx((sum(apart) / len(apart), max(0, 1 - s / (len(a) * len(b)) ** 0.5) ** 0.5), abs=1e-6)
