@@ -56,3 +56,8 @@ def test_preservation_of_pictures_that_lost_and_got_pixels(spark):
         a, b = ([v // 4 for k, v in d.items() if k[0] == i] for d in (before, after))
         s = sum((a.count(n) * b.count(n)) ** 0.5 for n in set(a))
         assert got[i] == pytest.approx((sum(apart) / len(apart), max(0, 1 - s / (len(a) * len(b)) ** 0.5) ** 0.5), abs=1e-6)
+
+
+def test_tiles_shades_are_not_broadcast(spark):
+    plan = plan_of(QUERIES["filter_contrast"](spark, DATA))
+    assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
