@@ -61,3 +61,9 @@ def test_preservation_of_pictures_that_lost_and_got_pixels(spark):
 def test_tiles_shades_are_not_broadcast(spark):
     plan = plan_of(QUERIES["filter_contrast"](spark, DATA))
     assert plan.count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan
+
+
+def test_lines_are_swept_without_joins(spark, written_plans):
+    df = QUERIES["filter_edge_preserving"](spark, DATA)
+    assert [name for name, _ in written_plans] == ["distances", "smoothed", "smoothed", "smoothed"]
+    assert not any("Join" in p for p in [plan_of(df), *(p for _, p in written_plans)])
