@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from curatrix.operators import summaries
+from curatrix.operators import filters, grids, summaries
 from curatrix.plans.registry import QUERIES
 from tests.conftest import DATA
 
@@ -67,3 +67,16 @@ def test_lines_are_swept_without_joins(spark, written_plans):
     df = QUERIES["filter_edge_preserving"](spark, DATA)
     assert [name for name, _ in written_plans] == ["distances", "smoothed", "smoothed", "smoothed"]
     assert not any("Join" in p for p in [plan_of(df), *(p for _, p in written_plans)])
+
+
+def test_pixels_and_edges_are_not_broadcast(spark, written_plans):
+    df = QUERIES["filter_preservation"](spark, DATA)
+    assert [p for name, p in written_plans if name == "both"] and not any("BroadcastHashJoin" in p for name, p in written_plans if name != "edges")
+    assert plan_of(filters.edges(filters_images(spark))).count("BroadcastHashJoin") == 0
+    assert df.count() == spark.read.parquet(f"{DATA}/supplier.parquet").count()
+
+
+def filters_images(spark):
+    v = "cast((id + y + x) % 256 AS int)"
+    cells = grids.grid(spark.range(3), 8, 8, v)
+    return cells.selectExpr("id", "y", "x", "8 AS width", "8 AS height", "v AS r", "v AS g", "v AS b")
