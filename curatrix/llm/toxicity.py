@@ -146,7 +146,7 @@ def _gathered(docs: DataFrame) -> DataFrame:
     A task sends each unit on once however many of its documents have it: rows go with the tasks, not with the documents.
     """
     n = docs.rdd.getNumPartitions()
-    return docs.coalesce(max(-(-n // SPLITS), min(n, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
+    return docs.coalesce(max(1, -(-n // SPLITS), min(n, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
 
 
 def _counts(docs: DataFrame, may: np.ndarray, shared, most: int) -> DataFrame:
